@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, quality
+from . import bpe, decontaminate, line_dedup, near_dedup, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,39 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated(_documents(spark, sf_dir).select("doc_id", "text"), removed_col="n_removed_chunks")
+    return out.select("doc_id", "n_removed_chunks", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_OP9 = r"""
+WITH t AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
+), ln AS (
+  SELECT doc_id, len(l) AS n, unnest(range(1, len(l) + 1)) AS k, l FROM t WHERE text IS NOT NULL
+), b AS (
+  SELECT doc_id, n, k, l[k] AS line,
+         (k = n OR (k > 1 AND substr(md5(md5(l[k - 1]) || md5(l[k])), 1, 1) < '5')) AS ends
+  FROM ln
+), g AS (
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM b
+), ch AS (
+  SELECT doc_id, c, string_agg(line, chr(10) ORDER BY k) AS chunk, sum(regexp_matches(line, '[^\x20\x09-\x0D]')::INT) > 1 AS multi
+  FROM g GROUP BY doc_id, c
+), m AS (
+  SELECT doc_id, c, chunk, CASE WHEN multi THEN row_number() OVER (PARTITION BY chunk, multi ORDER BY doc_id, c) ELSE 1 END AS nth FROM ch
+), o AS (
+  SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (nth = 1), '') AS kept, count(*) FILTER (nth > 1) AS gone FROM m GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed_chunks, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256
+FROM t LEFT JOIN o ON t.doc_id = o.doc_id
+"""
+
+
 _OP2 = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
@@ -63,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2}
+    return {"op2_quality_rules": _OP2, "op9_line_dedup": _OP9}
