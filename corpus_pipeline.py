@@ -1,0 +1,53 @@
+"""From raw documents to token ids: toxicity, line dedup, near-dedup, decontamination, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all rows of the stage before it. All but the last
+return the columns of documents. SQL can't express the classifier, the sketches or the merges, so ORACLE_SQL is None and the
+stages are tested against brute-force versions.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tidegauge.llm import bpe, common, decontaminate, line_dedup, near_dedup, toxicity
+from tidegauge.llm.queries import toxicity_chain
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, toxicity_chain(spark, docs, sf_dir), "toxic")
+
+
+def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(docs)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicated(docs)
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("line_dedup", remove_lines),
+    ("near_dedup", remove_near_duplicates),
+    ("decontamination", remove_contaminated),
+    ("byte_bpe", encode),
+]
+
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
