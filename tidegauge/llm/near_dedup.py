@@ -7,9 +7,11 @@ register keeps its earliest arrival. A shingle's process ends as soon as its nex
 bands of equal registers give candidates, and each link is verified on the documents' whole shingle sets.
 
 Texts with the same words are one node, so copies never meet in a bucket. In each bucket all nodes are first compared with
-the bucket's smallest node; components of verified links follow; then, in buckets that still hold several components, all
-pairs of nodes of different components are compared. So each candidate pair is either verified, or refuted, or already in
-one component, and the rows made are in proportion to the nodes, plus the pairs of unlike nodes that share a bucket.
+the bucket's head; components of verified links follow. In buckets that still hold several components, all pairs of nodes of
+different components are looked at: what both share with the head bounds what they share, sketches of BITS registers estimate
+it, and the pairs that both allow are verified too. So each candidate pair is verified, or refuted by sizes, bound or sketch,
+or already in one component, and the rows made follow the nodes and the links, not the squares of buckets. The time of that
+last look does grow with the square of the unlike nodes of one bucket.
 
 Defined results: a null text counts as empty; texts without words have equal (empty) word sequences and form one class;
 rows that share an id are one document; a row without an id has no class and is kept; columns other than the two named are
@@ -30,6 +32,9 @@ from . import common as C
 WIDTH = 5
 BANDS, ROWS = 16, 4
 SIZE = BANDS * ROWS
+#: Bits of the sketches that decide which pairs are verified at last, and how many may differ: at a similarity of 0.8 a bit
+#: differs with probability 0.1, and more than MOST_BITS do in less than one of 10,000 cases, fewer than the bands miss.
+BITS, MOST_BITS = 512, 78
 _INF = np.inf
 
 
@@ -95,23 +100,30 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """id, s (array of long): the distinct shingle hashes of each text of (id, text)."""
+    """id, s (array of long: the distinct shingle hashes) and sketch (BITS bits in longs, one for each register of an unweighted
+    ProbMinHash) of each text of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in C.pieces(batch.column(0), batch.column(1)):
                 doc, h, _, _, _ = shingles(texts)
                 offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], ["id", "s"])
+                bits = C.mix(registers(doc, h, np.ones(len(h)), len(texts), BITS)) & np.uint64(1)
+                longs = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (BITS // 64)), pa.array(longs.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64))), sketch], ["id", "s", "sketch"])
 
-    return docs.mapInArrow(run, f"id {docs.dtypes[0][1]}, s array<long>")
+    return docs.mapInArrow(run, f"id {docs.dtypes[0][1]}, s array<long>, sketch array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more."""
-    x = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    x = x.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return x.where("5 * both >= 4 * (na + nb - both)").select("a", "b")
+#: A Jaccard similarity of 0.8 or more, from the sizes and what both share.
+_LINKED = "5 * both >= 4 * (na + nb - both)"
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb and both: sizes of the shingle sets of each pair and of their intersection."""
+    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    return x.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -129,38 +141,51 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _alike(n: str, m: str) -> str:
-    """Sizes that allow a similarity of 0.8."""
-    return f"5 * {n} >= 4 * {m} AND 5 * {m} >= 4 * {n}"
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id (smallest id of the class) and kept (true for that one document), a row for each row of docs."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = C.written(signatures(docs, "id", "text"), "signatures")
     nodes = C.written(sig.groupBy("k1", "k2").agg(F.min("id").alias("node")), "nodes")
     own = C.written(sig.where("id IS NOT NULL").join(nodes.where("node IS NOT NULL"), ["k1", "k2"]).select("id", "node", "n", F.when(F.col("id") == F.col("node"), F.col("bands")).alias("bands")), "own")
-    members = own.where("id = node").dropDuplicates(["id"]).select("id", "n", F.explode("bands").alias("bucket"))
-    heads = C.written(members.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1").select("bucket", "head"), "heads")
-    members = C.written(members.join(heads, "bucket").select("bucket", "id", "n", "head"), "members")
-
-    wanted = members.select("id").distinct().hint("shuffle_hash")
-    sets = C.written(shingle_sets(docs.where("id IS NOT NULL").join(wanted, "id", "left_semi").dropDuplicates(["id"])), "sets")
-    sizes = members.select(F.col("id").alias("head"), F.col("n").alias("m")).distinct()
-    pairs = members.where("id <> head").select("id", "n", "head").distinct().join(sizes, "head").where(_alike("n", "m"))
-    links = C.written(verified(pairs.select(F.col("id").alias("a"), F.col("head").alias("b")), sets), "links")
-    labels = components(links)
-
-    # Buckets that still hold several components: every pair across them.
-    named = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
+    nodes = own.where("id = node").dropDuplicates(["id"])
+    bands = nodes.select("id", "bands")
+    members = nodes.select("id", "n", F.explode("bands").alias("bucket"))
+    sizes = C.written(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    members = C.written(members.join(sizes, "bucket"), "members")
+    # The head of a bucket is its node of the largest buckets: in a group of copies that is the one most are close to.
+    weight = C.written(members.groupBy("id").agg(F.sum("size").alias("weight"), F.max("n").alias("n")), "weight")
+    heads = members.select("bucket", "id").join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("x"))
+    heads = C.written(heads.select("bucket", F.col("x.id").alias("head")), "heads")
+    members = C.written(members.select("bucket", "id", "n").join(heads, "bucket"), "members")
+
+    sets = C.written(shingle_sets(docs.where("id IS NOT NULL").join(weight.select("id").hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])), "sets")
+    pairs = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    tests = C.written(compared(pairs, sets), "tests")
+    labels = components(tests.where(_LINKED))
+
+    # Buckets that still hold several components: first against the node nearest to the head, which is closer to the middle of
+    # a group, then all pairs across components that both middles and the sketches allow. What two sets share is at most the
+    # smaller share of the middle plus the smaller share of the rest.
+    named = members.join(labels, "id", "left").select("bucket", "id", "n", "head", F.coalesce("label", "id").alias("label"))
     mixed = C.written(named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "mixed")
-    named = C.written(named.join(mixed, "bucket", "left_semi"), "named")
-    a = named.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    b = named.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = a.join(b, "bucket").where(f"a < b AND la <> lb AND {_alike('na', 'nb')}").select("a", "b").distinct()
-    more = C.written(verified(rest, sets), "more")
+    shared = tests.select(F.col("a").alias("id"), F.col("b").alias("head"), F.col("both").alias("c1"), (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("j"))
+    named = C.written(named.join(mixed, "bucket", "left_semi").join(shared, ["id", "head"], "left").withColumn("c1", F.coalesce("c1", "n")), "named")
+    middle = named.where("id <> head").groupBy("bucket").agg(F.max(F.struct("j", "id")).alias("x")).select("bucket", F.col("x.id").alias("middle"))
+    named = C.written(named.join(middle, "bucket"), "named")
+    again = C.written(compared(named.where("id <> middle").select(F.col("id").alias("a"), F.col("middle").alias("b")).distinct(), sets), "tests")
+    links = tests.where(_LINKED).unionByName(again.where(_LINKED))
+    labels = components(links)
+    named = named.drop("label").join(labels, "id", "left").join(again.select(F.col("a").alias("id"), F.col("b").alias("middle"), F.col("both").alias("c2")), ["id", "middle"], "left")
+    named = named.join(sets.select("id", "sketch"), "id").join(bands, "id")
+    named = C.written(named.select("bucket", "id", "n", F.coalesce("label", "id").alias("label"), "c1", F.coalesce("c2", "n").alias("c2"), "bands", *[F.get("sketch", F.lit(k)).alias(f"b{k}") for k in range(BITS // 64)]), "named")
+    x, y = (named.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in named.columns if c != "bucket"]) for side in "xy")
+    most = " AND ".join(f"9 * (least(x_{c}, y_{c}) + least(x_n - x_{c}, y_n - y_{c})) >= 4 * (x_n + y_n)" for c in ("c1", "c2"))
+    apart = " + ".join(f"bit_count(x_b{k} ^ y_b{k})" for k in range(BITS // 64))
+    once = "array_intersect(x_bands, y_bands)[0] = bucket"  # a pair counts in the first bucket it shares
+    rest = x.join(y, "bucket").where(f"x_id < y_id AND x_label <> y_label AND 5 * x_n >= 4 * y_n AND 5 * y_n >= 4 * x_n AND {most} AND {apart} <= {MOST_BITS} AND {once}")
+    more = C.written(compared(rest.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")), sets).where(_LINKED), "more")
     if not more.isEmpty():
-        labels = components(more.unionByName(labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))))
+        labels = components(links.unionByName(more))
 
     found = own.select("id", "node").join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("id", F.coalesce("label", "node").alias("class_id"))
     none = sig.where("id IS NULL").select("id", F.lit(None).cast(sig.schema["id"].dataType).alias("class_id"))
