@@ -12,6 +12,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f or its own lambdas use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def finite(c: Column | str) -> Column:
     """NULL for NaN and infinities."""
     c = col(c)

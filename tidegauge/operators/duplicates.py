@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions.numeric import let
+
 HASHES = ("a", "d", "p")
 
 
@@ -27,26 +29,35 @@ def grid_hashes(records: DataFrame, values: str = "values", side: int = 8) -> Da
     """a: value above the mean; d: value above its left neighbour (side - 1 a row); p: coefficient of the two-dimensional
     cosine transform above the median of all but the first, whose bit is 0. Adds <hash>_lo and <hash>_hi."""
     n = side * side
-    v = F.transform(values, lambda x: x.cast("double"))
-    df = records.withColumn("_v", v)
-    mean = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) / n
-    df = df.withColumn("_m", mean).withColumn("_a", F.transform("_v", lambda x: x > F.col("_m")))
-    inner = [y * side + x for y in range(side) for x in range(side - 1)]
-    df = df.withColumn("_d", F.transform(F.array(*[F.lit(k) for k in inner]), lambda k: F.get("_v", k + 1) > F.get("_v", k)))
     basis = [[math.sqrt((1 if u == 0 else 2) / side) * math.cos((2 * x + 1) * u * math.pi / (2 * side)) for x in range(side)] for u in range(side)]
     table = F.array(*[F.lit(c) for row in basis for c in row])
-    df = df.withColumn("_c", table)
-    cells = F.sequence(F.lit(0), F.lit(n - 1))
-    # First along rows (place y * side + u), then along columns (place t * side + u).
-    rows = lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(side - 1)), F.lit(0.0), lambda s, x: s + F.get("_v", (k - k % side + x).cast("int")) * F.get("_c", ((k % side) * side + x).cast("int")))
-    cols = lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(side - 1)), F.lit(0.0), lambda s, y: s + F.get("_r", (y * side + k % side).cast("int")) * F.get("_c", ((k - k % side) + y).cast("int")))
-    df = df.withColumn("_r", F.transform(cells, rows)).withColumn("_t", F.transform(cells, cols))
-    df = df.withColumn("_s", F.sort_array(F.slice("_t", 2, n - 1)))
-    half = (n - 2) // 2
-    median = F.get("_s", F.lit(half)) if (n - 1) % 2 else (F.get("_s", F.lit(half)) + F.get("_s", F.lit(half + 1))) / 2
-    df = df.withColumn("_med", median).withColumn("_p", F.transform("_t", lambda x, k: (k > 0) & (x > F.col("_med"))))
-    out = {f"{h}_{part}": c for h in HASHES for part, c in pack(f"_{h}").items()}
-    return df.withColumns(out).drop("_v", "_m", "_a", "_d", "_p", "_c", "_r", "_t", "_s", "_med")
+    cells, axis = F.sequence(F.lit(0), F.lit(n - 1)), F.sequence(F.lit(0), F.lit(side - 1))
+    inner = F.array(*[F.lit(y * side + x) for y in range(side) for x in range(side - 1)])
+
+    def product(get_value, get_factor) -> Column:
+        return F.aggregate(axis, F.lit(0.0), lambda s, x: s + get_value(x) * get_factor(x))
+
+    def transformed(v: Column, c: Column) -> Column:
+        # First along rows (place y * side + u), then along columns (place t * side + u).
+        at = lambda a, k: F.get(a, k.cast("int"))
+        rows = F.transform(cells, lambda k: product(lambda x: at(v, k - k % side + x), lambda x: at(c, (k % side) * side + x)))
+        return let(rows, lambda r: F.transform(cells, lambda k: product(lambda y: at(r, y * side + k % side), lambda y: at(c, k - k % side + y))))
+
+    def median(t: Column) -> Column:
+        half = (n - 2) // 2
+        mid = lambda s: F.get(s, F.lit(half)) if (n - 1) % 2 else (F.get(s, F.lit(half)) + F.get(s, F.lit(half + 1))) / 2
+        return let(F.sort_array(F.slice(t, 2, n - 1)), mid)
+
+    def bits(v: Column) -> Column:
+        mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
+        a = let(mean, lambda m: F.transform(v, lambda x: x > m))
+        d = F.transform(inner, lambda k: F.get(v, k + 1) > F.get(v, k))
+        p = let(let(table, lambda c: transformed(v, c)), lambda t: let(median(t), lambda m: F.transform(t, lambda x, k: (k > 0) & (x > m))))
+        return F.struct(a.alias("a"), d.alias("d"), p.alias("p"))
+
+    df = records.withColumn("_bits", let(F.transform(values, lambda x: x.cast("double")), bits))
+    out = {f"{h}_{part}": c for h in HASHES for part, c in pack(f"_bits.{h}").items()}
+    return df.withColumns(out).drop("_bits")
 
 
 def distance(h: str, a: str = "l", b: str = "r") -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.numeric import logit_loss, sigmoid
+from tidegauge.functions.numeric import let, logit_loss, sigmoid
 
 
 def binarise(values: Column) -> Column:
@@ -115,15 +115,14 @@ def boundary_weights(df: DataFrame, h: int, w: int, size: int = 31, gain: float
         lo, hi = F.greatest(p % w - half, F.lit(0)), F.least(p % w + half, F.lit(w - 1))
         return F.aggregate(F.slice("_g", p - p % w + lo + 1, hi - lo + 1), F.lit(0.0), lambda s, x: s + x)
 
-    def columns(p: Column) -> Column:
+    def columns(r: Column, p: Column) -> Column:
         y = F.floor(p / w)
         lo, hi = F.greatest(y - half, F.lit(0)), F.least(y + half, F.lit(h - 1))
-        return F.aggregate(F.sequence(lo, hi), F.lit(0.0), lambda s, j: s + F.get("_r", (j * w + p % w).cast("int")))
+        return F.aggregate(F.sequence(lo, hi), F.lit(0.0), lambda s, j: s + F.get(r, (j * w + p % w).cast("int")))
 
     cells = F.sequence(F.lit(0), F.lit(h * w - 1))
-    df = df.withColumn("_r", F.transform(cells, rows))
-    df = df.withColumn("_box", F.transform(cells, columns))
-    return df.withColumn("bw", F.zip_with("_box", "_g", lambda b, g: 1.0 + gain * F.abs(b / (size * size) - g))).drop("_g", "_r", "_box")
+    box = let(F.transform(cells, rows), lambda r: F.transform(cells, lambda p: columns(r, p)))
+    return df.withColumn("bw", F.zip_with(box, "_g", lambda b, g: 1.0 + gain * F.abs(b / (size * size) - g))).drop("_g")
 
 
 def structure_score(df: DataFrame, h: int, w: int, logits: str = "logits", variant: str = "plain", eps: float = 1.0) -> DataFrame:

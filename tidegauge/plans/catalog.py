@@ -513,7 +513,7 @@ _HASHES = (
 )
 _DIST = ", ".join(f"CAST(bit_count(xor(l.{h}_lo, r.{h}_lo)) + bit_count(xor(l.{h}_hi, r.{h}_hi)) AS INT) AS d_{h}" for h in "adp")
 _PAIRS = _HASHES + f", pairs AS (SELECT l.split AS split_a, l.id AS id_a, r.split AS split_b, r.id AS id_b, {_DIST} FROM hs l JOIN hs r ON l.split < r.split OR (l.split = r.split AND l.id < r.id))\n"
-MOST = 20
+MOST = 17
 
 
 @query(_HASHES + "SELECT * FROM hs")
