@@ -171,7 +171,7 @@ def sample(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: st
     row = np.repeat(np.arange(n), places.value_lengths().to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int64)
     place = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     y = np.column_stack([t.column(c).to_numpy() for c in categories]) if n else np.zeros((0, len(categories)), int)
-    return row, place, y, np.arange(n) % FOLDS
+    return row, place, y, (C.mix(np.arange(1, n + 1, dtype=np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Chain:
