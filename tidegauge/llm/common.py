@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and \t \n \v \f \r.
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -37,6 +38,14 @@ def written(df: DataFrame, name: str = "table", partition_by: list[str] | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """The rows of the n smallest distinct hashes of a key, one row for each: a sample of at most n rows that does not depend
+    on how rows are dealt out. Only hashes travel to find the largest of them."""
+    h = F.xxhash64(key)
+    most = df.select(h.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h").alias("h")).first()["h"]
+    return df.where(h <= most if most is not None else F.lit(False)).withColumn("_h", h).dropDuplicates(["_h"]).drop("_h")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on an array of uint64."""
     x = x ^ (x >> np.uint64(30))
