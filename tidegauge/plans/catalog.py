@@ -8,6 +8,8 @@ Streams: events in order of (ts, event_id) for each event_type, d = least(1, val
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.operators import aggregate, duplicates, grid, manifest, paired, pool, tail
+from tidegauge.streaming import tail_state
 
 P, ALPHA = 0.15, 0.02
 RATIO = math.log(P / ALPHA)
@@ -663,3 +666,25 @@ def stem_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('7|' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM documents) WHERE k <= greatest(1, round_even(n * 0.1::DOUBLE, 0))")
 def seeded_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.holdout(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.1, 7)
+
+
+@query()
+def tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tail estimator over events as a stream, run to its end; results and checkpoint go to the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidegauge-")
+    base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        # A pattern, since a stream takes no plain file.
+        rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+        # Sorted by text: time to the microsecond, then the id.
+        place = F.concat(F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
+        rows = rows.select("event_type", place.alias("place"), F.least(F.lit(1.0), F.col("value") / 500.0).alias("d"))
+        out = tail_state.tail_stream(rows, "event_type", "place", "d")
+        out.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return spark.read.parquet(f"{base}/rows")

@@ -103,4 +103,5 @@ class TailProcessor(StatefulProcessor):
 
 def tail_stream(rows: DataFrame, key: str, order_col: str, value_col: str, settings: TailSettings | None = None) -> DataFrame:
     """A row of OUTPUT for each full batch. Needs the RocksDB state store provider."""
-    return rows.groupBy(rows[key].cast("string").alias("key")).transformWithStateInPandas(TailProcessor(settings or TailSettings(), order_col, value_col), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+    rows = rows.select(rows[key].cast("string").alias("key"), rows[order_col].alias("place"), rows[value_col].cast("double").alias("value"))
+    return rows.groupBy("key").transformWithStateInPandas(TailProcessor(settings or TailSettings(), "place", "value"), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
