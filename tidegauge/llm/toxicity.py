@@ -76,7 +76,7 @@ def fit_linear(row: np.ndarray, place: np.ndarray, before: np.ndarray, y: np.nda
     z = np.abs(pos - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
     z[seen < 3] = 0
     best = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    best = best[z[best] > 2]
+    best = best[z[best] > 2].astype(place.dtype)
     k = np.minimum(np.searchsorted(best, place), max(len(best) - 1, 0))
     hit = best[k] == place if len(best) else np.zeros(len(place), bool)
     row, k = row[hit], k[hit]
@@ -132,10 +132,10 @@ def fit_chain(row: np.ndarray, place: np.ndarray, labels: np.ndarray, fold: np.n
             out = fold == f
             if out.all():
                 continue
-            new = np.cumsum(~out) - 1
+            new = (np.cumsum(~out) - 1).astype(np.int32)
             use = ~out[row]
             part = fit_linear(new[row[use]], place[use], oof[~out], y[~out])
-            new = np.cumsum(out) - 1
+            new = (np.cumsum(out) - 1).astype(np.int32)
             use = out[row]
             p[out] = part.predict(new[row[use]], place[use], oof[out])
         models.append(fit_linear(row, place, oof, y))
@@ -168,8 +168,8 @@ def sample(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: st
     t = t.sort_by("id").combine_chunks()
     places = t.column("places").combine_chunks()
     n = t.num_rows
-    row = np.repeat(np.arange(n), places.value_lengths().to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int64)
-    place = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(n, dtype=np.int32), places.value_lengths().to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int32)
+    place = places.flatten().to_numpy(zero_copy_only=False)
     y = np.column_stack([t.column(c).to_numpy() for c in categories]) if n else np.zeros((0, len(categories)), int)
     return row, place, y, (C.mix(np.arange(1, n + 1, dtype=np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
 
