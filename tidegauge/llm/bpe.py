@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries of the tables of a worker.
-TABLE_WORDS = 700_000
-TABLE_PRETOKENS = 700_000
+#: Entries after which a worker's table becomes its old one.
+TABLE = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -156,61 +156,78 @@ class Merger:
 
 
 class WordTable:
-    """Ids of whole texts through tables of words and of pre-tokens.
+    """Ids of whole texts through one table of words and of pre-tokens.
 
     A text is cut at single spaces, which never lie inside a pre-token unless white space stands before them; words after
-    which that is so are joined with the next before the pattern cuts them. `ids_of` gives the ids of a list of pre-tokens.
+    which that is so are joined with the next before the pattern cuts them. `ids_of` gives the ids of a list of pre-tokens. A
+    word's key stands for the word with a space before it; other pre-tokens have keys that start with a space. When the table
+    is full it becomes the old one, from which words still in use are taken back, and a new one is begun.
     """
 
     def __init__(self, pattern: str, ids_of, dtype: str):
         self.cut = regex.compile(pattern).findall
-        self.ids_of, self.dtype = ids_of, dtype
-        self.words: dict[str, bytes | None] = {}
-        self.pretokens: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[list[str]]) -> None:
-        table = self.pretokens
-        new = list(dict.fromkeys([p for x in parts for p in x if p not in table]))
-        if len(table) + len(new) > TABLE_PRETOKENS:
-            table.clear()
-            new = list(dict.fromkeys([p for x in parts for p in x]))
-        for p, ids in zip(new, self.ids_of(new)):
-            table[p] = np.array(ids, self.dtype).tobytes()
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        parts = [self.cut(c) for c in chunks]
-        self._learn(parts)
-        table = self.pretokens
-        return [b"".join([table[p] for p in x]) for x in parts]
+        self.ids_of, self.dtype, self.code = ids_of, dtype, "H" if np.dtype(dtype).itemsize == 2 else "I"
+        self.table: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _known(self, key: str) -> bool:
+        if key in self.table:
+            return True
+        ids = self.old.get(key)
+        if ids is not None:
+            self.table[key] = ids
+        return ids is not None
+
+    def _learn(self, chunks: list[str]) -> list[list[str]]:
+        """The keys of the pre-tokens of each chunk, all of them in the table."""
+        keys, new, table = [], {}, self.table
+        for c in chunks:
+            parts = [c] if c[:1] == " " and c[1:].isalpha() else self.cut(c)
+            own = [p[1:] if p[0] == " " and not p[-1].isspace() else " " + p for p in parts]
+            keys.append(own)
+            for k, p in zip(own, parts):
+                if k not in table and not self._known(k):
+                    new[k] = p
+        if new:
+            code = self.code
+            for k, ids in zip(new, self.ids_of(list(new.values()))):
+                table[k] = array(code, ids).tobytes()
+        return keys
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        table = self.table
+        return [table[own[0]] if len(own) == 1 else b"".join([table[k] for k in own]) for own in self._learn(chunks)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as the bytes of an array of dtype."""
-        table = self.words
-        if len(table) > TABLE_WORDS:
-            table.clear()
+        if len(self.table) > TABLE:
+            self.old, self.table = self.table, {}
+        table = self.table
+        get = table.get
         split = [t.split(" ") for t in texts]
-        new = list({w for x in split for w in x[1:] if w not in table})
-        good = [w for w in new if w and not w[-1].isspace()]
-        for w, ids in zip(good, self._chunks([" " + w for w in good])):
+        found = [list(map(get, x[1:])) for x in split]
+        gaps = [[k for k, i in enumerate(v) if i is None] if None in v else () for v in found]
+        missing = {x[k + 1] for x, g in zip(split, gaps) for k in g}
+        new = [w for w in missing if w and not w[-1].isspace() and not self._known(w)]
+        for w, ids in zip(new, self._ids([" " + w for w in new])):
             table[w] = ids
-        for w in new:
-            if not w or w[-1].isspace():
-                table[w] = None
-        heads = self._chunks([x[0] for x in split])
         out = []
-        for head, (first, *rest) in zip(heads, split):
-            ids = [table[w] for w in rest]
-            if None not in ids and not (first and first[-1].isspace()):
-                out.append(head + b"".join(ids))
+        for head, x, v, g in zip(self._ids([x[0] for x in split]), split, found, gaps):
+            whole = not (v and x[0] and x[0][-1].isspace())
+            for k in g:
+                v[k] = get(x[k + 1])
+                whole = whole and v[k] is not None
+            if whole:
+                out.append(head + b"".join(v))
                 continue
-            chunks, open_ = [], first
-            for w in rest:
+            chunks, open_ = [], x[0]
+            for w in x[1:]:
                 if open_ and not open_[-1].isspace():
                     chunks.append(open_)
                     open_ = " " + w
                 else:
                     open_ += " " + w
-            out.append(b"".join(self._chunks([*chunks, open_])))
+            out.append(b"".join(self._ids([*chunks, open_])))
         return out
 
 
