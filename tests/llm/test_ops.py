@@ -200,6 +200,44 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.deduplicated(empty).count() == 0
 
 
+def without_repeats_brute(texts):
+    """Texts by id, less the lines whose repeated pairs of lines with words all have an earlier copy."""
+    lines = {i: t.split("\n") for i, t in texts.items() if t is not None}
+    places = {}
+    for i in sorted(lines):
+        worded = [k for k, t in enumerate(lines[i]) if WORD.search(t)]
+        for a, b in zip(worded, worded[1:]):
+            places.setdefault(tuple(lines[i][a : b + 1]), []).append((i, a, b))
+    gone, stay = set(), set()
+    for at in places.values():
+        for n, (i, a, b) in enumerate(at if len(at) > 1 else ()):
+            (gone if n else stay).update((i, k) for k in range(a, b + 1))
+    return {i: t if t is None else "\n".join(x for k, x in enumerate(lines[i]) if (i, k) not in gone - stay) for i, t in texts.items()}
+
+
+def test_repeated_runs_of_3_to_6_lines_all_go(spark, empty):
+    rng = random.Random(3)
+    texts, want = {}, {}
+    for p in range(40):
+        passage = [prose(rng, 9) for _ in range(3 + p % 4)]
+        if p % 5 == 0:
+            passage.insert(1, "")
+        for copy in range(3):
+            before, after = ([prose(rng, 8) for _ in range(rng.randint(1, 6))] for _ in "ab")
+            texts[3 * p + copy] = "\n".join([*before, *passage, *after])
+            want[3 * p + copy] = "\n".join([*before, *([] if copy else passage), *after])
+    same = prose(rng, 6)
+    texts |= {500: "\n".join([same] * 7), 501: None, 502: "", 503: "once\n\n\nonly", 504: "\n".join([same] * 3)}
+    want |= {500: f"{same}\n{same}", 501: None, 502: "", 503: "once\n\n\nonly", 504: ""}
+    rows = [*texts.items(), (None, texts[0]), (900, texts[0]), (900, texts[0])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in line_dedup.without_repeats(d, removed_col="gone").collect()}
+    assert without_repeats_brute(texts) == want
+    assert {i: got[i].text for i in texts} == want
+    assert got[None].text == got[900].text == texts[0] and got[900].gone == 0 and got[500].gone == 5
+    assert line_dedup.without_repeats(empty).count() == 0
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(3)
     items = [prose(rng, n) for n in (40, 20, 13, 6)]

@@ -77,6 +77,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_removed_chunks", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.without_repeats(_documents(spark, sf_dir).select("doc_id", "text"), removed_col="n_removed_lines")
+    return out.select("doc_id", "n_removed_lines", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
