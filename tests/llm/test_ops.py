@@ -68,6 +68,18 @@ def test_near_dedup_equals_brute_force(docs, empty, texts):
     assert kept.columns == docs.columns and kept.count() == 1 + len({root(i) for i in range(len(texts))})
 
 
+def test_near_dedup_finds_pairs_whose_counts_differ(spark):
+    rng = random.Random(6)
+    rows = []
+    for p in range(6):
+        text, line = prose(rng, 304), prose(rng, 15)
+        rows += [(2 * p, f"{text}\n{line}"), (2 * p + 1, f"{text}\n{line}" + f"\n{line}" * 60)]
+    sets = [shingle_set(t) for _, t in rows]
+    assert all(len(sets[i] & sets[i + 1]) > 0.9 * len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2))
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 300).astype(np.uint64)

@@ -1,10 +1,11 @@
 """Near-duplicate documents by ProbMinHash.
 
-A document is its five-word shingles, weighted by how often they occur in it (a text of fewer words is one shingle). Every
-shingle is the source of a Poisson process whose rate is its weight; each arrival falls on one of SIZE registers, and a
-register keeps its earliest arrival. A shingle's process ends as soon as its next arrival is later than every register's
-(early termination). The share of equal registers estimates the probability Jaccard similarity of two documents; BANDS
-bands of equal registers give candidates, and each link is verified on the documents' whole shingle sets.
+A document is the set of its five-word shingles (a text of fewer words is one shingle). Every shingle is the source of a
+Poisson process whose rate is its weight; each arrival falls on one of SIZE registers, and a register keeps its earliest
+arrival. A shingle's process ends as soon as its next arrival is later than every register's (early termination). The share
+of equal registers estimates the probability Jaccard similarity of two documents. All weights are 1, however often a shingle
+occurs in a document, so this is the set Jaccard similarity that links are judged on: BANDS bands of equal registers give
+candidates, and each link is verified on the documents' whole shingle sets.
 
 Texts with the same words are one node, so copies never meet in a bucket. In each bucket all nodes are first compared with
 the bucket's head; components of verified links follow. In buckets that still hold several components, all pairs of nodes of
@@ -84,9 +85,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in C.pieces(batch.column(0), batch.column(1)):
-                doc, h, weight, k1, k2 = shingles(texts)
+                doc, h, _, k1, k2 = shingles(texts)
                 n = np.bincount(doc, minlength=len(texts))
-                regs = registers(doc, h, weight, len(texts)).reshape(len(texts), BANDS, ROWS)
+                regs = registers(doc, h, np.ones(len(h)), len(texts)).reshape(len(texts), BANDS, ROWS)
                 band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), BANDS))
                 for r in range(ROWS):
                     band = C.mix(band * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r])
