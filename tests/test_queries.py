@@ -1,10 +1,12 @@
 """Every query that has a statement gives the same rows on DuckDB; the driver's tables at the smallest size."""
 
+import hashlib
 import os
 import subprocess
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 
 from tidegauge.plans import catalog
@@ -45,3 +47,20 @@ def test_scores_need_no_shuffle_of_cells(spark):
 def test_entry_works_from_any_folder(tmp_path):
     code = f"import sys; sys.path.insert(0, {ROOT!r}); import __spark_entry__ as e; assert 'tail_report' in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_bootstraps_equal_brute_force_over_10000_replicates(spark, monkeypatch):
+    cells = {(d, a, s, f"x{k}"): (17 * k * k + 5 * s + (3 * k + 2) * (a == "b") + len(d)) % 23 / 23 for d in ("p", "qq") for a in "ab" for s in range(3) for k in range(5)}
+    small = spark.createDataFrame([(*c, v) for c, v in cells.items()], "dataset string, arm string, seed int, stem string, value double")
+    monkeypatch.setattr(catalog, "runs", lambda spark, sf_dir: small)
+
+    def draws(n, *key):
+        return [int(hashlib.md5("|".join(map(str, (0, *key, j))).encode()).hexdigest()[:8], 16) % n for j in range(n)]
+
+    image, nested = {}, {}
+    for d in ("p", "qq"):
+        v = np.array([[cells[d, "b", s, f"x{k}"] - cells[d, "a", s, f"x{k}"] for k in range(5)] for s in range(3)])
+        for out, reps in ((image, [v.mean(0)[draws(5, d, r)].mean() for r in range(10_000)]), (nested, [v[np.ix_(draws(3, "seed", d, r), draws(5, "stem", d, r))].mean() for r in range(10_000)])):
+            out[d] = (5, *(pytest.approx(x, abs=2e-6) for x in (v.mean(), *np.quantile(reps, (0.025, 0.975)))))
+    for name, want in (("image_bootstrap", image), ("hierarchical_bootstrap", nested)):
+        assert {r.dataset: (r.n, r["mean"], r.lo, r.hi) for r in catalog.queries()[name](spark, SF).collect()} == want

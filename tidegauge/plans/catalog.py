@@ -22,7 +22,7 @@ from tidegauge.streaming import tail_state
 P, ALPHA = 0.15, 0.02
 RATIO = math.log(P / ALPHA)
 TAUS = {"a": (-0.02, 0.0, 0.02), "b": (-0.01, 0.01, 0.03)}
-N_BOOT = 200
+N_BOOT = 10_000
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
