@@ -306,3 +306,17 @@ def test_secret_scan(spark, empty):
     texts = dict((a, b) for a, b, _ in rows)
     assert all(hashlib.sha256(texts[r.doc_id][r.start : r.start + r.length].encode()).hexdigest() == r.digest for r in got)
     assert secret_scan.scan(empty).count() == 0
+
+
+def test_dictionary_counts_all_documents(spark, empty):
+    n = 6000
+    rows = [("aaa copy" if i % 2 else f"word{chr(97 + i // 260)}{chr(97 + i // 10 % 26)}{chr(97 + i % 10)} rare",) for i in range(n)]
+    d = spark.createDataFrame([*rows, (None,)], "text string").repartition(3)
+    counts = Counter(w for (t,) in rows for w in set(re.findall(r"[^\W\d_]{3,}", t)))
+    for size in (2, 3, 2500, 5000):
+        assert secret_scan.dictionary(d, size=size) == frozenset(sorted(counts, key=lambda w: (-counts[w], w))[:size])
+    # More distinct texts than any sample held: a word of the last few only is counted too.
+    many = spark.range(5200).selectExpr("concat('text', translate(cast(id AS string), '0123456789', 'abcdefghij'), CASE WHEN id % 3 = 0 THEN ' alpha' ELSE ' beta' END) AS text")
+    got = secret_scan.dictionary(many, size=6000)
+    assert len(got) == 5202 and secret_scan.dictionary(many, size=2) == {"alpha", "beta"}
+    assert secret_scan.dictionary(empty) == frozenset()

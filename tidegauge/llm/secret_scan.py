@@ -4,7 +4,7 @@ A candidate is a run of 16 or more characters of the alphabets of keys (letters,
 The forest sees its length, entropy, shares of character classes and of transitions between them, how much of it words of a
 dictionary cover, whether it looks like a path or address, and the words and marks next to it. It is trained from labelled
 findings, at most MAX_FINDINGS of each class (the smallest hashes), drawn from the whole corpus. The dictionary holds the
-DICTIONARY most frequent words of a bounded sample of documents.
+DICTIONARY words that stand in the most documents, counted over all documents.
 
 Where no findings are labelled, `assignment_labels` labels those it can: a candidate given in quotes to a name such as token,
 key, secret or password is a secret; digits only, words with no digit and addresses are not; the rest stays unlabelled.
@@ -32,7 +32,6 @@ from . import common as C
 
 MAX_FINDINGS = 10_000
 DICTIONARY = 5_000
-DICTIONARY_DOCS = 5_000
 TREES, DEPTH, SEED = 30, 6, 11
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
 #: Names of values that must stay secret.
@@ -72,10 +71,10 @@ def features(text: str, start: int, end: int, path: str, words: frozenset[str])
     ]
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", n_docs: int = DICTIONARY_DOCS, size: int = DICTIONARY) -> frozenset[str]:
-    """The most frequent words of three or more letters in a bounded sample of documents."""
+def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> frozenset[str]:
+    """The words of three or more letters that stand in the most documents; ties are broken by the word."""
     some = docs.select(F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
-    words = C.hash_sample(some, F.col("t"), n_docs).select(F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(t), '\\p{L}{3,}', 0)"))).alias("w"))
+    words = some.select(F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(t), '\\p{L}{3,}', 0)"))).alias("w"))
     top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size)
     return frozenset(r["w"] for r in top.collect())
 
