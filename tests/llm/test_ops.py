@@ -266,6 +266,27 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0
 
 
+def test_decontamination_finds_every_accepted_pattern():
+    rng = np.random.default_rng(8)
+    words = lambda n: rng.integers(1, 2**63, n).astype(np.uint64)
+    for n in (9, 10, 11, 12, 13, 16, 18):
+        block = decontaminate.Block([0], [" ".join(f"w{n}x{k}" for k in range(n))])
+        x = block.words[0]
+        bad = [(i, j) for i in range(n) for j in range(i)] if n >= 13 else [(i,) for i in range(n)]
+        for places in bad:
+            y = x.copy()
+            y[list(places)] = words(len(places))
+            for around in (0, 20):
+                w = np.concatenate([words(around), y, words(around)])
+                want = block.matched(w, 0, around)
+                assert want == n - len(places) and block.overlaps(w) == {0: want}, (n, places)
+        assert block.overlaps(np.concatenate([words(9), x])) == {0: n}
+    # All but one word of nine at the border of a document.
+    block = decontaminate.Block([0], ["a b c d e f g h i"])
+    x = block.words[0]
+    assert block.overlaps(np.concatenate([x[1:], words(9)])) == block.overlaps(np.concatenate([words(9), x[:-1]])) == {0: 8}
+
+
 def test_toxicity_on_held_out_documents(spark, empty):
     rng = random.Random(6)
     rows, labels = [], []

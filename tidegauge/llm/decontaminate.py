@@ -1,7 +1,9 @@
 """Documents that hold passages of a benchmark, found by spaced seeds.
 
 Words are compared in lower case without ASCII punctuation. A seed is SPAN consecutive words of which a fixed mask ignores
-some; each of MASKS ignores others, so a passage with words replaced still shares a seed under one of them. Seeds of the
+some; each of MASKS ignores others, so a passage with words replaced still shares a seed under one of them. The masks leave no
+gap: whichever MATCHES words of a window are equal, and whichever word of 10 to 12 is replaced, one of them gives a seed; so
+they do for the inner words of 9, and a passage of SPAN words is also found by its first or last SPAN - 1. Seeds of the
 benchmark and of the documents meet by hash. Around each hit the passage is laid along the document on the hit's diagonal,
 and the hit counts if in some window of WINDOW words at least MATCHES are equal (for shorter passages: all but one word in
 seven of the whole passage).
@@ -28,7 +30,7 @@ from . import common as C
 
 SPAN = 9
 #: 1: the word counts, 0: it is ignored.
-MASKS = ("111101101", "110111011", "101011111")
+MASKS = ("111101101", "110111011", "101011111", "001111111", "111100101")
 WINDOW, MATCHES = 13, 11
 BLOCK_WORDS = 1_000_000
 _TABLE = C.separators(bytes(b for b in range(128) if not chr(b).isalnum()))
@@ -74,11 +76,12 @@ class Block:
         self.bits = 22
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self.h >> np.uint64(64 - self.bits)] = True
-        # Passages below a span: by the hash of all their words, per length.
+        # Passages below a span: by the hash of all their words, per length. Of a span: by all but the first or last word.
         self.short: dict[int, dict[int, list[int]]] = {}
         for i, x in enumerate(self.words):
-            if 0 < len(x) < SPAN:
-                self.short.setdefault(len(x), {}).setdefault(int(C.grams(x, len(x))[0]), []).append(i)
+            size = min(len(x), SPAN - 1)
+            for h in C.grams(x, size).tolist() if 0 < len(x) <= SPAN else ():
+                self.short.setdefault(size, {}).setdefault(h, []).append(i)
 
     def hits(self, w: np.ndarray) -> set[tuple[int, int]]:
         """(passage, diagonal) of the hits in one run of words, the diagonal being where the passage's first word would stand."""
@@ -111,7 +114,7 @@ class Block:
         for size, table in self.short.items():
             for h in np.unique(C.grams(w, size)).tolist() if len(w) >= size else ():
                 for item in table.get(h, ()):
-                    out[item] = size
+                    out[item] = max(out.get(item, 0), size)
         return out
 
 
