@@ -1,6 +1,8 @@
 """Operators against brute-force versions on small fixtures, with nulls, empty and long texts, ties and clashing columns."""
 
+import glob
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -8,10 +10,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat, common, decontaminate, line_dedup, near_dedup, quality, secret_scan, substring, token_store, toxicity
+from tidegauge.llm import bpe, chat, chunk_table, common, decontaminate, line_dedup, near_dedup, quality, secret_scan, substring, token_store, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -111,30 +114,104 @@ def test_quality_ablation(spark):
 
 def test_token_store_round_trip(spark, docs, empty, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    store = token_store.write(docs, common.shared_dir(spark), path, public_tokenizers.PATTERN, 2)
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in [(None, "no id " * 3), *enumerate(texts)]}
-    rows = token_store.checksums(store, spark).collect()
-    start = 0
-    for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id)):
-        ids = want[r.doc_id]
-        assert (r.start, r.n_tokens, r.ids_crc32, r.verified) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
-        start += len(ids)
-    assert {r.doc_id: r.ids for r in token_store.documents(store, spark).collect()} == want
+    for special_as_text in (False, True):
+        store = token_store.write(docs, common.shared_dir(spark), path, 2, special_as_text=special_as_text)
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = special_as_text
+        want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in [(None, "no id " * 3), *enumerate(texts)]}
+        assert (50256 in want[15]) != special_as_text
+        rows = token_store.checksums(store, spark).collect()
+        start = 0
+        for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id)):
+            ids = want[r.doc_id]
+            assert (r.start, r.n_tokens, r.ids_crc32, r.verified) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+            start += len(ids)
+        assert {r.doc_id: r.ids for r in token_store.documents(store, spark).collect()} == want
     names = [r.name for r in store.table(spark, "chunks").collect()]
     assert len(names) == len(set(names))
-    none = token_store.write(empty, common.shared_dir(spark), path, public_tokenizers.PATTERN, 2)
-    assert token_store.checksums(none, spark).count() == 0
+    none = token_store.write(empty, common.shared_dir(spark), path, 2)
+    assert token_store.checksums(none, spark).count() == 0 and token_store.audit(none, spark).count() == 0
+
+
+def test_token_store_reports_what_is_lost_or_changed(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 400)) for i in range(40)] + [(7, "again"), (7, "again"), (7, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    store = token_store.write(d, common.shared_dir(spark), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    got = token_store.checksums(store, spark).collect()
+    assert len(got) == 43 and all(r.verified for r in got) and all(r.ok for r in token_store.audit(store, spark).collect())
+    again = sorted((r.start, r.n_tokens) for r in got if r.doc_id == 7)
+    assert len(again) == 4 and all(a + n == b for (a, n), (b, _) in zip(again, again[1:]))
+    folder = store.path.removeprefix("file://")
+    chunk = store.table(spark, "chunks").first().name
+    bad = store.table(spark, "chunks").withColumn("data", F.when(F.col("name") == chunk, F.unhex(F.lit("0000"))).otherwise(F.col("data")))
+    common.written(bad, "chunks")
+    other = token_store.Store(common.shared_dir(spark), store.dtype)
+    for t in ("recipes", "manifest", "root"):
+        store.table(spark, t).write.parquet(f"{other.path}/{t}")
+    bad.write.parquet(f"{other.path}/chunks")
+    holds = {r.id for r in store.table(spark, "recipes").where(F.array_contains("names", chunk)).collect()}
+    assert {r.doc_id for r in token_store.checksums(other, spark).collect() if not r.verified} == holds
+    assert {r.doc_id for r in token_store.documents(other, spark).collect() if r.ids is None} == holds
+    # A file of recipes that is lost as a whole.
+    files = sorted(glob.glob(f"{folder}/recipes/*.parquet"))
+    part = spark.read.parquet(f"file://{files[0]}").first().part
+    os.remove(files[0])
+    lost = {r.part: (r.ok, r.n_found) for r in token_store.audit(store, spark).collect()}
+    assert lost[part] == (False, 0) and all(ok for p, (ok, _) in lost.items() if p != part)
+
+
+def test_chunk_table_equals_the_library_for_other_vocabularies():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(10)
+    parts = [" ", "  ", "\n", "\n\n", "Word", "'s", "'lls", "x1", "!", "é", "漢", "\u00a0", "\u3000", "\x1c", "\u2009", "\t", "<|endoftext|>", "ing", "😀", "?\n", "ªº"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(1500)] + ["word " * 30_000, "ab" * 40_000, ""]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        for special_as_text in (False, True):
+            lib = token_store.Library(public_tokenizers.path(name), special_as_text)
+            assert lib.cut == (name == "byte_bpe_50k.json")
+            t = Tokenizer.from_file(public_tokenizers.path(name))
+            t.encode_special_tokens = special_as_text
+            for k in range(0, len(some), 500):
+                ids, offsets = lib.table.encode(pa.array(some[k : k + 500], pa.large_string()))
+                for x, a, b in zip(some[k : k + 500], offsets, offsets[1:]):
+                    assert ids[a:b].tolist() == t.encode(x, add_special_tokens=False).ids, (name, x)
+
+
+def test_chunk_table_survives_equal_hashes_and_a_full_table(monkeypatch):
+    table = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(11)
+    texts = pa.array([prose(rng, 300) for _ in range(40)], pa.large_string())
+    ids, offsets = table.encode(texts)
+    monkeypatch.setattr(chunk_table, "MOST", 50)
+    monkeypatch.setattr(chunk_table, "BLOCK", 100)
+    assert all(np.array_equal(a, b) for a, b in zip(table.encode(texts), (ids, offsets)))
+    real = common.word_hashes
+    monkeypatch.setattr(common, "word_hashes", lambda *a: real(*a) & np.uint64(0xFF00000000000000))
+    table._empty()
+    assert all(np.array_equal(a, b) for a, b in zip(table.encode(texts), (ids, offsets)))
+    table._empty()
+
+
+def test_hot_keys_are_dealt_over_many_parts(spark):
+    many = spark.range(40_000).select(F.when(F.col("id") < 30_000, 7).otherwise(F.col("id")).alias("k"), "id")
+    one = many.select("k").distinct().withColumn("v", F.col("k") * 2)
+    hot = common.hot_keys(many.groupBy("k").agg(F.count("*").alias("n")), "k")
+    assert [tuple(r) for r in hot.collect()] == [(7, 7500)]
+    got = common.spread_join(many, one, "k", hot)
+    assert got.count() == 40_000 and got.where("v <> 2 * k").isEmpty() and got.columns == ["k", "id", "v"]
+    assert common.spread_join(many, one.where("k = 7"), "k", hot, "left_semi").count() == 30_000
 
 
 def test_cuts_resist_shifts():
     ids = np.random.default_rng(1).integers(0, 50_000, 40_000)
-    a = {ids[x:y].tobytes() for x, y in zip([0, *token_store.cuts(ids)], token_store.cuts(ids))}
+    ends = token_store.cuts(ids)[0]
+    a = {ids[x:y].tobytes() for x, y in zip([0, *ends], ends)}
     moved = np.concatenate([[7, 8, 9], ids])
-    ends = token_store.cuts(moved)
+    ends = token_store.cuts(moved)[0]
     b = {moved[x:y].tobytes() for x, y in zip([0, *ends], ends)}
     assert len(a & b) > 0.9 * len(a) and max(np.diff([0, *ends])) <= token_store.MOST
 
@@ -189,14 +266,14 @@ def test_bpe_random_strings_and_long_pretokens():
     import tiktoken
 
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
-    table, back = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    table = bpe.codec(RANKS, public_tokenizers.PATTERN)
     rng = random.Random(8)
     parts = [" ", "  ", "\n", "a", "b", "é", "漢", "1", "!", "'s", " ", "\x1c", "　", "\t", "The", "ing", "😀"]
     some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
     some += ["a" * 20_000, "".join(rng.choice("abcdefghinrst") for _ in range(20_000)), "ab" * 5000 + "é" * 3000]
-    for s, x in zip(some, table.encode(some)):
-        ids = np.frombuffer(x, table.dtype).tolist()
-        assert ids == enc.encode_ordinary(s) and bpe.decode(ids, back) == s.encode()
+    ids, offsets = table.encode(pa.array(some, pa.large_string()))
+    for s, a, b in zip(some, offsets, offsets[1:]):
+        assert ids[a:b].tolist() == enc.encode_ordinary(s) and table.decode(ids[a:b]).tobytes() == s.encode()
 
 
 def test_line_dedup(spark, docs, empty):

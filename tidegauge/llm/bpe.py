@@ -6,8 +6,9 @@ next rank in constant time. A merge changes its neighbours' pairs by pushing new
 when they are taken, since the rank noted at their position has changed. A pre-token of n bytes costs O(n) queue steps
 and sorts of its buckets. If a merge makes a pair of lower rank than its own, the rest of the bucket goes back and waits.
 
-Texts are cut into pre-tokens by the pattern of the vocabulary. Each worker keeps a bounded table of results, by word and
-by pre-token, so the queue runs once for each distinct pre-token that the table holds; it is emptied when full.
+Texts are cut into pre-tokens by the pattern of the vocabulary. Each worker keeps a bounded table of results (chunk_table), so
+the queue runs once for each distinct pre-token of the chunks that are new to it. A block's ids are decoded and compared with
+its bytes.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to no bytes; repeated rows are encoded
 one by one; only the named columns are read; an empty table gives an empty one. Ids and bytes of a text are held by one
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries after which a worker's table becomes its old one.
-TABLE = 500_000
+from . import common as C
+from .chunk_table import PATTERN, ChunkTable, flattened
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -155,100 +155,26 @@ class Merger:
                     break
 
 
-class WordTable:
-    """Ids of whole texts through one table of words and of pre-tokens.
-
-    A text is cut at single spaces, which never lie inside a pre-token unless white space stands before them; words after
-    which that is so are joined with the next before the pattern cuts them. `ids_of` gives the ids of a list of pre-tokens. A
-    word's key stands for the word with a space before it; other pre-tokens have keys that start with a space. When the table
-    is full it becomes the old one, from which words still in use are taken back, and a new one is begun.
-    """
-
-    def __init__(self, pattern: str, ids_of, dtype: str):
-        self.cut = regex.compile(pattern).findall
-        self.ids_of, self.dtype, self.code = ids_of, dtype, "H" if np.dtype(dtype).itemsize == 2 else "I"
-        self.table: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _known(self, key: str) -> bool:
-        if key in self.table:
-            return True
-        ids = self.old.get(key)
-        if ids is not None:
-            self.table[key] = ids
-        return ids is not None
-
-    def _learn(self, chunks: list[str]) -> list[list[str]]:
-        """The keys of the pre-tokens of each chunk, all of them in the table."""
-        keys, new, table = [], {}, self.table
-        for c in chunks:
-            parts = [c] if c[:1] == " " and c[1:].isalpha() else self.cut(c)
-            own = [p[1:] if p[0] == " " and not p[-1].isspace() else " " + p for p in parts]
-            keys.append(own)
-            for k, p in zip(own, parts):
-                if k not in table and not self._known(k):
-                    new[k] = p
-        if new:
-            code = self.code
-            for k, ids in zip(new, self.ids_of(list(new.values()))):
-                table[k] = array(code, ids).tobytes()
-        return keys
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        table = self.table
-        return [table[own[0]] if len(own) == 1 else b"".join([table[k] for k in own]) for own in self._learn(chunks)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as the bytes of an array of dtype."""
-        if len(self.table) > TABLE:
-            self.old, self.table = self.table, {}
-        table = self.table
-        get = table.get
-        split = [t.split(" ") for t in texts]
-        found = [list(map(get, x[1:])) for x in split]
-        gaps = [[k for k, i in enumerate(v) if i is None] if None in v else () for v in found]
-        missing = {x[k + 1] for x, g in zip(split, gaps) for k in g}
-        new = [w for w in missing if w and not w[-1].isspace() and not self._known(w)]
-        for w, ids in zip(new, self._ids([" " + w for w in new])):
-            table[w] = ids
-        out = []
-        for head, x, v, g in zip(self._ids([x[0] for x in split]), split, found, gaps):
-            whole = not (v and x[0] and x[0][-1].isspace())
-            for k in g:
-                v[k] = get(x[k + 1])
-                whole = whole and v[k] is not None
-            if whole:
-                out.append(head + b"".join(v))
-                continue
-            chunks, open_ = [], x[0]
-            for w in x[1:]:
-                if open_ and not open_[-1].isspace():
-                    chunks.append(open_)
-                    open_ = " " + w
-                else:
-                    open_ += " " + w
-            out.append(b"".join(self._ids([*chunks, open_])))
-        return out
-
-
-_made: dict[tuple, tuple] = {}
+_made: dict[tuple, ChunkTable] = {}
 
 
-def codec(path: str, pattern: str) -> tuple[WordTable, list[bytes]]:
-    """The table of this worker for a vocabulary, and the bytes of each id."""
+def codec(path: str, pattern: str) -> ChunkTable:
+    """The table of this worker for a vocabulary."""
     if (path, pattern) not in _made:
         ranks = load_ranks(path)
-        merger = Merger(ranks)
+        merger, cut, known = Merger(ranks), regex.compile(pattern).findall, pattern == PATTERN
         back = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             back[rank] = token
-        dtype = "<u2" if len(back) <= 1 << 16 else "<u4"
-        _made[path, pattern] = WordTable(pattern, lambda parts: merger([p.encode() for p in parts]), dtype), back
-    return _made[path, pattern]
 
+        def ids_of(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            own = [[c] if known and c[:1] == " " and c[1:].isalpha() else cut(c) for c in chunks]
+            new = list(dict.fromkeys(p for parts in own for p in parts))
+            ids = dict(zip(new, merger([p.encode() for p in new])))
+            return flattened([ids[parts[0]] if len(parts) == 1 else [i for p in parts for i in ids[p]] for parts in own])
 
-def decode(ids: list[int], back: list[bytes]) -> bytes:
-    return b"".join([back[i] for i in ids])
+        _made[path, pattern] = ChunkTable(back, ids_of, known)
+    return _made[path, pattern]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,12 +182,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     kind = docs.select(id_col).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, back = codec(path, pattern)
-        for key, text in _rows(batches):
-            ids = [np.frombuffer(x, table.dtype).astype(np.int32) for x in table.encode(text)]
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([decode(x.tolist(), back) for x in ids], pa.binary())], ["id", "ids", "decoded"])
+        table = codec(path, pattern)
+        for batch in batches:
+            for key, texts in C.pieces(batch.column(0), batch.column(1)):
+                ids, offsets = table.encode(texts)
+                bytes_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(table.byte_offsets(ids, offsets)), pa.py_buffer(table.decode(ids))])
+                yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))), bytes_.cast(pa.binary())], ["id", "ids", "decoded"])
 
     out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded binary")
     return out.withColumnRenamed("id", id_col)
@@ -273,24 +199,16 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     kind = docs.select(id_col).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, back = codec(path, pattern)
-        decimal = [str(i) for i in range(len(back))]
-        for key, text in _rows(batches):
-            n, a, b = [], [], []
-            for x in table.encode(text):
-                ids = np.frombuffer(x, table.dtype).tolist()
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
-                b.append(hashlib.sha256(decode(ids, back)).hexdigest())
-            yield pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        table = codec(path, pattern)
+        decimal = [str(i) for i in range(len(table.lengths))]
+        for batch in batches:
+            for key, texts in C.pieces(batch.column(0), batch.column(1)):
+                ids, offsets = table.encode(texts)
+                back, places = table.decode(ids).tobytes(), table.byte_offsets(ids, offsets).tolist()
+                words, at = list(map(decimal.__getitem__, ids.tolist())), offsets.tolist()
+                a = [hashlib.sha256(" ".join(words[x:y]).encode()).hexdigest() for x, y in zip(at, at[1:])]
+                b = [hashlib.sha256(back[x:y]).hexdigest() for x, y in zip(places, places[1:])]
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.diff(offsets)), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
-
-
-def _rows(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Parts of the batches of so many rows: ids and texts, null as empty."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
-            yield part.column(0), [t or "" for t in part.column(1).to_pylist()]

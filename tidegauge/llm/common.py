@@ -21,9 +21,12 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a folder of this machine."""
+    """A new folder below spark.checkpoint.dir; where that is unset, below a folder of this machine if all executors run on it
+    (a local master, as in tests), otherwise an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
@@ -38,6 +41,29 @@ def written(df: DataFrame, name: str = "table", partition_by: list[str] | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it has more than 1 / HOT of the rows that are counted, so there are at most HOT hot keys.
+HOT = 10_000
+#: Rows of one key that any task can hold.
+FEW = 1_000
+
+
+def hot_keys(counts: DataFrame, key: str) -> DataFrame:
+    """key and parts (over how many parts its rows are dealt) for the hot keys of counts (key, n); at most HOT rows."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = counts.where((F.col("n") * HOT > total) & (F.col("n") > FEW))
+    return written(hot.select(F.col(key).alias("_hot"), F.ceil(F.col("n") * F.lit(HOT) / F.lit(max(total, 1))).cast("int").alias("_parts")), "hot")
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """many.join(one, key) where `one` has each key once and hot keys of `many` are dealt over several tasks: their rows of `many`
+    get a part by a hash of the row, their row of `one` goes to each part. Only the hot keys (at most HOT rows) are broadcast."""
+    hot = F.broadcast(hot)
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*many.columns), F.col("_parts").cast("long"))).cast("int")
+    a = many.join(hot, many[key] == hot["_hot"], "left").select(*many.columns, part.alias("_part"))
+    b = one.join(hot, one[key] == hot["_hot"], "left").select(*one.columns, F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
+    return a.join(b, [key, "_part"], how).drop("_part")
+
+
 def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
     """The rows of the n smallest distinct hashes of a key, one row for each: a sample of at most n rows that does not depend
     on how rows are dealt out. Only hashes travel to find the largest of them."""

@@ -26,7 +26,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = token_store.write(_documents(spark, sf_dir), common.shared_dir(spark), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2)
+    store = token_store.write(_documents(spark, sf_dir), common.shared_dir(spark), public_tokenizers.path("byte_bpe_50k.json"), 2)
     return token_store.checksums(store, spark)
 
 
