@@ -5,12 +5,14 @@ A hash is 64 bits in two longs of 32 (lo, hi). Rows are (split, id, ...).
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.numeric import let
+from tidegauge.sources.shared import written
 
 HASHES = ("a", "d", "p")
 
@@ -25,38 +27,68 @@ def pack(bits: str) -> dict[str, Column]:
     return {"lo": half(0), "hi": half(32)}
 
 
-def grid_hashes(records: DataFrame, values: str = "values", side: int = 8) -> DataFrame:
-    """a: value above the mean; d: value above its left neighbour (side - 1 a row); p: coefficient of the two-dimensional
-    cosine transform above the median of all but the first, whose bit is 0. Adds <hash>_lo and <hash>_hi."""
-    n = side * side
-    basis = [[math.sqrt((1 if u == 0 else 2) / side) * math.cos((2 * x + 1) * u * math.pi / (2 * side)) for x in range(side)] for u in range(side)]
-    table = F.array(*[F.lit(c) for row in basis for c in row])
-    cells, axis = F.sequence(F.lit(0), F.lit(n - 1)), F.sequence(F.lit(0), F.lit(side - 1))
-    inner = F.array(*[F.lit(y * side + x) for y in range(side) for x in range(side - 1)])
+def resampling(n: int, m: int) -> list[list[float]]:
+    """m x n matrix that resizes n samples to m by the Lanczos kernel of order 3, widened where it makes smaller."""
+    scale = n / m
+    wide = max(scale, 1.0)
+    sinc = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x)
+    out = []
+    for i in range(m):
+        centre = (i + 0.5) * scale
+        first, last = max(0, int(centre - 3 * wide + 0.5)), min(n, int(centre + 3 * wide + 0.5))
+        row = [0.0] * n
+        for k in range(first, last):
+            x = (k + 0.5 - centre) / wide
+            row[k] = sinc(x) * sinc(x / 3) if abs(x) < 3 else 0.0
+        total = sum(row)
+        out.append([round(v / total, 15) for v in row])
+    return out
 
-    def product(get_value, get_factor) -> Column:
-        return F.aggregate(axis, F.lit(0.0), lambda s, x: s + get_value(x) * get_factor(x))
 
-    def transformed(v: Column, c: Column) -> Column:
-        # First along rows (place y * side + u), then along columns (place t * side + u).
+def cosine_rows(n: int, m: int) -> list[list[float]]:
+    """The first m rows of the orthonormal cosine transform of n samples."""
+    return [[math.sqrt((1 if u == 0 else 2) / n) * math.cos((2 * x + 1) * u * math.pi / (2 * n)) for x in range(n)] for u in range(m)]
+
+
+def product(a: list[list[float]], b: list[list[float]]) -> list[list[float]]:
+    return [[sum(x * y for x, y in zip(row, col)) for col in zip(*b)] for row in a]
+
+
+def hash_maps(h: int, w: int) -> dict[str, tuple[list[list[float]], list[list[float]]]]:
+    """For each hash the matrices L and R for which L * grid * R' holds what its bits are made of: the grid in 8 x 8 (a), in 8
+    rows of 9 (d), and the first 8 x 8 coefficients of the cosine transform of the grid in 32 x 32 (p)."""
+    low = lambda n: product(cosine_rows(32, 8), resampling(n, 32))
+    return {"a": (resampling(h, 8), resampling(w, 8)), "d": (resampling(h, 8), resampling(w, 9)), "p": (low(h), low(w))}
+
+
+def grid_hashes(records: DataFrame, values: str = "values", h: int = 8, w: int = 8) -> DataFrame:
+    """Adds <hash>_lo and <hash>_hi of grids of h rows of w. a: value above the mean; d: value above its left neighbour; p:
+    coefficient above the median of all but the first, whose bit is 0. See hash_maps() for the sizes."""
+
+    def mapped(v: Column, left: list[list[float]], right: list[list[float]]) -> Column:
+        m, n = len(left), len(right)
+        tables = F.array(*[F.lit(c) for row in left for c in row]), F.array(*[F.lit(c) for row in right for c in row])
+        total = lambda size, f: F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0.0), lambda s, x: s + f(x))
         at = lambda a, k: F.get(a, k.cast("int"))
-        rows = F.transform(cells, lambda k: product(lambda x: at(v, k - k % side + x), lambda x: at(c, (k % side) * side + x)))
-        return let(rows, lambda r: F.transform(cells, lambda k: product(lambda y: at(r, y * side + k % side), lambda y: at(c, k - k % side + y))))
+        cells = lambda k: F.sequence(F.lit(0), F.lit(k - 1))
+        # Along rows first (place y * n + j), then along columns (place i * n + j).
+        rows = lambda c: F.transform(cells(h * n), lambda k: total(w, lambda x: at(v, F.floor(k / n) * w + x) * at(c, (k % n) * w + x)))
+        whole = lambda r: let(tables[0], lambda c: F.transform(cells(m * n), lambda k: total(h, lambda y: at(r, y * n + k % n) * at(c, F.floor(k / n) * h + y))))
+        return let(let(tables[1], rows), whole)
 
-    def median(t: Column) -> Column:
-        half = (n - 2) // 2
-        mid = lambda s: F.get(s, F.lit(half)) if (n - 1) % 2 else (F.get(s, F.lit(half)) + F.get(s, F.lit(half + 1))) / 2
-        return let(F.sort_array(F.slice(t, 2, n - 1)), mid)
+    maps = hash_maps(h, w)
+    mean = lambda g: F.aggregate(g, F.lit(0.0), lambda s, x: s + x) / 64
+    rising = F.array(*[F.lit(9 * y + x) for y in range(8) for x in range(8)])
+    middle = lambda t: F.get(F.sort_array(F.slice(t, 2, 63)), F.lit(31))
 
     def bits(v: Column) -> Column:
-        mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
-        a = let(mean, lambda m: F.transform(v, lambda x: x > m))
-        d = F.transform(inner, lambda k: F.get(v, k + 1) > F.get(v, k))
-        p = let(let(table, lambda c: transformed(v, c)), lambda t: let(median(t), lambda m: F.transform(t, lambda x, k: (k > 0) & (x > m))))
+        a = let(mapped(v, *maps["a"]), lambda g: let(mean(g), lambda m: F.transform(g, lambda x: x > m)))
+        d = let(mapped(v, *maps["d"]), lambda g: F.transform(rising, lambda k: F.get(g, k + 1) > F.get(g, k)))
+        p = let(mapped(v, *maps["p"]), lambda g: let(middle(g), lambda m: F.transform(g, lambda x, k: (k > 0) & (x > m))))
         return F.struct(a.alias("a"), d.alias("d"), p.alias("p"))
 
     df = records.withColumn("_bits", let(F.transform(values, lambda x: x.cast("double")), bits))
-    out = {f"{h}_{part}": c for h in HASHES for part, c in pack(f"_bits.{h}").items()}
+    out = {f"{x}_{part}": c for x in HASHES for part, c in pack(f"_bits.{x}").items()}
     return df.withColumns(out).drop("_bits")
 
 
@@ -71,30 +103,60 @@ def _named(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("l.split").alias("split_a"), F.col("l.id").alias("id_a"), F.col("r.split").alias("split_b"), F.col("r.id").alias("id_b"), *[distance(h).alias(f"d_{h}") for h in HASHES])
 
 
-def flagged(hashes: DataFrame, most: int = 8) -> DataFrame:
+#: Bands that must agree for two hashes to meet.
+AGREE = 3
+
+
+def bands(most: int, agree: int = AGREE) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """(first bit, bits) of the most + agree bands of a hash, and all choices of `agree` of them. Hashes that differ in `most` bits
+    differ in at most so many bands, so at least one choice has all its bands equal."""
+    n = most + agree
+    edges = [64 * k // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])], [list(c) for c in itertools.combinations(range(n), agree)]
+
+
+def _bits(h: str, first: int, size: int) -> Column:
+    """`size` bits of a hash from the bit `first` on."""
+    lo, hi = F.col(f"{h}_lo"), F.col(f"{h}_hi")
+    if first >= 32:
+        out = F.shiftrightunsigned(hi, first - 32)
+    else:
+        out = F.shiftrightunsigned(lo, first)
+        if first + size > 32:
+            out = out.bitwiseOR(F.shiftleft(hi, 32 - first))
+    return out.bitwiseAND((1 << size) - 1)
+
+
+def candidates(hashes: DataFrame, most: int, agree: int = AGREE) -> DataFrame:
+    """id_l, id_r (row numbers within `hashes`, with id_l before id_r) of the rows that share a key in the first or the second
+    hash, each pair once. Only row numbers travel with the keys; see bands()."""
+    cut, chosen = bands(most, agree)
+    parts = hashes.select("_n", *[F.array(*[_bits(h, *band) for band in cut]).alias(h) for h in ("a", "d")])
+
+    def keys(h: str) -> Column:
+        return F.transform(F.array(*[F.lit(c) for c in chosen]), lambda c, k: F.xxhash64(F.lit(h), k, F.transform(c, lambda x: F.get(F.col(h), x))))
+
+    keyed = parts.select("_n", F.explode(F.concat(keys("a"), keys("d"))).alias("key"))
+    l, r = keyed.select(F.col("_n").alias("id_l"), "key"), keyed.select(F.col("_n").alias("id_r"), "key")
+    return l.join(r, "key").where("id_l < id_r").select("id_l", "id_r").distinct()
+
+
+def flagged(hashes: DataFrame, most: int = 8, agree: int = AGREE) -> DataFrame:
     """Pairs of which at least two of three distances are at most `most`, found exactly by bands.
 
-    Of such a pair the first or the second hash is close; of most + 1 bands of a close hash one is equal. So pairs meet by
-    (hash, band, bits) in a hash join instead of all with all. Each pair counts in its first equal band.
+    Of such a pair the first or the second hash is close, and of most + agree bands of a close hash `agree` are equal. Rows with
+    equal hashes are one node, so copies meet no one: they are paired where pairs are returned.
     """
-    n = most + 1
-    cut = [64 * k // n for k in range(n + 1)]
-
-    def band(h: str, k: int) -> Column:
-        lo, hi = cut[k], cut[k + 1]
-        parts = [F.shiftrightunsigned(F.col(f"{h}_lo"), lo) if lo < 32 else F.lit(0).cast("long")]
-        both = F.col(f"{h}_hi")
-        low = parts[0] if lo < 32 else F.shiftrightunsigned(both, lo - 32)
-        if lo < 32 < hi:
-            low = low + F.shiftleft(both.bitwiseAND((1 << (hi - 32)) - 1), 32 - lo)
-        return low.bitwiseAND((1 << (hi - lo)) - 1)
-
-    keyed = hashes.withColumn("keys", F.array(*[F.struct(F.lit(f"{h}{k}").alias("band"), band(h, k).alias("bits")) for h in ("a", "d") for k in range(n)]))
-    keyed = keyed.select("*", F.explode("keys").alias("key"))
-    l, r = keyed.alias("l"), keyed.alias("r")
+    columns = [f"{h}_{part}" for h in HASHES for part in ("lo", "hi")]
+    nodes = written(hashes.select(*columns).distinct().withColumn("_n", F.monotonically_increasing_id()), "nodes")
+    rows = hashes.join(nodes, columns).select("split", "id", *columns, "_n")
+    near = candidates(nodes, most, agree)
+    a, b = nodes.alias("l"), nodes.alias("r")
     close = sum(((distance(h) <= most).cast("int") for h in HASHES[1:]), (distance("a") <= most).cast("int")) >= 2
-    first = F.get(F.array_intersect(F.col("l.keys"), F.col("r.keys")), F.lit(0))["band"] == F.col("l.key.band")
-    return _named(l.join(r, (F.col("l.key") == F.col("r.key")) & F.expr(_PAIR) & close & first))
+    links = near.join(a, F.col("id_l") == F.col("l._n")).join(b, F.col("id_r") == F.col("r._n")).where(close).select("id_l", "id_r")
+    both = links.union(links.select("id_r", "id_l")).union(nodes.select(F.col("_n"), F.col("_n")))
+    l, r = rows.alias("l"), rows.alias("r")
+    return _named(l.join(both, F.col("l._n") == F.col("id_l")).join(r, (F.col("id_r") == F.col("r._n")) & F.expr(_PAIR)))
 
 
 def flagged_all_pairs(hashes: DataFrame, most: int = 8) -> DataFrame:
@@ -104,16 +166,43 @@ def flagged_all_pairs(hashes: DataFrame, most: int = 8) -> DataFrame:
     return _named(l.join(r, F.expr(_PAIR) & close))
 
 
+#: Bands of a hash in the search for nearest neighbours, and by how many bits each may differ in one round after the other.
+PARTS, ROUNDS = 4, (0, 2)
+
+
 def nearest(hashes: DataFrame, h: str, block: int = 1024) -> DataFrame:
     """split_a, id_a, split_b, d: the least distance of each row to rows of each split, itself excluded.
 
-    The other side goes in blocks of up to `block` packed hashes of one split, so a row meets blocks, not rows.
+    Rows with equal hashes of one split are one node. Each round finds by hash joins all nodes of which one of PARTS bands differs
+    by up to k bits, which are all within PARTS * (k + 1) - 1 bits; nodes that have a neighbour so near are done. What is left
+    after the rounds, nodes far from all others, meets packed blocks of all nodes, which is exhaustive.
     """
-    part = F.pmod(F.xxhash64("split", "id"), F.lit(max(1, math.ceil(hashes.count() / block))))
-    blocks = hashes.groupBy(F.col("split").alias("split_b"), part.alias("part")).agg(F.collect_list(F.struct("id", F.col(f"{h}_lo").alias("lo"), F.col(f"{h}_hi").alias("hi"))).alias("rows"))
-    x = hashes.select(F.col("split").alias("split_a"), F.col("id").alias("id_a"), F.col(f"{h}_lo").alias("lo"), F.col(f"{h}_hi").alias("hi")).join(blocks)
-    d = F.expr("array_min(transform(filter(rows, r -> NOT (split_a = split_b AND r.id = id_a)), r -> bit_count(r.lo ^ lo) + bit_count(r.hi ^ hi)))")
-    return x.select("split_a", "id_a", "split_b", d.alias("d")).groupBy("split_a", "id_a", "split_b").agg(F.min("d").alias("d"))
+    lo, hi = f"{h}_lo", f"{h}_hi"
+    own = ["split_a", "lo_a", "hi_a"]
+    nodes = written(hashes.groupBy("split", lo, hi).agg(F.count("*").alias("n")), "nodes")
+    size = 64 // PARTS
+    cut = F.array(*[F.struct(F.lit(k).alias("k"), _bits(h, k * size, size).alias("bits")) for k in range(PARTS)])
+    mine = nodes.select(F.col("split").alias("split_a"), F.col(lo).alias("lo_a"), F.col(hi).alias("hi_a"), "n", F.explode(cut).alias("band")).select(*own, "n", "band.k", "band.bits")
+    other = mine.select(*[F.col(c).alias(c[:-1] + "b") for c in own], "k", "bits")
+    splits = nodes.select(F.col("split").alias("split_b")).distinct()
+    todo = nodes.select(F.col("split").alias("split_a"), F.col(lo).alias("lo_a"), F.col(hi).alias("hi_a"), "n").join(F.broadcast(splits))  # a row for each split
+    done = None
+    for k in ROUNDS:
+        masks = [sum(1 << x for x in chosen) for r in range(k + 1) for chosen in itertools.combinations(range(size), r)]
+        some = mine if done is None else mine.join(todo.select(*own).distinct(), own, "left_semi")
+        keys = some.select(*own, "n", "k", F.explode(F.transform(F.lit(masks), lambda m: F.col("bits").bitwiseXOR(m.cast("long")))).alias("bits"))
+        found = keys.join(other, ["k", "bits"]).where("NOT (split_a = split_b AND lo_a = lo_b AND hi_a = hi_b AND n = 1)")
+        found = found.groupBy(*own, "split_b").agg(F.min(F.expr("bit_count(lo_a ^ lo_b) + bit_count(hi_a ^ hi_b)")).alias("d")).where(F.col("d") < PARTS * (k + 1))
+        found = found if done is None else found.join(done, [*own, "split_b"], "left_anti").unionByName(done)
+        done = written(found, "found")
+        todo = written(todo.join(done, [*own, "split_b"], "left_anti").select(*own, "n", "split_b"), "todo")
+    n = max(1, math.ceil(nodes.count() / block))
+    blocks = nodes.groupBy(F.col("split").alias("split_b"), F.pmod(F.xxhash64(lo, hi), F.lit(n)).alias("_part")).agg(F.collect_list(F.struct(F.col(lo).alias("lo_b"), F.col(hi).alias("hi_b"))).alias("rows"))
+    d = F.expr("array_min(transform(filter(rows, r -> NOT (split_a = split_b AND r.lo_b = lo_a AND r.hi_b = hi_a AND n = 1)), r -> bit_count(r.lo_b ^ lo_a) + bit_count(r.hi_b ^ hi_a)))")
+    rest = todo.join(blocks, "split_b").select("split_a", "lo_a", "hi_a", "split_b", d.alias("d")).groupBy("split_a", "lo_a", "hi_a", "split_b").agg(F.min("d").alias("d"))
+    rest = rest.unionByName(done)
+    rows = hashes.select(F.col("split").alias("split_a"), F.col("id").alias("id_a"), F.col(lo).alias("lo_a"), F.col(hi).alias("hi_a"))
+    return rows.join(rest, ["split_a", "lo_a", "hi_a"]).select("split_a", "id_a", "split_b", F.col("d").cast("int").alias("d"))
 
 
 def nearest_summary(near: DataFrame) -> DataFrame:
@@ -138,14 +227,16 @@ def collision_matrix(pairs: DataFrame) -> DataFrame:
 
 
 def exact_groups(items: DataFrame, content: str = "content_hash") -> DataFrame:
-    """content, n, splits (sorted distinct), first_id: groups of two or more items of the same content.
-
-    Members are joined to a group by its content, so no group is gathered in one row.
-    """
+    """content, n, splits (sorted distinct), first_id: groups of two or more items of the same content; members() has the items."""
     g = items.groupBy(content).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("split")).alias("splits"), F.min("id").alias("first_id"))
     return g.where("n > 1")
 
 
+def members(items: DataFrame, groups: DataFrame, content: str = "content_hash") -> DataFrame:
+    """content, split, id: the items of the groups, a row each, so that no group is gathered in one row."""
+    return items.join(groups.select(content), content).select(content, "split", "id")
+
+
 def by_location(groups: DataFrame) -> DataFrame:
     """location ("within A", or "A <-> B"), n_groups."""
     where = F.when(F.size("splits") == 1, F.concat(F.lit("within "), F.get("splits", F.lit(0)))).otherwise(F.array_join("splits", " <-> "))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import smallest
+
 
 def normalised_text(c: Column | str) -> Column:
     """Lower case, runs of white space as one space, trimmed: what the content hash is over."""
@@ -80,11 +82,28 @@ def partition_check(members: DataFrame, pool: DataFrame, key: str) -> DataFrame:
 
 
 def numeric_gaps(df: DataFrame, by: str, key: str) -> DataFrame:
-    """by, lo, hi, n_missing, n_runs, contiguous: gaps between the distinct whole-number keys of each group, by neighbours."""
-    keys = df.select(by, key).distinct()
-    step = keys.withColumn("gap", F.lead(key).over(Window.partitionBy(by).orderBy(key)) - F.col(key) - 1)
-    g = step.groupBy(by).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.coalesce(F.sum("gap"), F.lit(0)).alias("n_missing"), F.count_if(F.col("gap") > 0).alias("n_runs"))
-    return g.withColumn("contiguous", F.col("n_runs") <= 1)
+    """by, lo, hi, n_missing, n_runs, contiguous: gaps between the distinct whole-number keys of each group.
+
+    A gap ends at a key, above the smallest, whose predecessor is not there, so gaps are counted by an anti-join of keys with keys
+    and no group is sorted in one task.
+    """
+    keys = df.select(by, key).where(F.col(key).isNotNull()).distinct()
+    after = keys.select(by, (F.col(key) + 1).alias(key))
+    runs = keys.join(after, [by, key], "left_anti").groupBy(by).agg((F.count("*") - 1).alias("n_runs"))
+    g = keys.groupBy(by).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("_n")).join(runs, by)
+    return g.select(by, "lo", "hi", (F.col("hi") - F.col("lo") + 1 - F.col("_n")).alias("n_missing"), "n_runs", (F.col("n_runs") <= 1).alias("contiguous"))
+
+
+#: Spans of numbers above this are no numbering.
+SPAN = 100_000
+
+
+def missing_numbers(df: DataFrame, by: str, key: str, span: int = SPAN) -> DataFrame:
+    """by, missing: the numbers between the smallest and the largest key of a group that are not there, a row each; groups of a
+    single key or of a larger span have none."""
+    keys = df.select(by, F.col(key).cast("long").alias("missing")).where("missing IS NOT NULL").distinct()
+    ends = keys.groupBy(by).agg(F.min("missing").alias("lo"), F.max("missing").alias("hi")).where(F.col("hi") - F.col("lo") <= span)
+    return ends.select(by, F.explode(F.sequence("lo", "hi")).alias("missing")).join(keys, [by, "missing"], "left_anti")
 
 
 def name_shape(c: Column | str) -> Column:
@@ -100,7 +119,14 @@ def collisions(df: DataFrame, by: str, stem: str) -> DataFrame:
 def holdout(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """The rows held out: the max(1, round half-even of fraction * n) smallest by MD5 of seed and key."""
     n = df.agg(F.greatest(F.lit(1), F.rint(F.count("*") * F.lit(fraction)).cast("long")).alias("n")).first()["n"]
-    return df.withColumn("order", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))).orderBy("order", key).limit(n).drop("order")
+    digest = F.coalesce(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")), F.lit(""))
+    return smallest(df.withColumn("order", digest), n, [F.col("order"), F.col(key)]).drop("order")
+
+
+def carve(df: DataFrame, key: str, fraction: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """What stays, and what is held out; keys are unique."""
+    held = holdout(df, key, fraction, seed)
+    return df.join(held.select(key), key, "left_anti"), held
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.numeric import clamp, gain, gain_slope
+from tidegauge.sources.shared import written
 
+from .order import affine_scan, numbered
+
+#: Batches whose buffers one task looks up; it reads `keep` more.
+SPAN = 4096
 SHAPE_MIN, SHAPE_MAX, EPS = -1.5, 0.7, 1e-8
 
 
@@ -19,9 +24,8 @@ def exceedances(df: DataFrame, value: str, threshold: Column | float, cap: float
 
 
 def ranked(df: DataFrame, by: str, e: str = "e", ties: tuple[str, ...] = ()) -> DataFrame:
-    """i (1 is the smallest), n and t = (n - i) / (n - 1) within each group."""
-    w = Window.partitionBy(by)
-    df = df.withColumn("i", F.row_number().over(w.orderBy(e, *ties)).cast("long")).withColumn("n", F.count("*").over(w))
+    """i (1 is the smallest), n and t = (n - i) / (n - 1) within each group; rows of a group may span many tasks."""
+    df = numbered(df, by, [e, *ties])
     return df.withColumn("t", F.try_divide((F.col("n") - F.col("i")).cast("double"), (F.col("n") - 1).cast("double")))
 
 
@@ -53,21 +57,25 @@ def fit(m: DataFrame, shape_min: float = SHAPE_MIN, shape_max: float = SHAPE_MAX
     return m.withColumn("clamped", F.coalesce(F.col("shape") != F.col("shape_raw"), F.lit(False))).drop("_d")
 
 
-def _checked(p: float, alpha: float) -> float:
-    if not 0 < alpha < p <= 1:
-        raise ValueError(f"need 0 < alpha < p <= 1, not alpha={alpha}, p={p}")
+def _log_ratio(p: float, alpha: float) -> float:
+    if alpha <= 0 or alpha >= p or p > 1:
+        raise ValueError(f"the level's probability {alpha} must lie between 0 and the threshold's, {p}, which is 1 at most")
     return math.log(p / alpha)
 
 
 def return_level(threshold: Column, p: float, alpha: float) -> Column:
     """The level exceeded with probability alpha, for a threshold exceeded with probability p, from columns shape and scale."""
-    return threshold + F.col("scale") * gain("shape", _checked(p, alpha))
+    return threshold + F.col("scale") * gain("shape", _log_ratio(p, alpha))
+
+
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def sensitivity(p: float, alpha: float, shape_path: bool = True, floor: float | None = 0.0) -> Column:
-    """Derivative of the return level by each ordered exceedance, from columns t, n and a fit."""
-    r = _checked(p, alpha)
-    a0, a1, t, n = F.col("a0"), F.col("a1"), F.col("t"), F.col("n")
+def sensitivity(p: float, alpha: float, shape_path: bool = True, floor: float | None = 0.0, t: Column | str = "t") -> Column:
+    """Derivative of the return level by each ordered exceedance, from t, the column n and a fit."""
+    r = _log_ratio(p, alpha)
+    a0, a1, t, n = F.col("a0"), F.col("a1"), _col(t), F.col("n")
     d = a0 - 2.0 * a1
     front = F.try_divide(F.lit(2.0), n * d * d)
     w = gain("shape", r) * front * (a0 * a0 * t - 2.0 * a1 * a1)
@@ -77,36 +85,49 @@ def sensitivity(p: float, alpha: float, shape_path: bool = True, floor: float |
     return clamp(w, lo=floor)
 
 
-def top_share(p: float, alpha: float) -> Column:
-    """1 / m on the m largest exceedances, m = max(1, round half-even of n * alpha / p); from columns i and n."""
+def top_share(p: float, alpha: float, i: Column | str = "i") -> Column:
+    """1 / m on the m largest exceedances, m = max(1, round half-even of n * alpha / p); from i and the column n."""
     m = F.greatest(F.lit(1.0), F.rint(F.col("n") * F.lit(alpha / p)))
-    return F.when(F.col("i") > F.col("n") - m, 1.0 / m).otherwise(0.0)
+    return F.when(_col(i) > F.col("n") - m, 1.0 / m).otherwise(0.0)
 
 
 def uniform() -> Column:
     return F.lit(1.0) / F.col("n")
 
 
+def weight(mode: str, p: float, alpha: float, i: Column | str = "i", t: Column | str = "t") -> Column:
+    """The weight of an exceedance by mode: gpd, cvar or ohem."""
+    if mode not in ("gpd", "cvar", "ohem"):
+        raise ValueError(f"no weights for mode {mode!r}")
+    return {"gpd": lambda: sensitivity(p, alpha, t=t), "cvar": lambda: top_share(p, alpha, i), "ohem": uniform}[mode]()
+
+
 def normalised(df: DataFrame, by: str, w: str = "w") -> DataFrame:
     """Weights that sum to 1 in each group; NULL where their sum is not positive."""
-    total = F.sum(w).over(Window.partitionBy(by))
-    return df.withColumn(w, F.when(total > 0, F.col(w) / total))
+    total = df.groupBy(F.col(by).alias("_by")).agg(F.sum(w).alias("_total"))
+    x = df.join(total, df[by].eqNullSafe(total["_by"]))
+    return x.withColumn(w, F.when(F.col("_total") > 0, F.col(w) / F.col("_total"))).drop("_by", "_total")
 
 
 def batches(df: DataFrame, by: str, order: list[str], size: int = 16) -> DataFrame:
     """batch: number of the batch of `size` rows, in order, within each group."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return df.withColumn("batch", F.floor((n - 1) / size).cast("long"))
+    return numbered(df, by, order).withColumn("batch", F.floor((F.col("i") - 1) / size).cast("long")).drop("i", "n")
 
 
 def sliding_threshold(df: DataFrame, by: str, value: str = "d", p: float = 0.15, keep: int = 32, least: int = 128) -> DataFrame:
     """by, batch, n_buffer, q: quantile 1 - p of the last `keep` batches before each batch, NULL with fewer than `least` values.
 
-    A batch is one row with its values, so a frame is at most `keep` rows and no value of the batch itself is in it.
+    A batch is one row with its values, so a frame is at most `keep` rows and no value of the batch itself is in it. Windows run
+    over SPAN batches, each with the `keep` before it, so a group's batches spread over tasks.
     """
+    if keep > SPAN:
+        raise ValueError(f"keep is above {SPAN}")
     rows = df.groupBy(by, "batch").agg(F.collect_list(value).alias("v"))
-    w = Window.partitionBy(by).orderBy("batch").rangeBetween(-keep, -1)
-    rows = rows.withColumn("buf", F.sort_array(F.flatten(F.collect_list("v").over(w))))
+    span = lambda k: F.floor(k / SPAN).cast("long")
+    rows = rows.withColumn("_span", F.explode(F.array_distinct(F.array(span(F.col("batch")), span(F.col("batch") + keep)))))
+    w = Window.partitionBy(by, "_span").orderBy("batch").rangeBetween(-keep, -1)
+    rows = rows.withColumn("_before", F.collect_list("v").over(w)).where(F.col("_span") == span(F.col("batch")))
+    rows = rows.select(by, "batch", F.sort_array(F.flatten("_before")).alias("buf"))
     at = (F.size("buf") - 1) * F.lit(1 - p)
     lo, hi = F.get("buf", F.floor(at).cast("int")), F.get("buf", F.ceil(at).cast("int"))
     q = F.when(F.size("buf") >= least, lo + (hi - lo) * (at - F.floor(at)))
@@ -114,13 +135,16 @@ def sliding_threshold(df: DataFrame, by: str, value: str = "d", p: float = 0.15,
 
 
 def smoothed(df: DataFrame, by: str, momentum: float = 0.05) -> DataFrame:
-    """u: q the first time it is there, then (1 - momentum) * u + momentum * q, along the batches of each group.
-
-    A group's q are folded in order in one row; they are one number for each batch.
-    """
-    rows = df.where("q IS NOT NULL").groupBy(by).agg(F.sort_array(F.collect_list(F.struct("batch", "q"))).alias("qs"))
-    fold = F.expr(f"aggregate(qs, cast(array() AS array<double>), (a, x) -> concat(a, array(CASE WHEN size(a) = 0 THEN x.q ELSE {1 - momentum}D * element_at(a, -1) + {momentum}D * x.q END)))")
-    return rows.withColumn("us", fold).select(by, F.explode(F.arrays_zip("qs", "us")).alias("z")).select(by, F.col("z.qs.batch").alias("batch"), F.col("z.qs.q").alias("q"), F.col("z.us").alias("u"))
+    """by, batch, q, u: u is q the first time q is there, then (1 - momentum) * u + momentum * q, along the batches 0, 1, ... of
+    each group. A batch is the map u -> a * u + b, and the maps are scanned in blocks."""
+    rows = written(df.select(by, "batch", "q"), "quantiles")
+    first = rows.where("q IS NOT NULL").groupBy(F.col(by).alias("_by")).agg(F.min("batch").alias("_first"))
+    x = rows.join(first, rows[by].eqNullSafe(first["_by"]))
+    begins, there = F.col("batch") == F.col("_first"), F.col("q").isNotNull()
+    x = x.select(by, "batch", F.when(begins, 0.0).when(there, 1 - momentum).otherwise(1.0).alias("a"), F.when(begins, F.col("q")).when(there, momentum * F.col("q")).otherwise(0.0).alias("b"))
+    u = affine_scan(x, by, "batch", "a", "b").select(F.col(by).alias("_by"), F.col("at").alias("_at"), F.col("x").alias("u"))
+    some = rows.where("q IS NOT NULL")
+    return some.join(u, some[by].eqNullSafe(u["_by"]) & (some["batch"] == u["_at"])).select(by, "batch", "q", "u")
 
 
 def warm_up(step: Column | str, total: int, lam: float = 0.3, fraction: float = 0.2, active: bool = True) -> Column:

@@ -8,8 +8,6 @@ Streams: events in order of (ts, event_id) for each event_type, d = least(1, val
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.operators import aggregate, duplicates, grid, manifest, paired, pool, tail
+from tidegauge.sources.shared import shared_dir, written
 from tidegauge.streaming import tail_state
 
 P, ALPHA = 0.15, 0.02
@@ -216,9 +215,9 @@ def _slope(s: str) -> str:
     return f"({RATIO * RATIO!r}::DOUBLE * CASE WHEN abs{x} < 1e-2 THEN {_series(x, [(k + 1) / math.factorial(k + 2) for k in range(7)])} ELSE (({x} - 1) * exp{x} + 1) / ({x} * {x}) END)"
 
 
-def _fit(source: str) -> str:
+def _fit(source: str, also: str = "") -> str:
     """CTEs ending in fits: g, n, a0, a1, bad, raw, shape, scale."""
-    return f"""{source}, ranked AS (SELECT g, e, row_number() OVER (PARTITION BY g ORDER BY e) AS i, count(*) OVER (PARTITION BY g) AS n FROM src
+    return f"""{source}, ranked AS (SELECT g, e{also}, row_number() OVER (PARTITION BY g ORDER BY e{also}) AS i, count(*) OVER (PARTITION BY g) AS n FROM src
 ), tt AS (SELECT *, (n - i) / CAST(n - 1 AS DOUBLE) AS t FROM ranked WHERE n > 1
 ), mom AS (SELECT g, max(n) AS n, avg(e) AS a0, avg(t * e) AS a1 FROM tt GROUP BY g
 ), f0 AS (SELECT *, a0 - 2 * a1 AS d, coalesce(a0 - 2 * a1 <= 1e-8 * greatest(a0, 1) OR a0 <= 1e-8 OR 2 * a0 * a1 / nullif(a0 - 2 * a1, 0) <= 0, true) AS bad FROM mom
@@ -332,13 +331,15 @@ _POOL = (
   SELECT b.event_type, b.batch, em.u, b.d - em.u AS e, 1 AS live FROM b JOIN em ON b.event_type = em.event_type AND b.batch = em.batch WHERE b.d > em.u
   UNION ALL
   SELECT em.event_type, em.batch, em.u, b.d - em.u, 0 FROM em JOIN b ON b.event_type = em.event_type AND b.batch BETWEEN em.batch - 32 AND em.batch - 1 WHERE b.d > em.u
-), src AS (SELECT event_type || '|' || batch AS g, e FROM po)"""
+), src AS (SELECT event_type || '|' || batch AS g, e, live FROM po)""",
+        ", live",
     )
-    + f""", val AS (SELECT g, sum(w) AS sw, sum(w * e) / nullif(sum(w), 0) AS v FROM (SELECT tt.g, e, greatest(0, {_SENS}) AS w FROM (SELECT g, i, t, e FROM tt) tt JOIN fits f ON tt.g = f.g) GROUP BY g
+    + f""", val AS (SELECT g, sum(w) AS sw, sum(w * e) / nullif(sum(w), 0) AS v, sum(w * live) / nullif(sum(w), 0) AS lw, count(*) FILTER (live = 1 AND w > 0) AS used FROM (SELECT tt.g, e, live, greatest(0, {_SENS}) AS w FROM (SELECT g, i, t, e, live FROM tt) tt JOIN fits f ON tt.g = f.g) GROUP BY g
 ), n AS (SELECT em.event_type, em.batch, any_value(em.u) AS u, count(po.e) AS n_pool, coalesce(sum(po.live), 0) AS n_live FROM em LEFT JOIN po ON em.event_type = po.event_type AND em.batch = po.batch GROUP BY em.event_type, em.batch
-), j AS (SELECT n.*, n_pool >= 8 AND n_live > 0 AS ok, f.shape, f.scale, val.v, coalesce(val.sw, 0) AS sw FROM n LEFT JOIN fits f ON f.g = n.event_type || '|' || n.batch LEFT JOIN val ON val.g = f.g)
+), j AS (SELECT n.*, n_pool >= 8 AND n_live > 0 AS ok, f.shape, f.scale, val.v, val.lw, val.used, coalesce(val.sw, 0) AS sw FROM n LEFT JOIN fits f ON f.g = n.event_type || '|' || n.batch LEFT JOIN val ON val.g = f.g)
 SELECT event_type, batch, round(u, 6) AS u, CAST(n_live AS BIGINT) AS n_live, n_pool, ok AND sw > 0 AS active, round(CASE WHEN ok THEN shape END, 6) AS shape, round(CASE WHEN ok THEN scale END, 6) AS scale,
-  round(CASE WHEN ok THEN u + scale * {_gain('shape')} END, 6) AS level, round(CASE WHEN ok AND sw > 0 THEN v END, 6) AS value FROM j"""
+  round(CASE WHEN ok THEN u + scale * {_gain('shape')} END, 6) AS level, round(CASE WHEN ok AND sw > 0 THEN v END, 6) AS value,
+  0.3::DOUBLE AS lam, round(CASE WHEN ok AND sw > 0 THEN 0.3::DOUBLE * v ELSE 0 END, 6) AS loss, round(CASE WHEN ok AND sw > 0 THEN lw * n_pool / n_live END, 6) AS live_weight, CASE WHEN ok AND sw > 0 THEN used END AS n_live_active FROM j"""
 )
 
 
@@ -492,31 +493,41 @@ def dup_by_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of all grids, and in split -1 of a near copy of each grid, in which one cell differs."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("split"), F.col("vec_id").alias("id"), F.col("embedding").alias("values"))
-    return duplicates.grid_hashes(e).drop("values")
+    moved = F.transform("values", lambda v, k: v.cast("double") + F.when(k == F.col("id") % 64, 0.05).otherwise(0.0))
+    both = e.withColumn("values", F.transform("values", lambda v: v.cast("double"))).unionByName(e.select(F.lit(-1).alias("split"), "id", moved.alias("values")))
+    return duplicates.grid_hashes(both).drop("values")
 
 
 def _half(bit: str, k: str, lo: int) -> str:
     return f"CAST(coalesce(sum(CASE WHEN {bit} AND {k} BETWEEN {lo} AND {lo + 31} THEN pow(2::DOUBLE, {k} - {lo}) ELSE 0 END), 0) AS BIGINT)"
 
 
-_HASHES = (
-    _CELLS
-    + f""", ah AS (SELECT vec_id, label, pos, val, x, y, val > avg(val) OVER (PARTITION BY vec_id) AS ba, lead(val) OVER (PARTITION BY vec_id, y ORDER BY x) > val AS bd FROM cells
-), basis AS (SELECT u, x, CASE WHEN u = 0 THEN sqrt(1 / 8.0::DOUBLE) ELSE 0.5::DOUBLE END * cos((2 * x + 1) * u * pi() / 16) AS c FROM (SELECT unnest(range(8)) AS u) CROSS JOIN (SELECT unnest(range(8)) AS x)
-), r1 AS (SELECT vec_id, y, u, sum(val * c) AS r FROM cells JOIN basis ON cells.x = basis.x GROUP BY vec_id, y, u
-), t1 AS (SELECT vec_id, b.u * 8 + r1.u AS k, sum(r * c) AS t FROM r1 JOIN basis b ON r1.y = b.x GROUP BY vec_id, b.u, r1.u
-), md AS (SELECT vec_id, quantile_cont(t, 0.5) AS m FROM t1 WHERE k > 0 GROUP BY vec_id
-), ph AS (SELECT t1.vec_id, k, k > 0 AND t > m AS bp FROM t1 JOIN md ON t1.vec_id = md.vec_id
-), hp AS (SELECT vec_id, {_half('bp', 'k', 0)} AS p_lo, {_half('bp', 'k', 32)} AS p_hi FROM ph GROUP BY vec_id
-), had AS (SELECT label AS split, vec_id AS id, {_half('ba', 'pos', 0)} AS a_lo, {_half('ba', 'pos', 32)} AS a_hi, {_half('x < 7 AND bd', '(y * 7 + x)', 0)} AS d_lo, {_half('x < 7 AND bd', '(y * 7 + x)', 32)} AS d_hi FROM ah GROUP BY label, vec_id
-), hs AS (SELECT had.*, p_lo, p_hi FROM had JOIN hp ON had.id = hp.vec_id
-)
+def _matrix(name: str, rows: list[list[float]]) -> str:
+    values = ", ".join(f"({i}, {k}, {c!r}::DOUBLE)" for i, row in enumerate(rows) for k, c in enumerate(row))
+    return f"{name} AS (SELECT * FROM (VALUES {values}) AS v(i, k, c))"
+
+
+_MAPS = duplicates.hash_maps(8, 8)
+_HASHES = f"""WITH cells AS (
+  SELECT split, id, p - 1 AS pos, (p - 1) // 8 AS y, (p - 1) % 8 AS x, CAST(v[p] AS DOUBLE) + CASE WHEN split = -1 AND p - 1 = id % 64 THEN 0.05::DOUBLE ELSE 0 END AS val
+  FROM (SELECT *, unnest(range(1, 65)) AS p FROM (SELECT label AS split, vec_id AS id, embedding AS v FROM embeddings UNION ALL SELECT -1, vec_id, embedding FROM embeddings))
+), {_matrix("m9", _MAPS["d"][1])}, {_matrix("mp", _MAPS["p"][1])}
+, ah AS (SELECT split, id, pos, val > avg(val) OVER (PARTITION BY split, id) AS ba FROM cells
+), wa AS (SELECT split, id, {_half('ba', 'pos', 0)} AS a_lo, {_half('ba', 'pos', 32)} AS a_hi FROM ah GROUP BY split, id
+), nine AS (SELECT split, id, y, i AS j, sum(val * c) AS v FROM cells JOIN m9 ON x = k GROUP BY split, id, y, i
+), dh AS (SELECT split, id, y * 8 + j AS pos, j < 8 AND lead(v) OVER (PARTITION BY split, id, y ORDER BY j) > v AS bd FROM nine
+), wd AS (SELECT split, id, {_half('bd', 'pos', 0)} AS d_lo, {_half('bd', 'pos', 32)} AS d_hi FROM dh GROUP BY split, id
+), r1 AS (SELECT split, id, y, i AS u, sum(val * c) AS r FROM cells JOIN mp ON x = k GROUP BY split, id, y, i
+), t1 AS (SELECT split, id, i * 8 + u AS pos, sum(r * c) AS t FROM r1 JOIN mp ON y = k GROUP BY split, id, i, u
+), md AS (SELECT split, id, quantile_cont(t, 0.5) AS m FROM t1 WHERE pos > 0 GROUP BY split, id
+), wp AS (SELECT split, id, {_half('pos > 0 AND t > m', 'pos', 0)} AS p_lo, {_half('pos > 0 AND t > m', 'pos', 32)} AS p_hi FROM t1 JOIN md USING (split, id) GROUP BY split, id
+), hs AS (SELECT * FROM wa JOIN wd USING (split, id) JOIN wp USING (split, id))
 """
-)
 _DIST = ", ".join(f"CAST(bit_count(xor(l.{h}_lo, r.{h}_lo)) + bit_count(xor(l.{h}_hi, r.{h}_hi)) AS INT) AS d_{h}" for h in "adp")
 _PAIRS = _HASHES + f", pairs AS (SELECT l.split AS split_a, l.id AS id_a, r.split AS split_b, r.id AS id_b, {_DIST} FROM hs l JOIN hs r ON l.split < r.split OR (l.split = r.split AND l.id < r.id))\n"
-MOST = 17
+MOST = 8
 
 
 @query(_HASHES + "SELECT * FROM hs")
@@ -529,12 +540,7 @@ _FLAGGED = f"SELECT * FROM pairs WHERE (d_a <= {MOST})::INT + (d_d <= {MOST})::I
 
 @query(_PAIRS + _FLAGGED)
 def flagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.flagged_all_pairs(hashes(spark, sf_dir), MOST)
-
-
-@query(_PAIRS + _FLAGGED)
-def flagged_pairs_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.flagged(hashes(spark, sf_dir), MOST)
+    return duplicates.flagged(written(hashes(spark, sf_dir), "hashes"), MOST)
 
 
 _MATRIX = f"SELECT split_a, split_b, count(*) AS n FROM (SELECT DISTINCT split_a, id_a, split_b FROM (SELECT split_a, id_a, split_b FROM ({_FLAGGED}) UNION ALL SELECT split_b, id_b, split_a FROM ({_FLAGGED}))) GROUP BY split_a, split_b"
@@ -542,15 +548,21 @@ _MATRIX = f"SELECT split_a, split_b, count(*) AS n FROM (SELECT DISTINCT split_a
 
 @query(_PAIRS + _MATRIX)
 def collision_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.collision_matrix(duplicates.flagged(hashes(spark, sf_dir), MOST))
+    return duplicates.collision_matrix(duplicates.flagged(written(hashes(spark, sf_dir), "hashes"), MOST))
 
 
-_NEAR = ", near AS (SELECT split_a, id_a, split_b, min(d) AS d FROM (SELECT split_a, id_a, split_b, d_p AS d FROM pairs UNION ALL SELECT split_b, id_b, split_a, d_p FROM pairs) GROUP BY ALL), summary AS (SELECT split_a, split_b, CAST(min(d) AS DOUBLE) AS min, round(quantile_cont(d, 0.01), 6) AS p01, round(quantile_cont(d, 0.05), 6) AS p05, CAST(quantile_cont(d, 0.5) AS DOUBLE) AS median, count(*) FILTER (d <= 2) AS n_le_2, count(*) FILTER (d <= 6) AS n_le_6, count(*) FILTER (d <= 10) AS n_le_10 FROM near GROUP BY split_a, split_b)\n"
+_NEAR = ", near AS (SELECT h, split_a, id_a, split_b, min(d) AS d FROM (" + " UNION ALL ".join(f"SELECT '{h}' AS h, split_a, id_a, split_b, d_{h} AS d FROM pairs UNION ALL SELECT '{h}', split_b, id_b, split_a, d_{h} FROM pairs" for h in "adp") + """) GROUP BY ALL
+), every AS (SELECT h, split_a, split_b, CAST(min(d) AS DOUBLE) AS min, round(quantile_cont(d, 0.01), 6) AS p01, round(quantile_cont(d, 0.05), 6) AS p05, CAST(quantile_cont(d, 0.5) AS DOUBLE) AS median,
+  count(*) FILTER (d <= 2) AS n_le_2, count(*) FILTER (d <= 6) AS n_le_6, count(*) FILTER (d <= 10) AS n_le_10 FROM near GROUP BY h, split_a, split_b
+), summary AS (SELECT * EXCLUDE (h) FROM every WHERE h = 'p')
+"""
 
 
-@query(_PAIRS + _NEAR + "SELECT * FROM summary")
+@query(_PAIRS + _NEAR + "SELECT * FROM every")
 def nn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(duplicates.nearest_summary(duplicates.nearest(hashes(spark, sf_dir), "p")))
+    h = written(hashes(spark, sf_dir), "hashes")
+    parts = [duplicates.nearest_summary(duplicates.nearest(h, x)).withColumn("h", F.lit(x)) for x in duplicates.HASHES]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 @query(_PAIRS + "SELECT * FROM (SELECT *, d_a + d_d + d_p AS d_sum, CAST(row_number() OVER (PARTITION BY split_a, split_b ORDER BY d_a + d_d + d_p, id_a, id_b) AS INT) AS place FROM pairs WHERE split_a < split_b) WHERE place <= 50")
@@ -558,10 +570,10 @@ def closest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.closest(hashes(spark, sf_dir), 50)
 
 
-@query(_PAIRS.replace("WITH ", _ITEMS.rstrip() + ", ", 1) + _NEAR + "SELECT 'exact' AS kind, location AS place, CAST(n_groups AS DOUBLE) AS value FROM loc UNION ALL SELECT CASE WHEN median <= 2 THEN 'subset' ELSE 'overlap' END, split_a || ' -> ' || split_b, median FROM summary WHERE split_a <> split_b AND median <= 10")
+@query(_PAIRS.replace("WITH cells", _ITEMS.rstrip() + ", cells", 1) + _NEAR + "SELECT 'exact' AS kind, location AS place, CAST(n_groups AS DOUBLE) AS value FROM loc UNION ALL SELECT CASE WHEN median <= 2 THEN 'subset' ELSE 'overlap' END, split_a || ' -> ' || split_b, median FROM summary WHERE split_a <> split_b AND median <= 10")
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     loc = duplicates.by_location(duplicates.exact_groups(items(spark, sf_dir)))
-    return duplicates.findings(loc, duplicates.nearest_summary(duplicates.nearest(hashes(spark, sf_dir), "p")))
+    return duplicates.findings(loc, duplicates.nearest_summary(duplicates.nearest(written(hashes(spark, sf_dir), "hashes"), "p")))
 
 
 _LEAK = """, me AS (SELECT max(median) FILTER (split_a = 1) AS median, min(median) FILTER (split_a <> 1) AS lowest_other FROM summary WHERE split_b = 0 AND split_a <> 0
@@ -571,7 +583,7 @@ SELECT CASE WHEN n_exact > 0 THEN 'blocking' ELSE 'report' END AS status, n_exac
 
 @query(_PAIRS + _NEAR + _LEAK.replace("HAVING", "HAVING").replace("GROUP BY ALL HAVING", "GROUP BY p_lo, p_hi, a_lo, a_hi, d_lo, d_hi HAVING"))
 def selection_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = hashes(spark, sf_dir)
+    h = written(hashes(spark, sf_dir), "hashes")
     content = F.concat_ws("|", *[f"{x}_{p}" for x in duplicates.HASHES for p in ("lo", "hi")])
     groups = duplicates.exact_groups(h.select("split", "id", content.alias("content_hash")))
     return duplicates.selection_leakage(groups, duplicates.nearest_summary(duplicates.nearest(h, "p")), h, 0, 1)
@@ -671,8 +683,7 @@ def seeded_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tail estimator over events as a stream, run to its end; results and checkpoint go to the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidegauge-")
-    base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    base = shared_dir(spark)
     path = f"{sf_dir}/events.parquet"
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
