@@ -12,10 +12,10 @@ the bucket's head; components of verified links follow. In buckets that still ho
 different components are looked at: what both share with the head bounds what they share, sketches of BITS registers estimate
 it, and the pairs that both allow are verified too. So each candidate pair is verified, or refuted by sizes, bound or sketch,
 or already in one component, and the rows made follow the nodes and the links, not the squares of buckets. The time of that
-last look does grow with the square of the unlike nodes of one bucket.
+last look does grow with the square of the unlike nodes of one bucket; it is spread over tasks by parts of the bucket.
 
 Defined results: a null text counts as empty; texts without words have equal (empty) word sequences and form one class;
-rows that share an id are one document; a row without an id has no class and is kept; columns other than the two named are
+rows that share an id are one document, with the text of the smallest hash of them; a row without an id has no class and is kept; columns other than the two named are
 not read; an empty table gives an empty result; ties do not matter since the class id is the smallest doc_id of the class.
 """
 
@@ -36,11 +36,13 @@ SIZE = BANDS * ROWS
 #: Bits of the sketches that decide which pairs are verified at last, and how many may differ: at a similarity of 0.8 a bit
 #: differs with probability 0.1, and more than MOST_BITS do in less than one of 10,000 cases, fewer than the bands miss.
 BITS, MOST_BITS = 512, 78
+#: Nodes of a bucket that one task compares with as many others.
+PART = 256
 _INF = np.inf
 
 
-def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a piece: (text index, shingle hash, count) of the distinct shingles, sorted by both, and two hashes of each text's word sequence."""
+def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For a piece: (text index, shingle hash) of the distinct shingles, sorted by both, and two hashes of each text's word sequence."""
     data, offsets = C.raw(texts)
     starts, ends, first = C.words(data, offsets)
     w = C.word_hashes(data, starts, ends)
@@ -55,7 +57,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
     at = np.flatnonzero(new)
-    return doc[at], h[at], np.diff(np.append(at, len(h))), key, C.per_text(C.mix(w + np.uint64(12345)), first)
+    return doc[at], h[at], key, C.per_text(C.mix(w + np.uint64(12345)), first)
 
 
 def registers(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, size: int = SIZE) -> np.ndarray:
@@ -85,7 +87,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in C.pieces(batch.column(0), batch.column(1)):
-                doc, h, _, k1, k2 = shingles(texts)
+                doc, h, k1, k2 = shingles(texts)
                 n = np.bincount(doc, minlength=len(texts))
                 regs = registers(doc, h, np.ones(len(h)), len(texts)).reshape(len(texts), BANDS, ROWS)
                 band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), BANDS))
@@ -107,7 +109,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in C.pieces(batch.column(0), batch.column(1)):
-                doc, h, _, _, _ = shingles(texts)
+                doc, h, _, _ = shingles(texts)
                 offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
                 bits = C.mix(registers(doc, h, np.ones(len(h)), len(texts), BITS)) & np.uint64(1)
                 longs = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
@@ -142,24 +144,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id (smallest id of the class) and kept (true for that one document), a row for each row of docs."""
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """The ids that several rows of (id, text) share."""
+    return C.written(docs.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+
+
+def one_text(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(id, text) with one row for each id: of rows that share an id the one of the smallest text hash, then text."""
+    some = docs.where("id IS NOT NULL")
+    if repeated.isEmpty():
+        return some
+    ids = repeated.hint("shuffle_hash")
+    order = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")))
+    again = some.join(ids, "id", "left_semi").groupBy("id").agg(F.min(order).alias("x")).select("id", F.col("x.col2").alias("text"))
+    return some.join(ids, "id", "left_anti").unionByName(again)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int | None = MOST_BITS) -> DataFrame:
+    """id, class_id (smallest id of the class) and kept (true for that one document), a row for each row of docs.
+
+    most_bits: how many of BITS sketch bits may differ for a pair to be verified at last; None verifies all pairs that the bounds
+    allow.
+    """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = C.written(signatures(docs, "id", "text"), "signatures")
+    repeated = repeated_ids(docs)
+    texts = one_text(docs, repeated)
+    sig = C.written(signatures(texts, "id", "text"), "signatures")
     nodes = C.written(sig.groupBy("k1", "k2").agg(F.min("id").alias("node")), "nodes")
-    own = C.written(sig.where("id IS NOT NULL").join(nodes.where("node IS NOT NULL"), ["k1", "k2"]).select("id", "node", "n", F.when(F.col("id") == F.col("node"), F.col("bands")).alias("bands")), "own")
-    nodes = own.where("id = node").dropDuplicates(["id"])
+    own = C.written(sig.join(nodes, ["k1", "k2"]).select("id", "node", "n", F.when(F.col("id") == F.col("node"), F.col("bands")).alias("bands")), "own")
+    nodes = own.where("id = node")
     bands = nodes.select("id", "bands")
     members = nodes.select("id", "n", F.explode("bands").alias("bucket"))
     sizes = C.written(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    members = C.written(members.join(sizes, "bucket"), "members")
+    hot = C.hot_keys(sizes.select("bucket", F.col("size").alias("n")), "bucket")
+    members = C.written(C.spread_join(members, sizes, "bucket", hot), "members")
     # The head of a bucket is its node of the largest buckets: in a group of copies that is the one most are close to.
     weight = C.written(members.groupBy("id").agg(F.sum("size").alias("weight"), F.max("n").alias("n")), "weight")
     heads = members.select("bucket", "id").join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("x"))
     heads = C.written(heads.select("bucket", F.col("x.id").alias("head")), "heads")
-    members = C.written(members.select("bucket", "id", "n").join(heads, "bucket"), "members")
+    members = C.written(C.spread_join(members.select("bucket", "id", "n", "size"), heads, "bucket", hot), "members")
 
-    sets = C.written(shingle_sets(docs.where("id IS NOT NULL").join(weight.select("id").hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])), "sets")
+    sets = C.written(shingle_sets(texts.join(weight.select("id").hint("shuffle_hash"), "id", "left_semi")), "sets")
     pairs = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     tests = C.written(compared(pairs, sets), "tests")
     labels = components(tests.where(_LINKED))
@@ -167,35 +192,58 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Buckets that still hold several components: first against the node nearest to the head, which is closer to the middle of
     # a group, then all pairs across components that both middles and the sketches allow. What two sets share is at most the
     # smaller share of the middle plus the smaller share of the rest.
-    named = members.join(labels, "id", "left").select("bucket", "id", "n", "head", F.coalesce("label", "id").alias("label"))
+    named = members.join(labels, "id", "left").select("bucket", "id", "n", "size", "head", F.coalesce("label", "id").alias("label"))
     mixed = C.written(named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "mixed")
     shared = tests.select(F.col("a").alias("id"), F.col("b").alias("head"), F.col("both").alias("c1"), (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("j"))
-    named = C.written(named.join(mixed, "bucket", "left_semi").join(shared, ["id", "head"], "left").withColumn("c1", F.coalesce("c1", "n")), "named")
+    named = C.written(C.spread_join(named, mixed, "bucket", hot, "left_semi").join(shared, ["id", "head"], "left").withColumn("c1", F.coalesce("c1", "n")), "named")
     middle = named.where("id <> head").groupBy("bucket").agg(F.max(F.struct("j", "id")).alias("x")).select("bucket", F.col("x.id").alias("middle"))
-    named = C.written(named.join(middle, "bucket"), "named")
+    named = C.written(C.spread_join(named, middle, "bucket", hot), "named")
     again = C.written(compared(named.where("id <> middle").select(F.col("id").alias("a"), F.col("middle").alias("b")).distinct(), sets), "tests")
     links = tests.where(_LINKED).unionByName(again.where(_LINKED))
     labels = components(links)
     named = named.drop("label").join(labels, "id", "left").join(again.select(F.col("a").alias("id"), F.col("b").alias("middle"), F.col("both").alias("c2")), ["id", "middle"], "left")
     named = named.join(sets.select("id", "sketch"), "id").join(bands, "id")
-    named = C.written(named.select("bucket", "id", "n", F.coalesce("label", "id").alias("label"), "c1", F.coalesce("c2", "n").alias("c2"), "bands", *[F.get("sketch", F.lit(k)).alias(f"b{k}") for k in range(BITS // 64)]), "named")
-    x, y = (named.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in named.columns if c != "bucket"]) for side in "xy")
-    most = " AND ".join(f"9 * (least(x_{c}, y_{c}) + least(x_n - x_{c}, y_n - y_{c})) >= 4 * (x_n + y_n)" for c in ("c1", "c2"))
-    apart = " + ".join(f"bit_count(x_b{k} ^ y_b{k})" for k in range(BITS // 64))
-    once = "array_intersect(x_bands, y_bands)[0] = bucket"  # a pair counts in the first bucket it shares
-    rest = x.join(y, "bucket").where(f"x_id < y_id AND x_label <> y_label AND 5 * x_n >= 4 * y_n AND 5 * y_n >= 4 * x_n AND {most} AND {apart} <= {MOST_BITS} AND {once}")
-    more = C.written(compared(rest.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")), sets).where(_LINKED), "more")
+    named = C.written(named.select("bucket", "id", "n", "size", F.coalesce("label", "id").alias("label"), "c1", F.coalesce("c2", "n").alias("c2"), "bands", *[F.get("sketch", F.lit(k)).alias(f"b{k}") for k in range(BITS // 64)]), "named")
+    rest = _unlike(named, most_bits)
+    more = C.written(compared(rest, sets).where(_LINKED), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
     found = own.select("id", "node").join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("id", F.coalesce("label", "node").alias("class_id"))
-    none = sig.where("id IS NULL").select("id", F.lit(None).cast(sig.schema["id"].dataType).alias("class_id"))
+    if not repeated.isEmpty():
+        found = docs.where("id IS NOT NULL").select("id").join(found, "id")
+    none = docs.where("id IS NULL").select("id", F.lit(None).cast(docs.schema["id"].dataType).alias("class_id"))
     out = found.unionByName(none).withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))
     return out.withColumnRenamed("id", id_col)
 
 
+def _unlike(named: DataFrame, most_bits: int | None) -> DataFrame:
+    """a, b: pairs of nodes of one bucket and of different components that sizes, bounds and sketches allow, in the first bucket
+    that they share. A bucket's nodes are dealt to parts of about PART, and each two parts meet by themselves, so the looks at a
+    large bucket are spread over many tasks."""
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    named = named.withColumn("_p", parts).withColumn("_k", F.pmod(F.xxhash64("id"), F.col("_p").cast("long")).cast("int"))
+    columns = [c for c in named.columns if c not in ("bucket", "size", "_p", "_k")]
+    x = named.select("bucket", F.col("_k").alias("i"), F.explode(F.sequence(F.col("_k"), F.col("_p") - 1)).alias("j"), *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = named.select("bucket", F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("i"), F.col("_k").alias("j"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    allowed = [f"9 * (least(x_{c}, y_{c}) + least(x_n - x_{c}, y_n - y_{c})) >= 4 * (x_n + y_n)" for c in ("c1", "c2")]
+    if most_bits is not None:
+        allowed.append(" + ".join(f"bit_count(x_b{k} ^ y_b{k})" for k in range(BITS // 64)) + f" <= {most_bits}")
+    allowed.append("array_intersect(x_bands, y_bands)[0] = bucket")  # a pair counts in the first bucket it shares
+    rest = x.join(y, ["bucket", "i", "j"]).where(f"(i < j OR x_id < y_id) AND x_label <> y_label AND 5 * x_n >= 4 * y_n AND 5 * y_n >= 4 * x_n AND {' AND '.join(allowed)}")
+    return rest.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one of each class, all columns as they are; rows without an id stay."""
+    """The documents with one of each class, all columns as they are; rows without an id stay. Of rows that share an id the one
+    whose text stands for it is kept, the smallest row (as JSON) of those that have it."""
     keep = classes(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep")).where("_keep IS NOT NULL").distinct().hint("shuffle_hash")
     some = docs.where(F.col(id_col).isNotNull())
-    return some.join(keep, some[id_col] == keep["_keep"], "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    repeated = repeated_ids(docs.select(F.col(id_col).alias("id")))
+    if not repeated.isEmpty():
+        ids = repeated.select(F.col("id").alias("_again")).hint("shuffle_hash")
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        again = some.join(ids, some[id_col] == ids["_again"], "left_semi")
+        best = again.groupBy(F.col(id_col).alias("_again")).agg(F.min_by(F.struct("*"), F.struct(F.xxhash64(text), text, F.to_json(F.struct("*")))).alias("_row")).select("_row.*")
+        some = some.join(ids, some[id_col] == ids["_again"], "left_anti").unionByName(best)
+    return some.join(keep, some[id_col] == keep["_keep"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
