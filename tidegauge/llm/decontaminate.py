@@ -8,8 +8,8 @@ benchmark and of the documents meet by hash. Around each hit the passage is laid
 and the hit counts if in some window of WINDOW words at least MATCHES are equal (for shorter passages: all but one word in
 seven of the whole passage).
 
-The benchmark is taken in blocks of about BLOCK_WORDS words, each broadcast by itself; documents never travel. The size of a
-block does not depend on the corpus, and a larger benchmark means more blocks.
+The benchmark is taken in blocks of about BLOCK_WORDS words, each broadcast by itself and given up before the next; documents
+never travel. The size of a block does not depend on the corpus; a larger benchmark means more blocks and more reads of the corpus.
 
 Defined results: null texts count as empty and match nothing; a passage shorter than SPAN words is filled up to a seed of all
 its words and is found where it stands word by word; repeated rows give a result each; rows without an id are read and
@@ -69,10 +69,15 @@ class Block:
                 item.append(np.full(len(h), i))
                 at.append(np.arange(len(h)))
         h = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        order = np.argsort(h, kind="stable")
-        self.h = h[order]
-        self.item = np.concatenate([np.zeros(0, np.int64), *item])[order].astype(np.int64)
+        item = np.concatenate([np.zeros(0, np.int64), *item]).astype(np.int64)
+        order = np.lexsort((item, h))
+        self.h, self.item = h[order], item[order]
         self.at = np.concatenate([np.zeros(0, np.int64), *at])[order].astype(np.int64)
+        # Runs of seeds of one hash and one passage.
+        new = np.ones(len(order), bool)
+        new[1:] = (self.h[1:] != self.h[:-1]) | (self.item[1:] != self.item[:-1])
+        self.run = np.flatnonzero(new)
+        self.run_h, self.run_n = self.h[self.run], np.diff(np.append(self.run, len(order)))
         self.bits = 22
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self.h >> np.uint64(64 - self.bits)] = True
@@ -83,16 +88,32 @@ class Block:
             for h in C.grams(x, size).tolist() if 0 < len(x) <= SPAN else ():
                 self.short.setdefault(size, {}).setdefault(h, []).append(i)
 
-    def hits(self, w: np.ndarray) -> set[tuple[int, int]]:
-        """(passage, diagonal) of the hits in one run of words, the diagonal being where the passage's first word would stand."""
-        found: set[tuple[int, int]] = set()
+    def hits(self, w: np.ndarray) -> dict[int, range | list[int]]:
+        """For each passage with a hit in one run of words the diagonals to look at, a diagonal being where the passage's first word
+        would stand. If hits outnumber the diagonals that there are, as in texts that repeat themselves, all of them."""
+        seen, total = [], np.zeros(len(self.words), np.int64)
         for k, mask in enumerate(MASKS):
             h = seeds(w, mask, k)
             pos = np.flatnonzero(self.table[h >> np.uint64(64 - self.bits)])
-            a, b = np.searchsorted(self.h, h[pos]), np.searchsorted(self.h, h[pos], side="right")
-            for p, x, y in zip(pos[b > a].tolist(), a[b > a].tolist(), b[b > a].tolist()):
-                found.update(zip(self.item[x:y].tolist(), (p - self.at[x:y]).tolist()))
-        return found
+            values, which, n = np.unique(h[pos], return_inverse=True, return_counts=True)
+            a, b = np.searchsorted(self.run_h, values), np.searchsorted(self.run_h, values, side="right")
+            runs = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())
+            of = np.repeat(np.arange(len(values)), b - a)
+            np.add.at(total, self.item[self.run[runs]], self.run_n[runs] * n[of])
+            seen.append((pos[np.argsort(which, kind="stable")], np.cumsum(n) - n, n, runs, of))
+        out: dict[int, range | list[int]] = {}
+        many = total > len(w) + np.array([len(x) for x in self.words], np.int64)
+        for i in np.flatnonzero(many).tolist():
+            out[i] = range(1 - len(self.words[i]), len(w))
+        found: set[tuple[int, int]] = set()
+        for pos, start, n, runs, of in seen:
+            few = ~many[self.item[self.run[runs]]]
+            for r, v in zip(runs[few].tolist(), of[few].tolist()):
+                item, at = int(self.item[self.run[r]]), self.at[self.run[r] : self.run[r] + self.run_n[r]]
+                found.update((item, d) for d in np.subtract.outer(pos[start[v] : start[v] + n[v]], at).ravel().tolist())
+        for item, d in sorted(found):
+            out.setdefault(item, []).append(d)
+        return out
 
     def matched(self, w: np.ndarray, item: int, start: int) -> int:
         """Equal words of the passage laid at `start`, or 0 if they are too few anywhere."""
@@ -108,9 +129,9 @@ class Block:
     def overlaps(self, w: np.ndarray) -> dict[int, int]:
         """For each passage that overlaps the words enough: the most words matched along one diagonal."""
         out: dict[int, int] = {}
-        for item, start in self.hits(w):
-            if n := self.matched(w, item, start):
-                out[item] = max(out.get(item, 0), n)
+        for item, starts in self.hits(w).items():
+            if n := max(self.matched(w, item, start) for start in starts):
+                out[item] = n
         for size, table in self.short.items():
             for h in np.unique(C.grams(w, size)).tolist() if len(w) >= size else ():
                 for item in table.get(h, ()):
@@ -118,8 +139,7 @@ class Block:
         return out
 
 
-def _block_matches(docs: DataFrame, block: Block, item_type: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def _block_matches(docs: DataFrame, shared, item_type: str) -> DataFrame:
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +177,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     out = None
     for k in range(n_blocks):
         part = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
-        one = _block_matches(d, Block([r["item_id"] for r in part], [r["text"] for r in part]), item_type)
+        shared = docs.sparkSession.sparkContext.broadcast(Block([r["item_id"] for r in part], [r["text"] for r in part]))
+        one = _block_matches(d, shared, item_type)
+        if n_blocks > 1:  # one block at a time is held anywhere
+            one = C.written(one, "matches")
+            shared.destroy()
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("id", id_col)
 
