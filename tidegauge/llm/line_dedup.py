@@ -9,8 +9,8 @@ depend on the lines near them alone, and a passage is cut the same way wherever
 it. A chunk counts if at least two of its lines have a word. Chunks whose hash occurs more than once are candidates; their
 texts are then grouped byte by byte, the first copy (smallest id, then position) stays, and all others are removed.
 
-Only hashes travel in the first pass; texts travel for candidates. Counts are combined before every shuffle, so a chunk
-that a third of the documents share costs one row per task.
+Only hashes travel in the first pass; texts travel for candidates. Counts are combined before every shuffle, and joins deal the
+rows of a hot chunk or pair over many tasks (common.spread_join), so one that a third of the documents share goes to no one task.
 
 A repeated run is made of pairs: a line with words, the next line with words and the blank lines between them. A pair that
 occurs more than once (equal SHA-256) is repeated; its first copy (smallest id, then place) stays. A line goes if a repeated
@@ -68,14 +68,15 @@ def removals(docs: DataFrame, border: str = BORDER) -> DataFrame:
     twice = C.written(ids, "twice").hint("shuffle_hash")
     multi = lambda d: chunks(d, border).select("_id", F.explode(F.filter("_chunks", lambda c: c["multi"])).alias("c")).select("_id", "c.k", "c.text")
     light = C.written(multi(docs.where("_id IS NOT NULL")).select("_id", "k", F.xxhash64("text").alias("h")), "hashes")
-    often = C.written(light.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-    candidates = C.written(light.join(often, "h").join(twice, "_id", "left_anti").groupBy("_id").agg(F.collect_set("k").alias("ks")), "candidates")
+    often = C.written(light.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    hot, often = C.hot_keys(often, "h"), often.select("h")
+    candidates = C.written(C.spread_join(light, often, "h", hot).join(twice, "_id", "left_anti").groupBy("_id").agg(F.collect_set("k").alias("ks")), "candidates")
     texts = multi(docs.join(candidates.select("_id").hint("shuffle_hash"), "_id", "left_semi")).withColumn("h", F.xxhash64("text"))
-    texts = C.written(texts.join(often.hint("shuffle_hash"), "h", "left_semi").select("_id", "k", "text", F.sha2("text", 256).alias("d")), "texts")
+    texts = C.written(C.spread_join(texts, often, "h", hot, "left_semi").select("_id", "k", "text", F.sha2("text", 256).alias("d")), "texts")
     # Grouping by the text itself compares bytes; a digest shared by different texts is not trusted.
     same = texts.groupBy("text", "d").agg(F.min(F.struct("_id", "k")).alias("first"), F.count("*").alias("n"))
-    same = C.written(same.groupBy("d").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n")).where("texts = 1 AND n > 1").select("d", "first"), "same")
-    drop = texts.select("_id", "k", "d").join(same, "d").where("first._id <> _id OR first.k <> k")
+    same = C.written(same.groupBy("d").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n")).where("texts = 1 AND n > 1").select("d", "first", "n"), "same")
+    drop = C.spread_join(texts.select("_id", "k", "d"), same.drop("n"), "d", C.hot_keys(same, "d")).where("first._id <> _id OR first.k <> k")
     return C.written(drop.groupBy("_id").agg(F.sort_array(F.collect_list("k")).alias("_drop")), "drop")
 
 
@@ -118,13 +119,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     ids = docs.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1 AND _id IS NOT NULL").select("_id")
     twice = C.written(ids, "twice").hint("shuffle_hash")
     light = C.written(line_pairs(docs.where("_id IS NOT NULL")).select("_id", F.xxhash64("text").alias("h")), "hashes")
-    often = C.written(light.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-    candidates = C.written(light.join(often, "h").join(twice, "_id", "left_anti").select("_id").distinct(), "candidates")
+    often = C.written(light.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    hot, often = C.hot_keys(often, "h"), often.select("h")
+    candidates = C.written(C.spread_join(light, often, "h", hot).join(twice, "_id", "left_anti").select("_id").distinct(), "candidates")
     pairs = line_pairs(docs.join(candidates.hint("shuffle_hash"), "_id", "left_semi")).withColumn("h", F.xxhash64("text"))
-    pairs = C.written(pairs.join(often.hint("shuffle_hash"), "h", "left_semi").select("_id", "a", "b", F.unhex(F.sha2("text", 256)).alias("d")), "pairs")
+    pairs = C.written(C.spread_join(pairs, often, "h", hot, "left_semi").select("_id", "a", "b", F.unhex(F.sha2("text", 256)).alias("d")), "pairs")
     same = pairs.groupBy("d").agg(F.count("*").alias("n"), F.min(F.struct("_id", "a")).alias("first"))
-    same = C.written(same.where("n > 1").select("d", "first"), "same")
-    found = pairs.join(same, "d").select("_id", F.struct("a", "b").alias("p"), (F.col("first") == F.struct("_id", "a")).alias("is_first"))
+    same = C.written(same.where("n > 1"), "same")
+    found = C.spread_join(pairs, same.drop("n"), "d", C.hot_keys(same, "d")).select("_id", F.struct("a", "b").alias("p"), (F.col("first") == F.struct("_id", "a")).alias("is_first"))
     found = found.groupBy("_id").agg(F.collect_list(F.when(~F.col("is_first"), F.col("p"))).alias("_later"), F.collect_list(F.when(F.col("is_first"), F.col("p"))).alias("_first"))
     return C.written(found.where("size(_later) > 0"), "repeats")
 
