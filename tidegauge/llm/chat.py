@@ -66,12 +66,13 @@ def conversations(messages: DataFrame, top: int = 1, tree_col: str = "tree", nod
     nth = F.row_number().over(Window.partitionBy("tree", "node").orderBy(F.col("parent").asc_nulls_last(), "role", "text", "score"))
     m = C.written(m.withColumn("nth", nth).where("nth = 1").drop("nth"), "messages")
     roots = m.join(m.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_anti").select("tree", "node")
-    reach = C.written(paths(m).join(m.select("tree", "node", "role", "text", "score"), ["tree", "node"]), "paths")
+    reach = C.written(paths(m).join(m.select("tree", "node", "score"), ["tree", "node"]), "paths")
     whole = reach.join(roots.withColumn("root", F.lit(1)), ["tree", "node"], "left").groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("size"), F.max("root").alias("root"))
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("size"), "leaf")
     whole = whole.where("root = 1").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("tree", "leaf", "rank", F.col("score").alias("branch"))
 
-    turns = reach.join(C.written(whole, "branches"), ["tree", "leaf"])
+    # Texts travel for the chosen branches only.
+    turns = reach.drop("score").join(C.written(whole, "branches"), ["tree", "leaf"]).join(m.select("tree", "node", "role", "text"), ["tree", "node"])
     turns = turns.select("tree", "leaf", "rank", "branch", "dist", F.col("role").alias("plain"), escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
     turns = turns.withColumn("turn", F.concat(F.lit(START), "role", F.lit("\n"), "text", F.lit(END + "\n")))
     before = F.sum(F.length("turn")).over(Window.partitionBy("tree", "leaf").orderBy(F.desc("dist")).rowsBetween(Window.unboundedPreceding, -1))
