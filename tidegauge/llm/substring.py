@@ -4,10 +4,11 @@ A window of `length` consecutive words goes if the same words also start anywher
 Levels are `length` halved until it is at most FIRST. On the first level only minimisers count: of the short windows inside
 each window of the next level the one of the smallest hash, so that equal windows have equal minimisers. Windows that occur
 once at a level are marked; on the next level, of (about) twice the length, only windows whose parts all repeat are
-candidates, and so on, until the last level or until no candidate is left.
+candidates, and so on, until the last level or until a level has no repeated window.
 
 A level is one aggregation by hash, combined before its shuffle: a group of one window carries its own place, which is all
-that the next level has to know. So a sequence that occurs a million times costs a row per task, and no join is by hash.
+that the next level has to know. So a sequence that occurs a million times costs a row per task, and no join is by hash. Hashes
+have 64 bits, on the last level, which decides, 128.
 
 Defined results: a null text has no words; texts shorter than a window keep all words; rows that repeat an id with the same
 text repeat each other's windows, and all get the same result; a null id is an id like others; other columns are not
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH = 35
-FIRST = 20
+FIRST = 10
 
 
 def levels(length: int) -> list[int]:
@@ -114,29 +115,35 @@ def _windows(rows: DataFrame, level: int, sizes: list[int]) -> DataFrame:
                     continue
                 doc = np.searchsorted(p.first, at, side="right") - 1
                 take = pa.array(doc + lo)
-                h = C.grams(p.w, sizes[level])[at]
+                hashes = [C.grams(w, sizes[level])[at] for w in ((p.w, C.mix(p.w + np.uint64(1))) if level == len(sizes) - 1 else (p.w,))]
                 for a in range(0, len(at), 1 << 16):
                     s = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take[s]), batch.column(1).take(take[s]), pa.array((at[s] - p.first[doc[s]]).astype(np.int32)), pa.array(h[s].view(np.int64))], ["id", "tag", "pos", "h"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take[s]), batch.column(1).take(take[s]), pa.array((at[s] - p.first[doc[s]]).astype(np.int32)), *[pa.array(h[s].view(np.int64)) for h in hashes]], ["id", "tag", "pos", "h", "g"][: 3 + len(hashes)])
 
-    return rows.mapInArrow(run, f"id {rows.dtypes[0][1]}, tag int, pos int, h long")
+    return rows.mapInArrow(run, f"id {rows.dtypes[0][1]}, tag int, pos int, h long" + (", g long" if level == len(sizes) - 1 else ""))
 
 
-def _once(rows: DataFrame, level: int, sizes: list[int]) -> DataFrame:
-    """id, tag, s<level>: positions in each text of the windows that occur once. Minima of one row are that row."""
+def _once(rows: DataFrame, level: int, sizes: list[int]) -> tuple[DataFrame, int]:
+    """id, tag, s<level>: positions in each text of the windows that occur once; and how many windows occur more often. Minima of
+    one row are that row."""
     w = _windows(rows, level, sizes)
-    one = w.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("tag").alias("tag"), F.min("pos").alias("pos")).where("n = 1")
-    return one.groupBy("id", "tag").agg(F.collect_list("pos").alias(f"s{level}"))
+    groups = w.groupBy(*w.columns[3:]).agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("tag").alias("tag"), F.min("pos").alias("pos"))
+    # Other groups are counted with the text of their minima, whatever it is.
+    once = groups.groupBy("id", "tag").agg(F.collect_list(F.when(F.col("n") == 1, F.col("pos"))).alias(f"s{level}"), F.count_if(F.col("n") > 1).alias("again"))
+    once = C.written(once, "once")
+    return once.drop("again"), once.agg(F.sum("again").alias("n")).first()["n"] or 0
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, list[int]]:
+def _marked(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, list[int] | None]:
+    """id, tag, text and the positions of single windows of each level; the sizes of the levels, None if a level has no repeated
+    window, so that nothing of the last length can repeat."""
     sizes = levels(length)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), F.hash(text).alias("tag"), text.alias("text"))
     for level in range(len(sizes)):
-        once = _once(rows, level, sizes)
-        if level == 0:
-            once = C.written(once, "once")  # the texts have not been dealt out yet
+        once, repeated = _once(rows, level, sizes)
+        if not repeated:
+            return rows, None
         o = once.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), f"s{level}")
         rows = rows.join(o, rows["id"].eqNullSafe(o["_id"]) & (rows["tag"] == o["_tag"]), "left").drop("_id", "_tag")
     return rows, sizes
@@ -151,8 +158,8 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, schema: str
                 if not len(ids):
                     continue
                 lo = ids[0].as_py()
-                p = Piece(texts, sizes)
-                again = p.repeated([p.placed(batch.column(3 + k).slice(lo, len(ids))) for k in range(len(sizes))])
+                p = Piece(texts, sizes or [length])
+                again = p.repeated([p.placed(batch.column(3 + k).slice(lo, len(ids))) for k in range(len(sizes))]) if sizes else np.zeros(0, np.int64)
                 cover = np.zeros(len(p.w) + 1, np.int32)
                 cover[again] += 1
                 np.subtract.at(cover, again + length, 1)
