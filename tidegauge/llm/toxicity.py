@@ -35,12 +35,12 @@ MAX_ROWS = 20_000
 _TABLE = C.separators(bytes(b for b in range(128) if not chr(b).isalnum()))
 
 
-def word_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, place) of the words of a piece, repeats included."""
+def word_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, place) of the words of a piece, repeats included, and a hash of each text's words."""
     data, offsets = C.raw(pc.utf8_lower(texts))
     starts, ends, first = C.words(data, offsets, _TABLE)
     h = C.word_hashes(data, starts, ends)
-    return np.repeat(np.arange(len(texts)), np.diff(first)), (h >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.repeat(np.arange(len(texts)), np.diff(first)), (h >> np.uint64(64 - BITS)).astype(np.int64), C.per_text(h, first)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -145,7 +145,8 @@ def fit_chain(row: np.ndarray, place: np.ndarray, labels: np.ndarray, fold: np.n
 
 
 def sample(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str, text_col: str, max_rows: int) -> tuple:
-    """Distinct (row, place), labels and folds of the training documents, ordered by id."""
+    """Distinct (row, place), labels and folds of the training documents, ordered by id. Folds are dealt by a hash of a text's
+    words, so copies of one text share a fold."""
     known = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
     known = known.groupBy("id").agg(*[F.max(c).alias(c) for c in categories])
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # the documented bound of the broadcast
@@ -156,22 +157,22 @@ def sample(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: st
             for at, texts in C.pieces(pa.array(np.arange(batch.num_rows)), batch.column(1)):
                 if not len(at):
                     continue
-                row, place = word_places(texts)
+                row, place, key = word_places(texts)
                 both = np.unique(row << BITS | place)
                 offsets = np.searchsorted(both >> BITS, np.arange(len(texts) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array((both & ((1 << BITS) - 1)).astype(np.int32)))
                 rest = [batch.column(k).slice(at[0].as_py(), len(at)) for k in range(2, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at[0].as_py(), len(at)), lists, *rest], ["id", "places", *categories])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at[0].as_py(), len(at)), lists, pa.array((key % np.uint64(FOLDS)).astype(np.int32)), *rest], ["id", "places", "_fold", *categories])
 
     kind = d.dtypes[0][1]
-    t = d.select("id", "text", *categories).mapInArrow(run, f"id {kind}, places array<int>, {', '.join(f'{c} int' for c in categories)}").toArrow()
+    t = d.select("id", "text", *categories).mapInArrow(run, f"id {kind}, places array<int>, _fold int, {', '.join(f'{c} int' for c in categories)}").toArrow()
     t = t.sort_by("id").combine_chunks()
     places = t.column("places").combine_chunks()
     n = t.num_rows
     row = np.repeat(np.arange(n, dtype=np.int32), places.value_lengths().to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int32)
     place = places.flatten().to_numpy(zero_copy_only=False)
     y = np.column_stack([t.column(c).to_numpy() for c in categories]) if n else np.zeros((0, len(categories)), int)
-    return row, place, y, (C.mix(np.arange(1, n + 1, dtype=np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+    return row, place, y, t.column("_fold").to_numpy().astype(np.int64) if n else np.zeros(0, np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Chain:
@@ -193,7 +194,7 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
             for at, texts in C.pieces(pa.array(np.arange(batch.num_rows)), batch.column(1)):
                 if not len(at):
                     continue
-                row, place = word_places(texts)
+                row, place, _ = word_places(texts)
                 both = np.unique(row << BITS | place)
                 p = chain.predict(both >> BITS, both & ((1 << BITS) - 1), len(texts))
                 cols = [pa.array(p[:, c]) for c in range(len(cats))] + [pa.array(p[:, c] >= chain.thresholds[c]) for c in range(len(cats))]
@@ -214,7 +215,7 @@ def clean(docs: DataFrame, chain: Chain, category: str, text_col: str = "text")
             for at, texts in C.pieces(pa.array(np.arange(batch.num_rows)), batch.column(at_text)):
                 if not len(at):
                     continue
-                row, place = word_places(texts)
+                row, place, _ = word_places(texts)
                 both = np.unique(row << BITS | place)
                 p = chain.predict(both >> BITS, both & ((1 << BITS) - 1), len(texts))
                 yield batch.slice(at[0].as_py(), len(at)).filter(pa.array(p[:, c] < chain.thresholds[c]))
