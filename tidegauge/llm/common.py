@@ -47,20 +47,26 @@ HOT = 10_000
 FEW = 1_000
 
 
-def hot_keys(counts: DataFrame, key: str) -> DataFrame:
-    """key and parts (over how many parts its rows are dealt) for the hot keys of counts (key, n); at most HOT rows."""
+def hot_keys(counts: DataFrame, key: str) -> dict[int, list]:
+    """{parts: keys}: over how many parts, a power of two, the rows of the hot keys of counts (key, n) are dealt. At most HOT keys
+    come to the driver."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    hot = counts.where((F.col("n") * HOT > total) & (F.col("n") > FEW))
-    return written(hot.select(F.col(key).alias("_hot"), F.ceil(F.col("n") * F.lit(HOT) / F.lit(max(total, 1))).cast("int").alias("_parts")), "hot")
+    out: dict[int, list] = {}
+    for r in counts.where((F.col("n") * HOT > total) & (F.col("n") > FEW)).select(key, "n").collect():
+        out.setdefault(1 << (-(-r["n"] * HOT // total) - 1).bit_length(), []).append(r[key])
+    return out
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: dict[int, list], how: str = "inner") -> DataFrame:
     """many.join(one, key) where `one` has each key once and hot keys of `many` are dealt over several tasks: their rows of `many`
-    get a part by a hash of the row, their row of `one` goes to each part. Only the hot keys (at most HOT rows) are broadcast."""
-    hot = F.broadcast(hot)
-    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*many.columns), F.col("_parts").cast("long"))).cast("int")
-    a = many.join(hot, many[key] == hot["_hot"], "left").select(*many.columns, part.alias("_part"))
-    b = one.join(hot, one[key] == hot["_hot"], "left").select(*one.columns, F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
+    get a part by a hash of the row, their row of `one` goes to each part. The hot keys, at most HOT, are part of the plan."""
+    if not hot:
+        return many.join(one, key, how)
+    parts = F.lit(1)
+    for n, keys in sorted(hot.items()):
+        parts = F.when(F.col(key).isin(keys), n).otherwise(parts)
+    a = many.withColumn("_part", F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64(*many.columns), parts.cast("long"))).cast("int"))
+    b = one.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return a.join(b, [key, "_part"], how).drop("_part")
 
 
