@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.functions import numeric
-from tidegauge.operators import duplicates, grid, manifest, paired, tail
+from tidegauge.operators import duplicates, grid, manifest, order, paired, tail
 
 
 def value(spark, c):
@@ -125,11 +125,125 @@ def test_bands_find_what_all_pairs_find(spark):
     rng = np.random.default_rng(1)
     base = rng.random((5, 64))
     rows = [(k % 3, k, [float(x) for x in base[k % 5] + rng.normal(0, 0.03 * (k % 7), 64)]) for k in range(60)]
-    h = duplicates.grid_hashes(spark.createDataFrame(rows, "split int, id int, values array<double>")).drop("values")
+    h = spark.createDataFrame(duplicates.grid_hashes(spark.createDataFrame(rows, "split int, id int, values array<double>")).drop("values").collect())
     a, b = (sorted(map(tuple, f(h, 8).collect())) for f in (duplicates.flagged, duplicates.flagged_all_pairs))
     assert a == b and a
 
 
+def test_bands_meet_fewer_than_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    n = 1500
+    bits = rng.integers(0, 2**32, (n, 6), dtype=np.uint64)
+    for k in range(0, 60, 2):  # a near copy: eight bits of each hash
+        for j in range(0, 6, 2):
+            flip = rng.choice(64, 8, replace=False)
+            lo, hi = (sum(1 << int(x) % 32 for x in flip if (x >= 32) == high) for high in (False, True))
+            bits[k + 1, j], bits[k + 1, j + 1] = bits[k, j] ^ np.uint64(lo), bits[k, j + 1] ^ np.uint64(hi)
+    names = [f"{h}_{p}" for h in duplicates.HASHES for p in ("lo", "hi")]
+    h = spark.createDataFrame([(0, i, *map(int, row)) for i, row in enumerate(bits)], "split int, id int, " + ", ".join(f"{c} long" for c in names))
+    cut, chosen = duplicates.bands(8)
+    assert sum(size for _, size in cut) == 64 and len(cut) == 11 and len(chosen) == 165
+    met = duplicates.candidates(h.withColumn("_n", F.col("id").cast("long")), 8).count()
+    assert met < 0.01 * n * (n - 1) / 2
+    assert {(r.id_a, r.id_b) for r in duplicates.flagged(h, 8).collect()} == {(k, k + 1) for k in range(0, 60, 2)}
+
+
+def test_nearest_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(90):
+        v = int(rng.integers(0, 2**63)) if i % 3 == 0 else rows[-1][2] ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 9), replace=False))
+        rows.append((i % 4, i, v))
+    h = spark.createDataFrame([(s, i, v & 0xFFFFFFFF, v >> 32) for s, i, v in rows], "split int, id int, p_lo long, p_hi long")
+    want = {}
+    for s, i, v in rows:
+        for t in range(4):
+            d = [(v ^ w).bit_count() for u, j, w in rows if u == t and j != i]
+            want[s, i, t] = min(d) if d else None
+    assert {(r.split_a, r.id_a, r.split_b): r.d for r in duplicates.nearest(h, "p", block=16).collect()} == want
+
+
+def test_hashes_of_a_larger_image_and_of_its_resized_copy(spark):
+    rng = np.random.default_rng(7)
+    image, other = (np.kron(255 * rng.random((6, 6)), np.ones((8, 10))) for _ in "ab")
+    small = image.reshape(24, 2, 30, 2).mean((1, 3))
+    f = lambda m: [float(v) for v in m.ravel()]
+    a = duplicates.grid_hashes(spark.createDataFrame([(0, f(image)), (1, f(other))], "id int, values array<double>"), h=48, w=60).drop("values")
+    b = duplicates.grid_hashes(spark.createDataFrame([(2, f(small))], "id int, values array<double>"), h=24, w=30).drop("values")
+    v = {r.id: [r[f"{h}_{p}"] for h in "adp" for p in ("lo", "hi")] for r in a.unionByName(b).collect()}
+    d = lambda i, j: [sum((v[i][k] ^ v[j][k]).bit_count() for k in (2 * h, 2 * h + 1)) for h in range(3)]
+    assert max(d(0, 2)) <= 8 and min(d(0, 1)) > 8
+    assert all(abs(sum(row) - 1) < 1e-12 for row in duplicates.resampling(60, 9)) and duplicates.resampling(8, 8) == [[float(i == k) for k in range(8)] for i in range(8)]
+
+
+def test_numbers_and_running_values_of_large_groups(spark, monkeypatch):
+    rows = [("a", 37 * k % 1000) for k in range(1000)] + [("b", k) for k in range(3)] + [(None, 5), (None, 4)]
+    df = spark.createDataFrame(rows, "g string, k int").repartition(5)
+    got = sorted(((r.g or "", r.k, r.i, r.n) for r in order.numbered(df, "g", ["k"]).collect()))
+    assert got == sorted([("a", k, k + 1, 1000) for k in range(1000)] + [("b", k, k + 1, 3) for k in range(3)] + [("", 4, 1, 2), ("", 5, 2, 2)])
+    monkeypatch.setattr(order, "SIZE", 7)
+    rng = np.random.default_rng(6)
+    a, b = rng.random(400), rng.random(400)
+    x, want = 0.0, []
+    for p, q in zip(a, b):
+        x = p * x + q
+        want.append(x)
+    df = spark.createDataFrame([("g", k, float(a[k]), float(b[k])) for k in range(400)], "g string, k long, a double, b double").repartition(4)
+    assert [r.x for r in order.affine_scan(df, "g", "k", "a", "b").orderBy("at").collect()] == pytest.approx(want, rel=1e-12)
+    keys = spark.createDataFrame([(k,) for k in range(3000)], "k int").withColumn("d", F.md5(F.col("k").cast("string").cast("binary")))
+    some = [r.k for r in order.smallest(keys, 700, [F.col("d"), F.col("k")]).collect()]
+    assert sorted(some) == sorted(r.k for r in keys.orderBy("d", "k").limit(700).collect()) and order.smallest(keys, 5000, [F.col("d")]).count() == 3000
+
+
+def test_runs_that_do_not_match_are_errors(spark):
+    r = lambda rows: spark.createDataFrame(rows, "dataset string, arm string, seed int, stem string, value double")
+    good = [("d", a, s, x, 0.5) for a in "ab" for s in (0, 1) for x in "pq"]
+    paired.validate(r(good))
+    with pytest.raises(ValueError, match="same seeds"):
+        paired.validate(r([x for x in good if not (x[1] == "b" and x[2] == 1)]))
+    with pytest.raises(ValueError, match="no stem in common"):
+        paired.validate(r([x for x in good if (x[3] == "p") == (x[1] == "a")]))
+    with pytest.raises(ValueError):
+        paired.said(paired.compare(r(good)), "odd")
+
+
+def comparison(spark, **values):
+    rows = [(d, 3, m, lo, hi, m + 0.5, 0.5, False, lo - 0.1, hi + 0.1) for d, (m, lo, hi) in values.items()]
+    return spark.createDataFrame(rows, "dataset string, n long, mean double, lo double, hi double, b_mean double, a_mean double, degenerate boolean, image_bootstrap_lo double, image_bootstrap_hi double")
+
+
+def test_verdict_by_interval(spark):
+    first = comparison(spark, etis=(-0.01, -0.05, 0.03), other=(-0.05, -0.08, -0.02), third=(0.2, 0.1, 0.3))
+    second = comparison(spark, other=(0.1, 0.05, 0.15), third=(0.0, -0.1, 0.1))
+    tails = spark.createDataFrame([("etis", 0.01)], "dataset string, drop double")
+    got = {r.criterion: (r.triggered, r.evaluated) for r in paired.verdict(first, tails, "etis", ["other", "third"], second).collect()}
+    assert got == {"no_target_gain": (True, True), "no_external_difference": (False, True), "falls_while_pool_rises": (True, True), "rejected": (True, True)}
+    got = {r.criterion: r for r in paired.verdict(first, tails, "etis", ["other", "third"], second, interval="image_bootstrap").collect()}
+    assert got["no_external_difference"].triggered and not got["falls_while_pool_rises"].triggered and got["rejected"].detail == "read at image_bootstrap"
+    assert got["no_target_gain"].detail == "-0.0100 [-0.1500, +0.1300]; drop +0.0100"
+    enough = spark.createDataFrame([("etis", 0.05)], "dataset string, drop double")
+    got = {r.criterion: (r.triggered, r.evaluated) for r in paired.verdict(first, enough, "etis", ["none"], second).collect()}
+    assert got["no_target_gain"] == (False, True) and got["no_external_difference"] == (False, False) and not got["rejected"][1]
+    said = [r.note for r in paired.notes(first.withColumn("degenerate", F.col("dataset") == "other"), "absent", ["none"], second).collect()]
+    assert len(said) == 4 and "other" in said[0] and any("absent" in x for x in said)
+
+
+def test_all_metrics_check_the_shape(spark):
+    df = spark.createDataFrame([([0.9, 0.5, 0.4, 0.1], [True, True, False, False])], "prob array<double>, gt array<boolean>")
+    r = grid.all_metrics(df, 2, 2).first()
+    assert (r.tp, r.fp, r.fn, r.tn, r.dice, r.hd95) == (2, 0, 0, 2, 1.0, 0.0) and r.dice_sweep > 0.5
+    with pytest.raises(Exception, match="maps of 4 and 4 cells"):
+        grid.all_metrics(df, 3, 2).collect()
+
+
+def test_gaps(spark):
+    rows = [("a", k) for k in (1, 2, 5, 6, 9)] + [("b", 7)] + [("c", k) for k in (1, 2, 3, None)] + [("d", k) for k in (0, 200_000)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    got = {r.g: (r.lo, r.hi, r.n_missing, r.n_runs, r.contiguous) for r in manifest.numeric_gaps(df, "g", "k").collect()}
+    assert got == {"a": (1, 9, 4, 2, False), "b": (7, 7, 0, 0, True), "c": (1, 3, 0, 0, True), "d": (0, 200_000, 199_999, 1, True)}
+    assert sorted((r.g, r.missing) for r in manifest.missing_numbers(df, "g", "k").collect()) == [("a", 3), ("a", 4), ("a", 7), ("a", 8)]
+
+
 def test_manifest_verify(spark):
     old = spark.createDataFrame([("s", "a", "x"), ("s", "b", "y"), ("s", "c", "z z")], "split string, stem string, text string")
     new = spark.createDataFrame([("s", "b", "Y"), ("s", "c", "q"), ("s", "d", "n")], "split string, stem string, text string")

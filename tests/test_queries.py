@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidegauge.plans import catalog
+from tidegauge.plans import catalog, extras
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -25,10 +25,13 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - {"image_bootstrap", "hierarchical_bootstrap"}))  # those against brute force below
+QUERIES, STATEMENTS = catalog.queries() | extras.queries(), catalog.oracle_sql() | extras.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(set(STATEMENTS) - {"image_bootstrap", "hierarchical_bootstrap"}))  # those against brute force below
 def test_query_equals_sql(spark, duck, name):
-    df = catalog.queries()[name](spark, SF)
-    q = duck.execute(catalog.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    q = duck.execute(STATEMENTS[name])
     names = [d[0] for d in q.description]
     assert sorted(names) == sorted(df.columns)
     text = lambda r: tuple(str(v) for v in r)

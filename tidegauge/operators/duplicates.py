@@ -54,6 +54,24 @@ def product(a: list[list[float]], b: list[list[float]]) -> list[list[float]]:
     return [[sum(x * y for x, y in zip(row, col)) for col in zip(*b)] for row in a]
 
 
+def sandwich(v: Column, left: list[list[float]], right: list[list[float]], h: int, w: int) -> Column:
+    """left * grid * right' of a grid of h rows of w, as an array in row order."""
+    m, n = len(left), len(right)
+    tables = F.array(*[F.lit(c) for row in left for c in row]), F.array(*[F.lit(c) for row in right for c in row])
+    total = lambda size, f: F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0.0), lambda s, x: s + f(x))
+    at = lambda a, k: F.get(a, k.cast("int"))
+    cells = lambda k: F.sequence(F.lit(0), F.lit(k - 1))
+    # Along rows first (place y * n + j), then along columns (place i * n + j).
+    rows = lambda c: F.transform(cells(h * n), lambda k: total(w, lambda x: at(v, F.floor(k / n) * w + x) * at(c, (k % n) * w + x)))
+    whole = lambda r: let(tables[0], lambda c: F.transform(cells(m * n), lambda k: total(h, lambda y: at(r, y * n + k % n) * at(c, F.floor(k / n) * h + y))))
+    return let(let(tables[1], rows), whole)
+
+
+def resized(v: Column, h: int, w: int, rows: int, columns: int) -> Column:
+    """A grid of h rows of w in another size, by the Lanczos kernel."""
+    return sandwich(v, resampling(h, rows), resampling(w, columns), h, w)
+
+
 def hash_maps(h: int, w: int) -> dict[str, tuple[list[list[float]], list[list[float]]]]:
     """For each hash the matrices L and R for which L * grid * R' holds what its bits are made of: the grid in 8 x 8 (a), in 8
     rows of 9 (d), and the first 8 x 8 coefficients of the cosine transform of the grid in 32 x 32 (p)."""
@@ -65,17 +83,7 @@ def grid_hashes(records: DataFrame, values: str = "values", h: int = 8, w: int =
     """Adds <hash>_lo and <hash>_hi of grids of h rows of w. a: value above the mean; d: value above its left neighbour; p:
     coefficient above the median of all but the first, whose bit is 0. See hash_maps() for the sizes."""
 
-    def mapped(v: Column, left: list[list[float]], right: list[list[float]]) -> Column:
-        m, n = len(left), len(right)
-        tables = F.array(*[F.lit(c) for row in left for c in row]), F.array(*[F.lit(c) for row in right for c in row])
-        total = lambda size, f: F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0.0), lambda s, x: s + f(x))
-        at = lambda a, k: F.get(a, k.cast("int"))
-        cells = lambda k: F.sequence(F.lit(0), F.lit(k - 1))
-        # Along rows first (place y * n + j), then along columns (place i * n + j).
-        rows = lambda c: F.transform(cells(h * n), lambda k: total(w, lambda x: at(v, F.floor(k / n) * w + x) * at(c, (k % n) * w + x)))
-        whole = lambda r: let(tables[0], lambda c: F.transform(cells(m * n), lambda k: total(h, lambda y: at(r, y * n + k % n) * at(c, F.floor(k / n) * h + y))))
-        return let(let(tables[1], rows), whole)
-
+    mapped = lambda v, left, right: sandwich(v, left, right, h, w)
     maps = hash_maps(h, w)
     mean = lambda g: F.aggregate(g, F.lit(0.0), lambda s, x: s + x) / 64
     rising = F.array(*[F.lit(9 * y + x) for y in range(8) for x in range(8)])
@@ -238,9 +246,9 @@ def members(items: DataFrame, groups: DataFrame, content: str = "content_hash")
 
 
 def by_location(groups: DataFrame) -> DataFrame:
-    """location ("within A", or "A <-> B"), n_groups."""
+    """location ("within A", or "A <-> B"), n_groups, most groups first; a row for each set of splits."""
     where = F.when(F.size("splits") == 1, F.concat(F.lit("within "), F.get("splits", F.lit(0)))).otherwise(F.array_join("splits", " <-> "))
-    return groups.groupBy(where.alias("location")).agg(F.count("*").alias("n_groups"))
+    return groups.groupBy(where.alias("location")).agg(F.count("*").alias("n_groups")).orderBy(F.desc("n_groups"), "location")
 
 
 def findings(locations: DataFrame, summary: DataFrame) -> DataFrame:

@@ -15,6 +15,30 @@ def binarise(values: Column) -> Column:
     return F.transform(values, lambda v: F.when(F.array_max(values) > 1, v > 127).otherwise(v > 0))
 
 
+def threshold(prob: Column | str, t: float) -> Column:
+    """Array of booleans: values of at least t."""
+    return F.transform(prob, lambda p: p >= F.lit(t))
+
+
+def positive_fraction(mask: Column | str) -> Column:
+    """Share of set cells."""
+    return F.try_divide(F.size(F.filter(mask, lambda x: x)), F.size(mask))
+
+
+def bincount(df: DataFrame, by: str, values: str, n: int = 256) -> DataFrame:
+    """by, bin, n: how often each whole number from 0 to n - 1 stands in the arrays of a group, also those that never do."""
+    seen = df.select(by, F.explode(values).alias("bin")).groupBy(by, "bin").agg(F.count("*").alias("n"))
+    every = df.select(by).distinct().select(by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
+    return every.join(seen, [by, "bin"], "left").select(by, "bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def all_metrics(df: DataFrame, h: int, w: int, prob: str = "prob", t: float = 0.5) -> DataFrame:
+    """Counts, scores, hd95 and threshold sweeps of prob against gt, both arrays of h * w; another size is an error."""
+    wrong = (F.size(prob) != h * w) | (F.size("gt") != h * w)
+    df = df.withColumn("pred", F.when(wrong, F.raise_error(F.format_string("maps of %d and %d cells for a grid of %d", F.size(prob), F.size("gt"), F.lit(h * w)))).otherwise(threshold(prob, t)))
+    return threshold_sweep(hd95(binary_scores(confusion(df)), h, w), prob)
+
+
 def truth_masks(records: DataFrame, split: str = "split", values: str = "values") -> DataFrame:
     """split, gt: where the mean of a split's grids is positive."""
     cells = records.select(split, F.posexplode(values).alias("pos", "v"))

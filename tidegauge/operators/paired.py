@@ -11,6 +11,21 @@ from pyspark.sql import functions as F
 from tidegauge.functions.numeric import draw, t_quantile, t_two_sided_p
 
 
+INTERVALS = ("seed_t", "image_bootstrap", "hierarchical")
+
+
+def validate(runs: DataFrame) -> None:
+    """Raises ValueError for a dataset of which the arms have different seeds, or runs without a stem in common."""
+    seeds = runs.select("dataset", "arm", "seed").distinct()  # a row for each run
+    sides = seeds.groupBy("dataset").agg(F.sort_array(F.collect_set(F.when(F.col("arm") == "a", F.col("seed")))).alias("a"), F.sort_array(F.collect_set(F.when(F.col("arm") == "b", F.col("seed")))).alias("b"))
+    both = "size(a) > 0 AND size(b) > 0"
+    if odd := sides.where(f"{both} AND a <> b").limit(5).collect():
+        raise ValueError("arms need the same seeds: " + ", ".join(f"{r.dataset} has {r.a} and {r.b}" for r in odd))
+    common = matched(runs).select("dataset").distinct()
+    if lost := sides.where(both).join(common, "dataset", "left_anti").limit(5).collect():
+        raise ValueError("no stem in common on " + ", ".join(r.dataset for r in lost))
+
+
 def matched(runs: DataFrame) -> DataFrame:
     """Rows of the stems that every run of both arms has."""
     n = runs.groupBy("dataset").agg(F.countDistinct("arm", "seed").alias("n_runs"))
@@ -97,24 +112,65 @@ def hierarchical_bootstrap(runs: DataFrame, n_boot: int = 10_000, confidence: fl
     return _limits(r, point, confidence)
 
 
-def compare(runs: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """t_intervals with adjusted p-values and what the intervals say; degenerate ones are never significant."""
+def compare(runs: DataFrame, confidence: float = 0.95, n_boot: int | None = None, seed: int = 0, metric: str | None = None) -> DataFrame:
+    """t_intervals with adjusted p-values and what the intervals say; degenerate ones are never significant.
+
+    With n_boot also image_bootstrap_lo, _hi, hierarchical_lo and _hi. metric: of runs with a column metric, which one to compare.
+    """
+    if metric is not None:
+        runs = runs.where(F.col("metric") == metric).drop("metric")
     t = holm(t_intervals(seed_means(runs), confidence))
-    sure = ~F.col("degenerate")
-    return t.withColumns({"excludes_zero": sure & ((F.col("lo") > 0) | (F.col("hi") < 0)), "significantly_positive": sure & (F.col("lo") > 0), "significantly_negative": sure & (F.col("hi") < 0)})
+    if n_boot:
+        for name, f in (("image_bootstrap", image_bootstrap), ("hierarchical", hierarchical_bootstrap)):
+            t = t.join(f(runs, n_boot, confidence, seed).select("dataset", F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi")), "dataset", "left")
+    return said(t)
 
 
-def verdict(comparison: DataFrame, tails: DataFrame, target: str, external: list[str], second: DataFrame | None = None, required_drop: float = 0.03, degradation: float = 0.010) -> DataFrame:
-    """criterion, triggered, evaluated: the three rules and `rejected`, true if any is triggered.
+def said(t: DataFrame, interval: str = "seed_t") -> DataFrame:
+    """excludes_zero, significantly_positive and significantly_negative by one of INTERVALS."""
+    lo, hi, sure = _limits_of(interval)
+    return t.withColumns({"excludes_zero": sure & ((lo > 0) | (hi < 0)), "significantly_positive": sure & (lo > 0), "significantly_negative": sure & (hi < 0)})
+
+
+def _limits_of(interval: str):
+    if interval not in INTERVALS:
+        raise ValueError(f"intervals are {', '.join(INTERVALS)}, not {interval!r}")
+    if interval == "seed_t":
+        return F.col("lo"), F.col("hi"), ~F.col("degenerate")
+    return F.col(f"{interval}_lo"), F.col(f"{interval}_hi"), F.col(f"{interval}_lo").isNotNull()
+
+
+def verdict(comparison: DataFrame, tails: DataFrame, target: str, external: list[str], second: DataFrame | None = None, required_drop: float = 0.03, degradation: float = 0.010, interval: str = "seed_t") -> DataFrame:
+    """criterion, triggered, evaluated, detail: the three rules read against one of INTERVALS, and `rejected`, true if any is triggered.
 
     comparison: compare(); tails: dataset, drop (mean tail mass of a less that of b); second: compare() of another pair of arms.
     """
+    lo, hi, _ = _limits_of(interval)
+    comparison = said(comparison, interval)
+    line = lambda df, name: df.select(F.lit(name).alias("criterion"), F.coalesce("triggered", F.lit(False)).alias("triggered"), "evaluated", F.coalesce("detail", F.lit("not evaluated")).alias("detail"))
+    limits = F.format_string("%+.4f [%+.4f, %+.4f]", "mean", lo, hi)
     t = comparison.where(F.col("dataset") == target).join(tails, "dataset", "left")
-    no_gain = (F.col("mean") <= 0) & (F.col("lo") <= 0) & (F.col("hi") >= 0) & ~F.coalesce(F.col("drop") >= required_drop, F.lit(False))
-    one = t.agg(F.coalesce(F.bool_or(no_gain), F.lit(False)).alias("triggered"), (F.count("*") > 0).alias("evaluated")).select(F.lit("no_target_gain").alias("criterion"), "triggered", "evaluated")
-    src = comparison.limit(0) if second is None else second
-    two = src.where(F.col("dataset").isin(external)).agg(F.coalesce(F.bool_and(~F.col("excludes_zero")), F.lit(False)).alias("triggered"), (F.count("*") > 0).alias("evaluated")).select(F.lit("no_external_difference").alias("criterion"), "triggered", "evaluated")
+    no_gain = (F.col("mean") <= 0) & (lo <= 0) & (hi >= 0) & ~F.coalesce(F.col("drop") >= required_drop, F.lit(False))
+    one = line(t.agg(F.bool_or(no_gain).alias("triggered"), (F.count("*") > 0).alias("evaluated"), F.max(F.concat(limits, F.lit("; drop "), F.coalesce(F.format_string("%+.4f", "drop"), F.lit("unknown")))).alias("detail")), "no_target_gain")
+    src = comparison.limit(0) if second is None else said(second, interval)
+    listed = F.array_join(F.sort_array(F.collect_list(F.concat("dataset", F.lit(" "), limits))), "; ")
+    two = src.where(F.col("dataset").isin(external)).agg(F.bool_and(~F.col("excludes_zero")).alias("triggered"), (F.count("*") > 0).alias("evaluated"), F.when(F.count("*") > 0, listed).alias("detail"))
     fall = (F.col("mean") < -degradation) & F.col("significantly_negative")
-    three = comparison.agg((F.coalesce(F.bool_or(fall), F.lit(False)) & F.coalesce(F.avg(F.col("b_mean") - F.col("a_mean")) > 0, F.lit(False))).alias("triggered"), (F.count("*") > 0).alias("evaluated")).select(F.lit("falls_while_pool_rises").alias("criterion"), "triggered", "evaluated")
-    rules = one.unionByName(two).unionByName(three)
-    return rules.unionByName(rules.agg(F.lit("rejected").alias("criterion"), F.bool_or("triggered").alias("triggered"), F.bool_and("evaluated").alias("evaluated")))
+    fallers = F.array_join(F.sort_array(F.collect_list(F.when(fall, F.col("dataset")))), ", ")
+    rise = F.avg(F.col("b_mean") - F.col("a_mean"))
+    three = comparison.agg((F.bool_or(fall) & (rise > 0)).alias("triggered"), (F.count("*") > 0).alias("evaluated"), F.concat(F.format_string("pooled %+.4f; falling: ", rise), fallers).alias("detail"))
+    rules = one.unionByName(line(two, "no_external_difference")).unionByName(line(three, "falls_while_pool_rises"))
+    return rules.unionByName(rules.agg(F.lit("rejected").alias("criterion"), F.bool_or("triggered").alias("triggered"), F.bool_and("evaluated").alias("evaluated"), F.lit(f"read at {interval}").alias("detail")))
+
+
+def notes(comparison: DataFrame, target: str, external: list[str], second: DataFrame | None = None, interval: str = "seed_t") -> DataFrame:
+    """note: what to know before reading a verdict: datasets without spread, rules that could not be evaluated, the interval read."""
+    spark = comparison.sparkSession
+    every = comparison.select("dataset", "degenerate")
+    every = every if second is None else every.unionByName(second.select("dataset", "degenerate"))
+    flat = every.where("degenerate" if interval == "seed_t" else "false").agg(F.array_join(F.sort_array(F.collect_set("dataset")), ", ").alias("d"))
+    out = flat.where("d <> ''").select(F.concat(F.lit("no spread between seeds, never significant: "), "d").alias("note"))
+    src = comparison.limit(0) if second is None else second
+    for df, text in ((src.where(F.col("dataset").isin(external)), "no_external_difference was not evaluated: no second comparison on external datasets"), (comparison.where(F.col("dataset") == target), f"no_target_gain was not evaluated: no comparison on {target}")):
+        out = out.unionByName(df.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(text).alias("note")))
+    return out.unionByName(spark.createDataFrame([(f"read at {interval}, two-sided, not adjusted for the number of datasets",)], "note string"))

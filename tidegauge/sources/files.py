@@ -20,15 +20,30 @@ def index(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> DataFr
     return x.select("path", "split", "stem", "ext", F.sha2("content", 256).alias("sha256"), "content")
 
 
+def path_parts(path: Column | str, root: str) -> dict[str, Column]:
+    """relative (to the root, with slashes), base, stem and ext (lower case, with its dot) of paths of either separator."""
+    c = F.replace(F.col(path) if isinstance(path, str) else path, F.lit("\\"), F.lit("/"))
+    top = root.replace("\\", "/").rstrip("/") + "/"
+    base = F.substring_index(c, "/", -1)
+    return {"relative": F.when(F.startswith(c, F.lit(top)), F.substr(c, F.lit(len(top) + 1))).otherwise(c), "base": base, "stem": F.regexp_replace(base, r"(?<=.)\.[^.]+$", ""), "ext": F.lower(F.regexp_extract(base, r".(\.[^.]+)$", 1))}
+
+
+def layout_files(spark: SparkSession, root: str) -> DataFrame:
+    """split, side, stem, ext, w, h (NULL) of the files two folders below a root or deeper: the input of layout.report()."""
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    at = F.split("path", "/")
+    return x.select(F.element_at(at, -3).alias("split"), F.element_at(at, -2).alias("side"), *[path_parts("path", root)[c].alias(c) for c in ("stem", "ext")], F.lit(None).cast("int").alias("w"), F.lit(None).cast("int").alias("h"))
+
+
 def duplicate_stems(files: DataFrame) -> DataFrame:
     return files.groupBy("split", "stem").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """path, split, stem, w, h, channels, pixel_sha256, positive (share of bytes above the middle, or above 0 where none is above 1)."""
+    """path, split, stem, w, h, mode (L, RGB or RGBA), pixel_sha256 (of the decoded bytes) and data (those bytes)."""
     x = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
     name = F.element_at(F.split("origin", "/"), -1)
-    return x.select(F.col("origin").alias("path"), F.element_at(F.split("origin", "/"), -2).alias("split"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("nChannels").alias("channels"), F.sha2("data", 256).alias("pixel_sha256"), "data")
+    return x.select(F.col("origin").alias("path"), F.element_at(F.split("origin", "/"), -2).alias("split"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), F.col("width").alias("w"), F.col("height").alias("h"), F.try_element_at(F.create_map(*[F.lit(x) for x in (1, "L", 3, "RGB", 4, "RGBA")]), F.col("nChannels")).alias("mode"), F.sha2("data", 256).alias("pixel_sha256"), "data")
 
 
 def mask_folder(files: DataFrame, names: tuple[str, ...] = ("masks", "gt", "gts")) -> DataFrame:
@@ -57,7 +72,7 @@ def write_manifest(items: DataFrame, path: str, root_name: str) -> None:
     fields = [c for c in items.columns if c != "split"]
     per = items.groupBy("split").agg(F.sort_array(F.collect_list(F.struct("stem", *[c for c in fields if c != "stem"]))).alias("items"), F.count("*").alias("n_pairs"))
     doc = per.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", F.struct("n_pairs", "items"))))).alias("splits"), F.sum("n_pairs").alias("total_pairs"))
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     doc.select(F.lit(schemas.MANIFEST_VERSION).alias("schema"), now.alias("created_utc"), F.lit(root_name).alias("root_name"), "splits", "total_pairs").coalesce(1).write.json(path)
 
 
@@ -108,10 +123,22 @@ def quantised(prob: str) -> Column:
     return F.transform(prob, lambda p: F.rint(p * 255).cast("short"))
 
 
-def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
-    """A table for people; at most `most` rows come to the driver."""
+def markdown(rows: DataFrame, title: str) -> str:
+    """A table for people, of a report whose rows fit on the driver; see write_markdown() for others."""
     names = rows.columns
     lines = [f"## {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
-    for r in rows.limit(most).collect():
+    for r in rows.toLocalIterator():
         lines.append("| " + " | ".join(f"{v:+.4f}" if isinstance(v, float) else str(v) for v in r) + " |")
     return "\n".join(lines) + "\n"
+
+
+def write_markdown(rows: DataFrame, path: str) -> None:
+    """The lines of such a table as text files, without a header."""
+    cells = [F.format_string("%+.4f", F.col(c)) if t in ("double", "float") else F.col(c).cast("string") for c, t in rows.dtypes]
+    rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("None")) for c in cells]), F.lit(" |")).alias("value")).write.text(path)
+
+
+def write_maps(rows: DataFrame, path: str, prob: str = "prob") -> None:
+    """split, stem and the map in 8 bits (a byte for each cell, in row order), as Parquet by split."""
+    cells = F.transform(quantised(prob), lambda v: F.lpad(F.hex(v.cast("long")), 2, "0"))
+    rows.select("split", "stem", F.unhex(F.array_join(cells, "")).alias("map")).write.partitionBy("split").parquet(path)

@@ -32,6 +32,8 @@ class TailSettings:
     momentum: float = 0.05
     shape_min: float = -1.5
     shape_max: float = 0.7
+    mode: str = "gpd"
+    cap: float | None = None
 
 
 def _gain(x: float, r: float) -> float:
@@ -44,24 +46,38 @@ def _slope(x: float, r: float) -> float:
     return r * r * (sum((k + 1) * z**k / math.factorial(k + 2) for k in range(7)) if abs(z) < 1e-2 else ((z - 1) * math.exp(z) + 1) / z**2)
 
 
-def pool_value(pool: np.ndarray, s: TailSettings) -> tuple[float, float, float | None]:
-    """shape, scale and the weighted value of sorted exceedances."""
+def pool_value(pool: np.ndarray, s: TailSettings) -> tuple[float | None, float | None, float | None]:
+    """shape, scale (by mode gpd only) and the weighted value of sorted exceedances."""
+    n = len(pool)
+    shape = scale = None
+    if s.mode == "ohem":
+        w = np.full(n, 1 / n)
+    elif s.mode == "cvar":
+        m = max(1, int(np.rint(n * (s.alpha / s.p))))
+        w = np.where(np.arange(n) >= n - m, 1 / m, 0.0)
+    elif s.mode == "gpd":
+        shape, scale, w = _fitted(pool, s)
+    else:
+        raise ValueError(f"no weights for mode {s.mode!r}")
+    return shape, scale, float((w * pool).sum() / w.sum()) if w.sum() > 0 else None
+
+
+def _fitted(pool: np.ndarray, s: TailSettings) -> tuple[float, float, np.ndarray]:
+    """What tail.fit() and tail.sensitivity() give, for the values of one pool: the state lives in a Python worker."""
     n = len(pool)
     t = (n - np.arange(1, n + 1)) / (n - 1) if n > 1 else np.zeros(n)
     a0, a1 = pool.mean(), (t * pool).mean()
     d = a0 - 2 * a1
     r = math.log(s.p / s.alpha)
     if d <= 1e-8 * max(a0, 1.0) or a0 <= 1e-8 or 2 * a0 * a1 / d <= 0:
-        shape, scale, w = 0.0, float(a0), np.full(n, r / n)
-    else:
-        raw, scale = 2 - a0 / d, float(2 * a0 * a1 / d)
-        shape = float(min(max(raw, s.shape_min), s.shape_max))
-        front = 2 / (n * d * d)
-        w = _gain(shape, r) * front * (a0 * a0 * t - 2 * a1 * a1)
-        if shape == raw:
-            w = w + scale * _slope(shape, r) * front * (a1 - a0 * t)
-    w = np.maximum(w, 0.0)
-    return shape, scale, float((w * pool).sum() / w.sum()) if w.sum() > 0 else None
+        return 0.0, float(a0), np.full(n, r / n)
+    raw, scale = 2 - a0 / d, float(2 * a0 * a1 / d)
+    shape = float(min(max(raw, s.shape_min), s.shape_max))
+    front = 2 / (n * d * d)
+    w = _gain(shape, r) * front * (a0 * a0 * t - 2 * a1 * a1)
+    if shape == raw:
+        w = w + scale * _slope(shape, r) * front * (a1 - a0 * t)
+    return shape, scale, np.maximum(w, 0.0)
 
 
 class TailProcessor(StatefulProcessor):
@@ -84,8 +100,10 @@ class TailProcessor(StatefulProcessor):
             row = [key[0], step, u, 0, 0, False, None, None, None, float(live.mean()), float(live.max()), lam]
             if u is not None:
                 e, old = live[live > u] - u, buffer[buffer > u] - u
+                if s.cap is not None:
+                    e, old = np.minimum(e, s.cap), np.minimum(old, s.cap)
                 row[3], row[4] = len(e), len(e) + len(old)
-                if row[4] >= s.min_exceedances and len(e):
+                if row[4] >= s.min_exceedances and len(e) and lam > 0:
                     row[6], row[7], row[8] = pool_value(np.sort(np.concatenate([e, old])), s)
                     row[5] = row[8] is not None
             out.append(row)
