@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.numeric import draw, t_quantile, t_two_sided_p
+from tidegauge.sources.shared import written
+
+from .order import numbered
 
 
 INTERVALS = ("seed_t", "image_bootstrap", "hierarchical")
@@ -68,8 +71,17 @@ def holm(df: DataFrame, p: str = "p", key: str = "dataset") -> DataFrame:
 def stem_differences(runs: DataFrame) -> DataFrame:
     """dataset, stem, k (0-based place by stem), n, d (mean over seeds of b - a)."""
     d = matched(runs).groupBy("dataset", "stem").agg((F.avg(F.when(F.col("arm") == "b", F.col("value"))) - F.avg(F.when(F.col("arm") == "a", F.col("value")))).alias("d"))
-    w = Window.partitionBy("dataset")
-    return d.withColumn("k", (F.row_number().over(w.orderBy("stem")) - 1).cast("long")).withColumn("n", F.count("*").over(w))
+    return numbered(d, "dataset", ["stem"]).select("dataset", "stem", (F.col("i") - 1).alias("k"), "n", "d")
+
+
+#: Cells (stems times seeds, of all datasets) that are packed in a row for each dataset and broadcast, so that a replicate is one
+#: row and its draws never travel; above, draws are rows that are joined with the cells. Both give the same numbers.
+PACKED = 1_000_000
+
+
+def _replicates(spark, n_boot: int, packs: DataFrame) -> DataFrame:
+    """rep and a dataset's packed cells, a row for each replicate and dataset."""
+    return spark.range(n_boot).withColumnRenamed("id", "rep").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).join(F.broadcast(packs))
 
 
 def _limits(reps: DataFrame, point: DataFrame, confidence: float) -> DataFrame:
@@ -82,10 +94,16 @@ def _limits(reps: DataFrame, point: DataFrame, confidence: float) -> DataFrame:
 def image_bootstrap(runs: DataFrame, n_boot: int = 10_000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """dataset, n, mean, lo, hi over resamples of stems.
 
-    Draws are counts first: a replicate's mean is the sum of differences times how often each place was drawn.
+    A replicate is one row over the packed differences of its dataset; above PACKED, draws are counted first: a replicate's mean is
+    the sum of differences times how often each place was drawn.
     """
-    d = stem_differences(runs)
+    d = written(stem_differences(runs), "differences")
     point = d.groupBy("dataset").agg(F.max("n").alias("n"), F.avg("d").alias("mean"))
+    if d.count() <= PACKED:
+        packs = d.groupBy("dataset").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]).alias("v"))
+        one = lambda j: F.get("v", draw("n", seed, F.col("dataset"), F.col("rep"), j).cast("int"))
+        r = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda s, j: s + one(j)) / F.col("n")
+        return _limits(_replicates(runs.sparkSession, n_boot, packs).select("dataset", r.alias("r")), point, confidence)
     draws = d.select("dataset", "n", F.col("k").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
     draws = draws.select("dataset", "rep", draw("n", seed, F.col("dataset"), F.col("rep"), F.col("j")).alias("k")).groupBy("dataset", "rep", "k").agg(F.count("*").alias("c"))
     reps = draws.join(d.select("dataset", "k", "n", "d"), ["dataset", "k"]).groupBy("dataset", "rep").agg((F.sum(F.col("c") * F.col("d")) / F.max("n")).alias("r"))
@@ -95,15 +113,25 @@ def image_bootstrap(runs: DataFrame, n_boot: int = 10_000, confidence: float = 0
 def hierarchical_bootstrap(runs: DataFrame, n_boot: int = 10_000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """dataset, n, mean, lo, hi over resamples of seeds and of stems, one draw of stems for all seeds drawn; the mean is that of the data.
 
-    The mean over the drawn seeds of a stem is a weighted sum over seeds, so a replicate is seeds' counts times stems' counts.
+    A replicate is one row over the packed cells of its dataset; above PACKED it is seeds' counts times stems' counts.
     """
-    d = stem_differences(runs)
+    d = written(stem_differences(runs), "differences")
     point = d.groupBy("dataset").agg(F.max("n").alias("n"), F.avg("d").alias("mean"))
     cell = matched(runs).groupBy("dataset", "stem", "seed").agg((F.sum(F.when(F.col("arm") == "b", F.col("value")).otherwise(-F.col("value")))).alias("v"))
     seeds = cell.select("dataset", "seed").distinct()
     w = Window.partitionBy("dataset")
     seeds = seeds.withColumn("s", (F.row_number().over(w.orderBy("seed")) - 1).cast("long")).withColumn("m", F.count("*").over(w))
-    cell = cell.join(d.select("dataset", "stem", "k", "n"), ["dataset", "stem"]).join(seeds, ["dataset", "seed"])
+    cell = written(cell.join(d.select("dataset", "stem", "k", "n"), ["dataset", "stem"]).join(seeds, ["dataset", "seed"]), "cells")
+    if cell.count() <= PACKED:
+        packs = cell.groupBy("dataset").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.transform(F.sort_array(F.collect_list(F.struct("k", "s", "v"))), lambda x: x["v"]).alias("v"))
+        places = lambda size: F.sequence(F.lit(0).cast("long"), F.col(size) - 1)
+        some = F.transform(places("m"), lambda j: draw("m", seed, "seed", F.col("dataset"), F.col("rep"), j))
+        x = _replicates(runs.sparkSession, n_boot, packs).withColumn("some", some)
+        at = lambda k, s: F.get("v", (k * F.col("m") + s).cast("int"))
+        row = lambda k: F.aggregate("some", F.lit(0.0), lambda t, s: t + at(k, s))
+        stem = lambda j: draw("n", seed, "stem", F.col("dataset"), F.col("rep"), j)
+        total = F.aggregate(F.transform(places("n"), stem), F.lit(0.0), lambda t, k: t + row(k))
+        return _limits(x.select("dataset", (total / (F.col("n") * F.col("m"))).alias("r")), point, confidence)
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
     ks = d.select("dataset", "n", F.col("k").alias("j"), reps).select("dataset", "rep", draw("n", seed, "stem", F.col("dataset"), F.col("rep"), F.col("j")).alias("k")).groupBy("dataset", "rep", "k").agg(F.count("*").alias("c"))
     ss = seeds.select("dataset", "m", F.col("s").alias("j"), reps).select("dataset", "rep", draw("m", seed, "seed", F.col("dataset"), F.col("rep"), F.col("j")).alias("s")).groupBy("dataset", "rep", "s").agg(F.count("*").alias("b"))
