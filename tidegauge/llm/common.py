@@ -1,15 +1,14 @@
-"""Helpers shared by the text operators: shared folder, written tables, word boundaries and hashes in Arrow batches."""
+"""Helpers shared by the text operators: joins on hot keys, samples, word boundaries and hashes in Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.sources.shared import shared_dir, written  # noqa: F401  the operators take them from here
+
 #: Bytes that separate words: space and \t \n \v \f \r.
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: The same as a regular expression for Java, DuckDB and Python.
@@ -18,29 +17,6 @@ SPACES_RE = r"[\x20\x09-\x0D]+"
 PIECE_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, below a folder of this machine if all executors run on it
-    (a local master, as in tests), otherwise an error."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
-    """The frame written as Parquet to the shared folder and read again: lineage ends here and every executor sees it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: A key is hot if it has more than 1 / HOT of the rows that are counted, so there are at most HOT hot keys.
 HOT = 10_000
 #: Rows of one key that any task can hold.
