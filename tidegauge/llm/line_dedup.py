@@ -72,7 +72,7 @@ def removals(docs: DataFrame, border: str = BORDER) -> DataFrame:
     hot, often = C.hot_keys(often, "h"), often.select("h")
     candidates = C.written(C.spread_join(light, often, "h", hot).join(twice, "_id", "left_anti").groupBy("_id").agg(F.collect_set("k").alias("ks")), "candidates")
     texts = multi(docs.join(candidates.select("_id").hint("shuffle_hash"), "_id", "left_semi")).withColumn("h", F.xxhash64("text"))
-    texts = C.written(C.spread_join(texts, often, "h", hot, "left_semi").select("_id", "k", "text", F.sha2("text", 256).alias("d")), "texts")
+    texts = C.written(C.spread_join(texts, often.hint("shuffle_hash"), "h", hot, "left_semi").select("_id", "k", "text", F.sha2("text", 256).alias("d")), "texts")
     # Grouping by the text itself compares bytes; a digest shared by different texts is not trusted.
     same = texts.groupBy("text", "d").agg(F.min(F.struct("_id", "k")).alias("first"), F.count("*").alias("n"))
     same = C.written(same.groupBy("d").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n")).where("texts = 1 AND n > 1").select("d", "first", "n"), "same")
@@ -123,7 +123,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     hot, often = C.hot_keys(often, "h"), often.select("h")
     candidates = C.written(C.spread_join(light, often, "h", hot).join(twice, "_id", "left_anti").select("_id").distinct(), "candidates")
     pairs = line_pairs(docs.join(candidates.hint("shuffle_hash"), "_id", "left_semi")).withColumn("h", F.xxhash64("text"))
-    pairs = C.written(C.spread_join(pairs, often, "h", hot, "left_semi").select("_id", "a", "b", F.unhex(F.sha2("text", 256)).alias("d")), "pairs")
+    pairs = C.written(C.spread_join(pairs, often.hint("shuffle_hash"), "h", hot, "left_semi").select("_id", "a", "b", F.unhex(F.sha2("text", 256)).alias("d")), "pairs")
     same = pairs.groupBy("d").agg(F.count("*").alias("n"), F.min(F.struct("_id", "a")).alias("first"))
     same = C.written(same.where("n > 1"), "same")
     found = C.spread_join(pairs, same.drop("n"), "d", C.hot_keys(same, "d")).select("_id", F.struct("a", "b").alias("p"), (F.col("first") == F.struct("_id", "a")).alias("is_first"))
