@@ -41,8 +41,8 @@ TREES, DEPTH, SEED = 30, 6, 11
 NAMES = ("token", "key", "secret", "password", "passwd", "pwd", "apikey", "credential", "auth", "bearer")
 #: A private key, a value given in quotes to one of NAMES, a dotted token, a run of characters of keys.
 CANDIDATE = re.compile(
-    r"(?P<block>-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----)"
-    + r"|(?i:[\w.-]*(?:" + "|".join(NAMES) + r")[\w.-]*)['\"]?[ \t]*[:=][ \t]*(?P<mark>['\"`])(?P<value>[^'\"`\n]{4,200})(?P=mark)"
+    r"(?P<block>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----.{0,8000}?-----END [A-Z ]{0,20}PRIVATE KEY-----)"
+    + r"|(?i:(?:" + "|".join(NAMES) + r")[\w.-]{0,40})['\"]?[ \t]{0,8}[:=][ \t]{0,8}(?P<mark>['\"`])(?P<value>[^'\"`\n]{4,200})(?P=mark)"
     + r"|(?P<dotted>[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,}){2,})"
     + r"|(?P<run>[A-Za-z0-9+/=_-]{16,})",
     re.DOTALL,
