@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, line_dedup, near_dedup, quality, secret_scan, substring, token_store, toxicity
+from . import bpe, chat, common, decontaminate, filter_audit, line_dedup, near_dedup, quality, secret_scan, substring, token_store, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 _OP9 = r"""
 WITH t AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
@@ -172,9 +176,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+_OP11 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY md5(text), text) AS first FROM t
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text),
+          regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > first, false)] AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM d GROUP BY part, fails
+), f AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS k
+), o AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), s AS (
+  SELECT c.*, o, f.k AS step, fails[o[f.k]] AS here, len(list_filter(o[1:f.k - 1], lambda y: fails[y])) > 0 AS early, len(list_filter(fails, lambda y: y)) AS many FROM c, o, f
+), r AS (
+  SELECT part, array_to_string(list_transform(o, lambda y: 'ABCDE'[y]), '') AS filter_order, step, 'ABCDE'[o[step]] AS filter,
+         coalesce(sum(n) FILTER (NOT here AND NOT early), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT early), 0) AS removed,
+         coalesce(sum(n) FILTER (here AND early), 0) AS redundant, coalesce(sum(n) FILTER (here AND many = 1), 0) AS unique_fails,
+         coalesce(sum(g) FILTER (here AND NOT early), 0) AS good_lost, coalesce(sum(x) FILTER (here AND NOT early), 0) AS toxic_lost
+  FROM s GROUP BY part, o, step
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2, "op4_chat_format": _OP4, "op5_substring_dedup": _OP5, "op9_line_dedup": _OP9}
+    return {"op2_quality_rules": _OP2, "op4_chat_format": _OP4, "op5_substring_dedup": _OP5, "op9_line_dedup": _OP9, "op11_filter_audit": _OP11}
