@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, filter_audit, line_dedup, near_dedup, negatives, quality, secret_scan, substring, token_store, toxicity
+from . import bpe, chat, common, decontaminate, filter_audit, line_dedup, near_dedup, negatives, quality, repeats, secret_scan, substring, token_store, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(_documents(spark, sf_dir))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -217,6 +221,29 @@ FROM r
 """
 
 
+_OP12 = r"""
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (
+  SELECT doc_id, p, substr(x, 2 * p + 1, 400) AS k FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS p FROM t)
+), r AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY md5(k), k) AS c FROM w) WHERE c > 1
+), i AS (
+  SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span
+  FROM (SELECT doc_id, p, (p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) + 200)::INT AS new FROM r)
+), g AS (
+  SELECT doc_id, span, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY doc_id, span
+), k AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM g
+), o AS (
+  SELECT k.doc_id, string_agg(substr(x, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(x), CAST(2 * max(b) + 1 AS BIGINT)) AS kept, count(*) AS spans, sum(b - a) AS gone
+  FROM k JOIN t ON k.doc_id = t.doc_id GROUP BY k.doc_id
+)
+SELECT t.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM t LEFT JOIN o ON t.doc_id = o.doc_id
+"""
+
+
 _OP13 = r"""
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
@@ -241,4 +268,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2, "op4_chat_format": _OP4, "op5_substring_dedup": _OP5, "op9_line_dedup": _OP9, "op11_filter_audit": _OP11, "op13_hard_negatives": _OP13}
+    return {"op2_quality_rules": _OP2, "op4_chat_format": _OP4, "op5_substring_dedup": _OP5, "op9_line_dedup": _OP9, "op11_filter_audit": _OP11, "op12_suffix_dedup": _OP12, "op13_hard_negatives": _OP13}
