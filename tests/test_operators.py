@@ -148,21 +148,6 @@ def test_bands_meet_fewer_than_all_pairs(spark):
     assert {(r.id_a, r.id_b) for r in duplicates.flagged(h, 8).collect()} == {(k, k + 1) for k in range(0, 60, 2)}
 
 
-def test_nearest_equals_brute_force(spark):
-    rng = np.random.default_rng(5)
-    rows = []
-    for i in range(90):
-        v = int(rng.integers(0, 2**63)) if i % 3 == 0 else rows[-1][2] ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 9), replace=False))
-        rows.append((i % 4, i, v))
-    h = spark.createDataFrame([(s, i, v & 0xFFFFFFFF, v >> 32) for s, i, v in rows], "split int, id int, p_lo long, p_hi long")
-    want = {}
-    for s, i, v in rows:
-        for t in range(4):
-            d = [(v ^ w).bit_count() for u, j, w in rows if u == t and j != i]
-            want[s, i, t] = min(d) if d else None
-    assert {(r.split_a, r.id_a, r.split_b): r.d for r in duplicates.nearest(h, "p", block=16).collect()} == want
-
-
 def test_hashes_of_a_larger_image_and_of_its_resized_copy(spark):
     rng = np.random.default_rng(7)
     image, other = (np.kron(255 * rng.random((6, 6)), np.ones((8, 10))) for _ in "ab")
@@ -256,3 +241,72 @@ def test_reconcile_resplit(spark):
     expected = spark.createDataFrame([("train", 100), ("gone", 5)], "split string, expected long")
     got = {r.split: r.status for r in manifest.reconcile(counts, expected, "train", "held").collect()}
     assert got == {"train": "re-split", "held": "held_out", "odd": "held_out", "gone": "missing"}
+
+
+def brute_percentile(a, b):
+    """The 95th percentile of the pooled surface distances by all pairs of surface cells."""
+    edge = lambda m: [(y, x) for y, x in np.argwhere(m) if any(0 <= i < m.shape[0] and 0 <= j < m.shape[1] and not m[i, j] for i, j in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)))]
+    if not a.any() or not b.any():
+        return 0.0 if not a.any() and not b.any() else math.hypot(*a.shape)
+    p, q = np.array(edge(a)).reshape(-1, 2), np.array(edge(b)).reshape(-1, 2)
+    if not len(p) or not len(q):
+        return None
+    d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(2))
+    return float(np.quantile(np.concatenate([d.min(1), d.min(0)]), 0.95))
+
+
+def test_hd95_equals_all_pairs_of_surface_cells(spark):
+    rng = np.random.default_rng(11)
+    for h, w in ((1, 1), (1, 9), (7, 1), (9, 12), (16, 5)):
+        maps = [rng.random((h, w)) < p for p in (0.0, 0.03, 0.1, 0.5, 0.9, 1.0) for _ in range(4)]
+        pairs = [(a, b) for a in maps[::2] for b in maps[1::2]]
+        flat = lambda m: [bool(v) for v in m.ravel()]
+        df = spark.createDataFrame([(k, flat(a), flat(b)) for k, (a, b) in enumerate(pairs)], "id int, pred array<boolean>, gt array<boolean>").repartition(3)
+        got = {r.id: r.hd95 for r in grid.hd95(df, h, w).collect()}
+        for k, (a, b) in enumerate(pairs):
+            want = brute_percentile(a, b)
+            assert got[k] == (want if want is None else pytest.approx(want, abs=1e-9)), (h, w, k)
+    odd = spark.createDataFrame([(0, None, [True]), (1, [True, False], [True]), (2, [False], [False])], "id int, pred array<boolean>, gt array<boolean>")
+    assert {r.id: r.hd95 for r in grid.hd95(odd, 1, 1).collect()} == {0: None, 1: None, 2: 0.0}
+
+
+def test_distances_of_a_full_size_map_take_linear_work():
+    y, x = np.mgrid[:352, :352]
+    a = ((y - 150) / 90) ** 2 + ((x - 170) / 60) ** 2 <= 1
+    noise = np.random.default_rng(2).random((352, 352)) < 0.3
+    for cells in (a, grid.surface(a[None])[0], noise, np.eye(352, dtype=bool), np.zeros((352, 352), bool), (y == 0) & (x == 351)):
+        steps = []
+        got = grid.squared_distances(cells[None], steps)[0]
+        assert steps[0] <= 6 * cells.size
+        for i, j in ((0, 0), (351, 351), (17, 300), (200, 200), (351, 0)):
+            p = np.argwhere(cells)
+            assert (got[i, j] == ((p - (i, j)) ** 2).sum(1).min()) if len(p) else got[i, j] >= 2**40
+    small = grid.squared_distances(noise[None, :32, :32])[0]
+    p = np.argwhere(noise[:32, :32])
+    assert all(small[i, j] == ((p - (i, j)) ** 2).sum(1).min() for i in range(32) for j in range(32))
+
+
+def test_hd95_of_full_size_maps(spark):
+    y, x = np.mgrid[:352, :352]
+    ball = lambda cy, cx, r: (y - cy) ** 2 + (x - cx) ** 2 <= r * r
+    pairs = [(ball(100, 100, 40), ball(110, 105, 44)), (ball(60, 300, 20) | ball(200, 50, 30), ball(60, 300, 25)), (ball(5, 5, 9), ball(340, 340, 9))]
+    flat = lambda m: [bool(v) for v in m.ravel()]
+    df = spark.createDataFrame([(k, flat(a), flat(b)) for k, (a, b) in enumerate(pairs)], "id int, pred array<boolean>, gt array<boolean>")
+    got = {r.id: r.hd95 for r in grid.hd95(df, 352, 352).collect()}
+    for k, (a, b) in enumerate(pairs):
+        assert got[k] == pytest.approx(brute_percentile(a, b), abs=1e-9)
+
+
+def test_boundary_weights_of_full_size_maps(spark):
+    y, x = np.mgrid[:352, :352]
+    gt = ((y - 100) ** 2 + (x - 30) ** 2 <= 60**2) | (y > 340)
+    for m, size in ((gt, 31), (gt[:9, :14], 5), (gt[:2, :3], 31)):
+        h, w = m.shape
+        df = spark.createDataFrame([(0, [bool(v) for v in m.ravel()]), (1, None), (2, [True])], "id int, gt array<boolean>")
+        got = {r.id: r.bw for r in grid.boundary_weights(df, h, w, size=size).collect()}
+        wide = np.pad(m.astype(float), size // 2)
+        box = np.lib.stride_tricks.sliding_window_view(wide, (size, size)).mean((2, 3))
+        assert np.allclose(np.array(got[0]).reshape(h, w), 1 + 5 * np.abs(box - m), atol=1e-12)
+        assert got[1] is None and got[2] is None
+    with pytest.raises(ValueError, match="odd"):
+        grid.boundary_weights(df, 2, 3, size=4)

@@ -8,12 +8,14 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.numeric import let
 from tidegauge.sources.shared import written
 
+from . import hamming
+
 HASHES = ("a", "d", "p")
 
 
@@ -123,23 +125,11 @@ def bands(most: int, agree: int = AGREE) -> tuple[list[tuple[int, int]], list[li
     return [(a, b - a) for a, b in zip(edges, edges[1:])], [list(c) for c in itertools.combinations(range(n), agree)]
 
 
-def _bits(h: str, first: int, size: int) -> Column:
-    """`size` bits of a hash from the bit `first` on."""
-    lo, hi = F.col(f"{h}_lo"), F.col(f"{h}_hi")
-    if first >= 32:
-        out = F.shiftrightunsigned(hi, first - 32)
-    else:
-        out = F.shiftrightunsigned(lo, first)
-        if first + size > 32:
-            out = out.bitwiseOR(F.shiftleft(hi, 32 - first))
-    return out.bitwiseAND((1 << size) - 1)
-
-
 def candidates(hashes: DataFrame, most: int, agree: int = AGREE) -> DataFrame:
     """id_l, id_r (row numbers within `hashes`, with id_l before id_r) of the rows that share a key in the first or the second
     hash, each pair once. Only row numbers travel with the keys; see bands()."""
     cut, chosen = bands(most, agree)
-    parts = hashes.select("_n", *[F.array(*[_bits(h, *band) for band in cut]).alias(h) for h in ("a", "d")])
+    parts = hashes.select("_n", *[F.array(*[hamming.bits_of(F.col(f"{h}_lo"), F.col(f"{h}_hi"), *band) for band in cut]).alias(h) for h in ("a", "d")])
 
     def keys(h: str) -> Column:
         return F.transform(F.array(*[F.lit(c) for c in chosen]), lambda c, k: F.xxhash64(F.lit(h), k, F.transform(c, lambda x: F.get(F.col(h), x))))
@@ -174,43 +164,9 @@ def flagged_all_pairs(hashes: DataFrame, most: int = 8) -> DataFrame:
     return _named(l.join(r, F.expr(_PAIR) & close))
 
 
-#: Bands of a hash in the search for nearest neighbours, and by how many bits each may differ in one round after the other.
-PARTS, ROUNDS = 4, (0, 2)
-
-
-def nearest(hashes: DataFrame, h: str, block: int = 1024) -> DataFrame:
-    """split_a, id_a, split_b, d: the least distance of each row to rows of each split, itself excluded.
-
-    Rows with equal hashes of one split are one node. Each round finds by hash joins all nodes of which one of PARTS bands differs
-    by up to k bits, which are all within PARTS * (k + 1) - 1 bits; nodes that have a neighbour so near are done. What is left
-    after the rounds, nodes far from all others, meets packed blocks of all nodes, which is exhaustive.
-    """
-    lo, hi = f"{h}_lo", f"{h}_hi"
-    own = ["split_a", "lo_a", "hi_a"]
-    nodes = written(hashes.groupBy("split", lo, hi).agg(F.count("*").alias("n")), "nodes")
-    size = 64 // PARTS
-    cut = F.array(*[F.struct(F.lit(k).alias("k"), _bits(h, k * size, size).alias("bits")) for k in range(PARTS)])
-    mine = nodes.select(F.col("split").alias("split_a"), F.col(lo).alias("lo_a"), F.col(hi).alias("hi_a"), "n", F.explode(cut).alias("band")).select(*own, "n", "band.k", "band.bits")
-    other = mine.select(*[F.col(c).alias(c[:-1] + "b") for c in own], "k", "bits")
-    splits = nodes.select(F.col("split").alias("split_b")).distinct()
-    todo = nodes.select(F.col("split").alias("split_a"), F.col(lo).alias("lo_a"), F.col(hi).alias("hi_a"), "n").join(F.broadcast(splits))  # a row for each split
-    done = None
-    for k in ROUNDS:
-        masks = [sum(1 << x for x in chosen) for r in range(k + 1) for chosen in itertools.combinations(range(size), r)]
-        some = mine if done is None else mine.join(todo.select(*own).distinct(), own, "left_semi")
-        keys = some.select(*own, "n", "k", F.explode(F.transform(F.lit(masks), lambda m: F.col("bits").bitwiseXOR(m.cast("long")))).alias("bits"))
-        found = keys.join(other, ["k", "bits"]).where("NOT (split_a = split_b AND lo_a = lo_b AND hi_a = hi_b AND n = 1)")
-        found = found.groupBy(*own, "split_b").agg(F.min(F.expr("bit_count(lo_a ^ lo_b) + bit_count(hi_a ^ hi_b)")).alias("d")).where(F.col("d") < PARTS * (k + 1))
-        found = found if done is None else found.join(done, [*own, "split_b"], "left_anti").unionByName(done)
-        done = written(found, "found")
-        todo = written(todo.join(done, [*own, "split_b"], "left_anti").select(*own, "n", "split_b"), "todo")
-    n = max(1, math.ceil(nodes.count() / block))
-    blocks = nodes.groupBy(F.col("split").alias("split_b"), F.pmod(F.xxhash64(lo, hi), F.lit(n)).alias("_part")).agg(F.collect_list(F.struct(F.col(lo).alias("lo_b"), F.col(hi).alias("hi_b"))).alias("rows"))
-    d = F.expr("array_min(transform(filter(rows, r -> NOT (split_a = split_b AND r.lo_b = lo_a AND r.hi_b = hi_a AND n = 1)), r -> bit_count(r.lo_b ^ lo_a) + bit_count(r.hi_b ^ hi_a)))")
-    rest = todo.join(blocks, "split_b").select("split_a", "lo_a", "hi_a", "split_b", d.alias("d")).groupBy("split_a", "lo_a", "hi_a", "split_b").agg(F.min("d").alias("d"))
-    rest = rest.unionByName(done)
-    rows = hashes.select(F.col("split").alias("split_a"), F.col("id").alias("id_a"), F.col(lo).alias("lo_a"), F.col(hi).alias("hi_a"))
-    return rows.join(rest, ["split_a", "lo_a", "hi_a"]).select("split_a", "id_a", "split_b", F.col("d").cast("int").alias("d"))
+def nearest(hashes: DataFrame, h: str) -> DataFrame:
+    """split_a, id_a, split_b, d: the least distance of each row to rows of each split, itself excluded; see hamming.py."""
+    return hamming.nearest(hashes, h)
 
 
 def nearest_summary(near: DataFrame) -> DataFrame:
@@ -220,11 +176,8 @@ def nearest_summary(near: DataFrame) -> DataFrame:
 
 
 def closest(hashes: DataFrame, k: int = 50) -> DataFrame:
-    """The k pairs of least summed distance of each two different splits; ties by ids."""
-    l, r = hashes.alias("l"), hashes.alias("r")
-    x = _named(l.join(r, F.expr("l.split < r.split"))).withColumn("d_sum", F.col("d_a") + F.col("d_d") + F.col("d_p"))
-    w = Window.partitionBy("split_a", "split_b").orderBy("d_sum", "id_a", "id_b")
-    return x.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    """The k pairs of least summed distance of each two different splits; ties by ids; see hamming.py."""
+    return hamming.closest(hashes, HASHES, k)
 
 
 def collision_matrix(pairs: DataFrame) -> DataFrame:

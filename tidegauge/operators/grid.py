@@ -1,13 +1,18 @@
-"""Scores of a predicted against a true grid, one row per record: grids are arrays in row order, so nothing is shuffled."""
+"""Scores of a predicted against a true grid, one row per record: grids are arrays in row order, so nothing is shuffled.
+
+Distance transforms and summed-area tables, whose steps depend on each other, are array operations on Arrow batches; all else are expressions.
+"""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.numeric import let, logit_loss, sigmoid
+from tidegauge.functions.numeric import logit_loss, sigmoid
 
 
 def binarise(values: Column) -> Column:
@@ -89,11 +94,89 @@ def threshold_sweep(df: DataFrame, prob: str = "prob") -> DataFrame:
     return df.withColumn("dice_sweep", last(d, "d")).withColumn("iou_sweep", last(i, "i")).drop("_lo", "_hi", "_s", "_np", "_a")
 
 
-def _surface(mask: str, h: int, w: int) -> Column:
-    """Array of positions of set cells with an unset neighbour (up, down, left, right) inside the grid."""
-    off = lambda p, cond, d: F.when(cond, ~F.get(mask, p + d)).otherwise(F.lit(False))
-    edge = lambda p: off(p, p >= w, -w) | off(p, p < (h - 1) * w, w) | off(p, p % w > 0, -1) | off(p, p % w < w - 1, 1)
-    return F.filter(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda p: F.get(mask, p) & edge(p))
+#: Cells of the maps that are worked on together in a task.
+CELLS = 1 << 21
+_FAR = 1 << 20  # farther than any two cells of a map
+
+
+def _maps(column: pa.Array, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The maps of h * w cells in a list column, and which rows have one; others are nulls or of another size."""
+    n = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    return column.filter(pa.array(n == h * w)).flatten().to_numpy(zero_copy_only=False).reshape(-1, h, w), n == h * w
+
+
+def surface(mask: np.ndarray) -> np.ndarray:
+    """Set cells with an unset neighbour (up, down, left, right) inside the map, of n maps."""
+    inner = mask.copy()
+    inner[:, 1:] &= mask[:, :-1]
+    inner[:, :-1] &= mask[:, 1:]
+    inner[:, :, 1:] &= mask[:, :, :-1]
+    inner[:, :, :-1] &= mask[:, :, 1:]
+    return mask & ~inner
+
+
+def squared_distances(cells: np.ndarray, steps: list[int] | None = None) -> np.ndarray:
+    """Squared Euclidean distance of each cell to the nearest set cell of its map, of n maps; exact, in whole numbers.
+
+    First along columns, by two scans. Then along rows: each cell is the foot of a parabola, and a scan keeps the lower envelope of those
+    so far as a stack of feet and of the places from which each is the lowest; a second scan reads it off. A foot is
+    pushed and popped once at most, so work is linear in cells; steps gets what was done, in cells.
+    """
+    n, h, w = cells.shape
+    g = np.where(cells, 0, _FAR).astype(np.int64)
+    for y in range(1, h):
+        np.minimum(g[:, y], g[:, y - 1] + 1, out=g[:, y])
+    for y in range(h - 2, -1, -1):
+        np.minimum(g[:, y], g[:, y + 1] + 1, out=g[:, y])
+    f = (np.minimum(g, _FAR) ** 2).reshape(n * h, w)
+    line = np.arange(n * h)
+    foot, start, top = np.zeros((n * h, w), np.int64), np.zeros((n * h, w), np.int64), np.zeros(n * h, np.int64)
+    worked = 2 * f.size
+    for u in range(1, w):
+        live = line
+        while len(live):
+            k = top[live]
+            x, s = start[live, k], foot[live, k]
+            worked += len(live)
+            live = live[(x - s) ** 2 + f[live, s] > (x - u) ** 2 + f[live, u]]
+            top[live] -= 1
+            live = live[top[live] >= 0]
+        none = top < 0
+        s = foot[line, np.maximum(top, 0)]
+        from_ = 1 + (u * u - s * s + f[:, u] - f[line, s]) // (2 * np.maximum(u - s, 1))
+        push = none | (from_ < w)
+        at = np.where(none, 0, top + 1)[push]
+        foot[line[push], at] = u
+        start[line[push], at] = np.where(none, 0, from_)[push]
+        top[push] = at
+    out = np.empty((n * h, w), np.int64)
+    for u in range(w - 1, -1, -1):
+        s = foot[line, top]
+        out[:, u] = (u - s) ** 2 + f[line, s]
+        top -= start[line, top] == u
+    if steps is not None:
+        steps.append(worked + out.size)
+    return out.reshape(n, h, w)
+
+
+def surface_percentiles(pred: np.ndarray, gt: np.ndarray, p: float) -> list[float]:
+    """The linear interpolated percentile of the distances between both surfaces, pooled, of n pairs of maps; 0 if both
+    maps are empty, the diagonal if one is."""
+    a, b = surface(pred), surface(gt)
+    to_b, to_a = squared_distances(b), squared_distances(a)
+    out = []
+    for k in range(len(pred)):
+        if not pred[k].any() or not gt[k].any():
+            out.append(math.hypot(*pred.shape[1:]) if pred[k].any() or gt[k].any() else 0.0)
+            continue
+        d = np.sort(np.concatenate([to_b[k][a[k]], to_a[k][b[k]]]))
+        if not len(d) or d[-1] >= _FAR:  # a map without a surface is full: no cell has an unset neighbour
+            out.append(None)
+            continue
+        at = (len(d) - 1) * p
+        lo, hi = math.sqrt(d[math.floor(at)]), math.sqrt(d[math.ceil(at)])
+        out.append(lo + (hi - lo) * (at - math.floor(at)))
+    return out
 
 
 def array_percentile(values: str, p: float) -> Column:
@@ -104,17 +187,20 @@ def array_percentile(values: str, p: float) -> Column:
 
 
 def hd95(df: DataFrame, h: int, w: int) -> DataFrame:
-    """hd95: 95th percentile of the pooled distances between both surfaces; 0 if both are empty, the diagonal if one is.
+    """hd95: 95th percentile of the pooled distances between both surfaces; 0 if both are empty, the diagonal if one is; NULL if a map is
+    null, of another size, or has no surface. Work per record is linear in its cells, see squared_distances()."""
 
-    Work per record is the product of the two surfaces.
-    """
-    df = df.withColumn("_a", _surface("pred", h, w)).withColumn("_b", _surface("gt", h, w))
-    dist = lambda p, q: F.hypot((F.floor(p / w) - F.floor(q / w)).cast("double"), (p % w - q % w).cast("double"))
-    near = lambda a, b: F.transform(a, lambda p: F.array_min(F.transform(b, lambda q: dist(p, q))))
-    df = df.withColumn("_d", F.sort_array(F.concat(near("_a", "_b"), near("_b", "_a"))))
-    none, no_gt = ~F.exists("pred", lambda x: x), ~F.exists("gt", lambda x: x)
-    v = F.when(none & no_gt, 0.0).when(none | no_gt, math.hypot(h, w)).otherwise(array_percentile("_d", 0.95))
-    return df.withColumn("hd95", v).drop("_a", "_b", "_d")
+    @F.arrow_udf("double")
+    def distance(pred: pa.Array, gt: pa.Array) -> pa.Array:
+        step, out = max(1, CELLS // (h * w)), []
+        for k in range(0, len(pred), step):
+            p, g = pred.slice(k, step), gt.slice(k, step)
+            ok = pa.array(_maps(p, h, w)[1] & _maps(g, h, w)[1])
+            found = iter(surface_percentiles(_maps(p.filter(ok), h, w)[0], _maps(g.filter(ok), h, w)[0], 0.95))
+            out += [next(found) if x else None for x in ok.to_pylist()]
+        return pa.array(out, pa.float64())
+
+    return df.withColumn("hd95", distance("pred", "gt"))
 
 
 def soft_dice_deficit(df: DataFrame, logits: str = "logits", smooth: float = 1.0) -> DataFrame:
@@ -127,26 +213,38 @@ def soft_dice_deficit(df: DataFrame, logits: str = "logits", smooth: float = 1.0
     return df.withColumn("deficit", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).drop("_p")
 
 
-def boundary_weights(df: DataFrame, h: int, w: int, size: int = 31, gain: float = 5.0) -> DataFrame:
-    """bw: 1 + gain * |mean of the size x size box around - gt|, cells outside counting as 0 in the mean.
-
-    Prefix sums along rows, then along columns, make a box four reads.
-    """
+def box_means(cells: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the size x size boxes around each cell of n maps over size * size, cells outside counting as 0. A summed-area table makes a
+    box four reads, whatever its size."""
+    n, h, w = cells.shape
+    table = np.zeros((n, h + 1, w + 1))
+    np.cumsum(np.cumsum(cells, axis=1), axis=2, out=table[:, 1:, 1:])
     half = size // 2
-    df = df.withColumn("_g", F.transform("gt", lambda g: g.cast("double")))
+    ends = lambda k: (np.maximum(np.arange(k) - half, 0), np.minimum(np.arange(k) + half + 1, k))
+    (top, bottom), (left, right) = ends(h), ends(w)
+    box = lambda y, x: table[:, y[:, None], x]
+    return (box(bottom, right) - box(top, right) - box(bottom, left) + box(top, left)) / (size * size)
 
-    def rows(p: Column) -> Column:
-        lo, hi = F.greatest(p % w - half, F.lit(0)), F.least(p % w + half, F.lit(w - 1))
-        return F.aggregate(F.slice("_g", p - p % w + lo + 1, hi - lo + 1), F.lit(0.0), lambda s, x: s + x)
 
-    def columns(r: Column, p: Column) -> Column:
-        y = F.floor(p / w)
-        lo, hi = F.greatest(y - half, F.lit(0)), F.least(y + half, F.lit(h - 1))
-        return F.aggregate(F.sequence(lo, hi), F.lit(0.0), lambda s, j: s + F.get(r, (j * w + p % w).cast("int")))
-
-    cells = F.sequence(F.lit(0), F.lit(h * w - 1))
-    box = let(F.transform(cells, rows), lambda r: F.transform(cells, lambda p: columns(r, p)))
-    return df.withColumn("bw", F.zip_with(box, "_g", lambda b, g: 1.0 + gain * F.abs(b / (size * size) - g))).drop("_g")
+def boundary_weights(df: DataFrame, h: int, w: int, size: int = 31, gain: float = 5.0) -> DataFrame:
+    """bw: 1 + gain * |mean of the size x size box around - gt|, cells outside counting as 0 in the mean; NULL if gt is null or of
+    another size. The sides of a box are odd."""
+    if size % 2 == 0:
+        raise ValueError(f"the side of a box is odd, not {size}")
+
+    @F.arrow_udf("array<double>")
+    def weights(gt: pa.Array) -> pa.Array:
+        step, out = max(1, CELLS // (h * w)), []
+        for k in range(0, len(gt), step):
+            cells, ok = _maps(gt.slice(k, step), h, w)
+            cells = cells.astype(np.float64)
+            found = 1.0 + gain * np.abs(box_means(cells, size) - cells)
+            offsets = np.r_[0, np.cumsum(np.where(ok, h * w, 0))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1)), mask=pa.array(~ok))
+            out.append(lists)
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float64()))
+
+    return df.withColumn("bw", weights("gt"))
 
 
 def structure_score(df: DataFrame, h: int, w: int, logits: str = "logits", variant: str = "plain", eps: float = 1.0) -> DataFrame:
