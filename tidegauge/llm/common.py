@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -133,14 +135,47 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _SPACE) ->
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, the same wherever the word stands."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power("up", len(data)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power("down", len(data))[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
+#: Words above so many bytes are hashed one by one.
+LANES = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word, the same wherever the word stands; another one for each seed.
+
+    Bytes are taken by eight, and each eight are mixed by a bijection, so words of one length of up to eight bytes never share a
+    hash; words above LANES bytes are hashed by BLAKE2.
+    """
+    n = ends - starts
+    h = mix(n.astype(np.uint64) * np.uint64(_BASE) + np.uint64(seed))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    live = np.flatnonzero(n <= LANES)
+    for k in range(0, LANES, 8):
+        live = live[n[live] > k]
+        if not len(live):
+            break
+        over = np.maximum(k + 8 - n[live], 0).astype(np.uint64) * np.uint64(8)
+        h[live] = mix(h[live] ^ (eight[starts[live] + k] << over)) + np.uint64(_BASE)
+    for k in np.flatnonzero(n > LANES).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, person=b"%d" % seed).digest(), "little")
+    return h
+
+
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words one after the other, each followed by a space, and where each starts in that: n+1 places."""
+    n = ends - starts
+    places = np.concatenate([[0], np.cumsum(n + 1)])
+    out = np.full(places[-1], 0x20, np.uint8)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(places[:-1], n) + inside] = data[np.repeat(starts, n) + inside]
+    return out.tobytes(), places
+
+
+def digests(words: bytes, places: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2, as two arrays, of the words from first to before last, joined by one space."""
+    out = [hashlib.blake2b(words[a : max(a, b - 1)], digest_size=16).digest() for a, b in zip(places[first].tolist(), places[last].tolist())]
+    both = np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def spans(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ never travel. The size of a block does not depend on the corpus; a larger benchm
 
 Defined results: null texts count as empty and match nothing; a passage shorter than SPAN words is filled up to a seed of all
 its words and is found where it stands word by word; repeated rows give a result each; rows without an id are read and
-reported under a null id; only the named columns are read; with an empty benchmark nothing matches.
+reported under a null id; ids of passages may have any type that can be sorted; only the named columns are read; with an empty benchmark nothing matches.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from . import common as C
 
@@ -36,11 +38,16 @@ BLOCK_WORDS = 1_000_000
 _TABLE = C.separators(bytes(b for b in range(128) if not chr(b).isalnum()))
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a piece and the n+1 first indices of its texts."""
-    data, offsets = C.raw(pc.utf8_lower(texts))
-    starts, ends, first = C.words(data, offsets, _TABLE)
-    return C.word_hashes(data, starts, ends), first
+class Tokens:
+    """Word hashes w of a piece, the n+1 first indices of its texts, and a second hash of any range of words."""
+
+    def __init__(self, texts: pa.Array):
+        self.data, offsets = C.raw(pc.utf8_lower(texts))
+        self.starts, self.ends, self.first = C.words(self.data, offsets, _TABLE)
+        self.w = C.word_hashes(self.data, self.starts, self.ends, 0)
+
+    def second(self, a: int, b: int) -> np.ndarray:
+        return C.word_hashes(self.data, self.starts[a:b], self.ends[a:b], 1)
 
 
 def seeds(w: np.ndarray, mask: str, number: int) -> np.ndarray:
@@ -59,8 +66,8 @@ class Block:
 
     def __init__(self, items: list, texts: list[str | None]):
         self.items = items
-        w, first = tokens(pa.array(texts, pa.large_string()).fill_null(""))
-        self.words = [w[a:b] for a, b in zip(first[:-1], first[1:])]
+        t = Tokens(pa.array(texts, pa.large_string()).fill_null(""))
+        self.words, self.second = ([x[a:b] for a, b in zip(t.first[:-1], t.first[1:])] for x in (t.w, t.second(0, len(t.w))))
         hashes, item, at = [], [], []
         for i, x in enumerate(self.words):
             for k, mask in enumerate(MASKS):
@@ -115,38 +122,43 @@ class Block:
             out.setdefault(item, []).append(d)
         return out
 
-    def matched(self, w: np.ndarray, item: int, start: int) -> int:
-        """Equal words of the passage laid at `start`, or 0 if they are too few anywhere."""
+    def matched(self, w: np.ndarray, item: int, start: int, v: np.ndarray | None = None) -> int:
+        """Equal words of the passage laid at `start`, by their hashes w and second hashes v, or 0 if they are too few anywhere."""
         x = self.words[item]
         lo, hi = max(0, -start), min(len(x), len(w) - start)
         same = x[lo:hi] == w[start + lo : start + hi]
+        if v is not None:
+            same &= self.second[item][lo:hi] == v[start + lo : start + hi]
         size = min(WINDOW, len(x))
         need = MATCHES if len(x) >= WINDOW else len(x) - len(x) // 7
         sums = np.cumsum(np.concatenate([[0], same]))
         best = (sums[size:] - sums[:-size]).max() if len(same) >= size else sums[-1]
         return int(sums[-1]) if best >= need else 0
 
-    def overlaps(self, w: np.ndarray) -> dict[int, int]:
-        """For each passage that overlaps the words enough: the most words matched along one diagonal."""
+    def overlaps(self, w: np.ndarray, v: np.ndarray | None = None) -> dict[int, int]:
+        """For each passage that overlaps the words (hashes w, second hashes v) enough: the most words matched along one diagonal."""
         out: dict[int, int] = {}
         for item, starts in self.hits(w).items():
-            if n := max(self.matched(w, item, start) for start in starts):
+            if n := max(self.matched(w, item, start, v) for start in starts):
                 out[item] = n
         for size, table in self.short.items():
-            for h in np.unique(C.grams(w, size)).tolist() if len(w) >= size else ():
-                for item in table.get(h, ()):
-                    out[item] = max(out.get(item, 0), size)
+            both = zip(*[C.grams(x, size).tolist() for x in (w, w if v is None else v)]) if len(w) >= size else ()
+            for h, g in {x for x in both if x[0] in table}:
+                for item in table[h]:
+                    if g in C.grams((self.words if v is None else self.second)[item], size):
+                        out[item] = max(out.get(item, 0), size)
         return out
 
 
-def _block_matches(docs: DataFrame, shared, item_type: str) -> DataFrame:
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
+def _block_matches(docs: DataFrame, shared, item_type: DataType) -> DataFrame:
+    arrow = to_arrow_type(item_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
             for ids, texts in C.pieces(batch.column(0), batch.column(1)):
-                w, first = tokens(texts)
+                t = Tokens(texts)
+                w, first = t.w, t.first
                 # All texts of the piece at once; only texts with a hit (across borders too) are looked at one by one.
                 maybe: set[int] = set()
                 for k, mask in enumerate(MASKS):
@@ -159,19 +171,19 @@ def _block_matches(docs: DataFrame, shared, item_type: str) -> DataFrame:
                 for size, table in block.short.items():
                     pos = np.flatnonzero(np.isin(C.grams(w, size), np.array(list(table), np.uint64)))
                     maybe.update((np.searchsorted(first, pos, side="right") - 1).tolist())
-                rows = [(d, i, n) for d in sorted(maybe) for i, n in sorted(block.overlaps(w[first[d] : first[d + 1]]).items())]
+                rows = [(d, i, n) for d in sorted(maybe) for i, n in sorted(block.overlaps(w[first[d] : first[d + 1]], t.second(first[d], first[d + 1])).items())]
                 if rows:
                     d, i, n = zip(*rows)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array([block.items[x] for x in i], arrow), pa.array(n, pa.int64())], ["id", "item_id", "n_matched"])
 
-    return docs.mapInArrow(run, f"id {docs.dtypes[0][1]}, item_id {item_type}, n_matched long")
+    return docs.mapInArrow(run, f"id {docs.dtypes[0][1]}, item_id {item_type.simpleString()}, n_matched long")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """id, item_id, n_matched (long): a row for each document and passage that overlap enough."""
     d = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     b = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[item_text].cast("string").alias("text"))
-    item_type = b.dtypes[0][1]
+    item_type = b.schema["item_id"].dataType
     words = b.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] // 5
     n_blocks = 1 + int(words) // block_words
     out = None

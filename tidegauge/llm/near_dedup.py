@@ -7,7 +7,7 @@ of equal registers estimates the probability Jaccard similarity of two documents
 occurs in a document, so this is the set Jaccard similarity that links are judged on: BANDS bands of equal registers give
 candidates, and each link is verified on the documents' whole shingle sets.
 
-Texts with the same words are one node, so copies never meet in a bucket. In each bucket all nodes are first compared with
+Texts with the same words (by 128 bits of BLAKE2) are one node, so copies never meet in a bucket. In each bucket all nodes are first compared with
 the bucket's head; components of verified links follow. In buckets that still hold several components, all pairs of nodes of
 different components are looked at: what both share with the head bounds what they share, sketches of BITS registers estimate
 it, and the pairs that both allow are verified too. So each candidate pair is verified, or refuted by sizes, bound or sketch,
@@ -42,13 +42,13 @@ _INF = np.inf
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a piece: (text index, shingle hash) of the distinct shingles, sorted by both, and two hashes of each text's word sequence."""
+    """For a piece: (text index, shingle hash) of the distinct shingles, sorted by both, and 128 bits of BLAKE2 of each text's words."""
     data, offsets = C.raw(texts)
     starts, ends, first = C.words(data, offsets)
     w = C.word_hashes(data, starts, ends)
     doc, _, at = C.spans(first, WIDTH)
     h = C.grams(w, WIDTH)[at] if len(at) else np.zeros(0, np.uint64)
-    key = C.per_text(w, first)
+    key, more = C.digests(*C.spaced(data, starts, ends), first[:-1], first[1:])
     n = np.diff(first)
     short = np.flatnonzero((n > 0) & (n < WIDTH))
     doc, h = np.concatenate([doc, short]), np.concatenate([h, key[short]])
@@ -57,7 +57,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
     at = np.flatnonzero(new)
-    return doc[at], h[at], key, C.per_text(C.mix(w + np.uint64(12345)), first)
+    return doc[at], h[at], key, more
 
 
 def registers(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, size: int = SIZE) -> np.ndarray:
@@ -82,7 +82,7 @@ def registers(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, size:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, k1, k2 (hashes of the word sequence), n (distinct shingles), bands (a hash for each band; none without words)."""
+    """id, k1, k2 (the digest of the words), n (distinct shingles), bands (a hash for each band; none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,6 @@
 """Secrets in text: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a block of a private key, a value in quotes that is assigned to a name such as password (any 4 to 200 characters), a
+A candidate is a block of a private key, a value in quotes that is assigned to a name such as password (4 characters or more), a
 dotted token of three or more parts, or a run of 16 or more characters of the alphabets of keys (letters, digits, `+ / = _ -`) with a
 letter or digit. The forest sees its length, entropy, shares of character classes and of transitions between them, how much of it
 words of a dictionary cover, what the path says, and how usual the words next to it are. It is trained from labelled findings, at
@@ -39,14 +39,15 @@ DICTIONARY = 5_000
 TREES, DEPTH, SEED = 30, 6, 11
 #: Names of values that must stay secret.
 NAMES = ("token", "key", "secret", "password", "passwd", "pwd", "apikey", "credential", "auth", "bearer")
-#: A private key, a value given in quotes to one of NAMES, a dotted token, a run of characters of keys.
-CANDIDATE = re.compile(
-    r"(?P<block>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----.{0,8000}?-----END [A-Z ]{0,20}PRIVATE KEY-----)"
-    + r"|(?i:(?:" + "|".join(NAMES) + r")[\w.-]{0,40})['\"]?[ \t]{0,8}[:=][ \t]{0,8}(?P<mark>['\"`])(?P<value>[^'\"`\n]{4,200})(?P=mark)"
-    + r"|(?P<dotted>[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,}){2,})"
-    + r"|(?P<run>[A-Za-z0-9+/=_-]{16,})",
-    re.DOTALL,
+_BEGIN, _END = r"(?P<begin>-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----)", re.compile(r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----")
+#: A value given in quotes to a name that holds one of NAMES, a dotted token, a run of characters of keys. No part is looked at
+#: from more than one start, so time is linear in the text.
+_OTHERS = (
+    r"(?i:(?<![\w.-])(?=[\w.-]*?(?:" + "|".join(NAMES) + r"))[\w.-]++)['\"]?[ \t]*+[:=][ \t]*+(?P<mark>['\"`])(?P<value>[^'\"`\n]{4,}+)(?P=mark)"
+    + r"|(?P<dotted>[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+){2,})"
+    + r"|(?P<run>[A-Za-z0-9+/=_-]{16,}+)"
 )
+CANDIDATE, WITHOUT_BLOCKS = re.compile(_BEGIN + "|" + _OTHERS), re.compile(_OTHERS)
 FEATURES = (
     "length", "entropy", "digits", "upper", "lower", "marks", "transitions", "hexadecimal", "letters_only",
     "dictionary", "slashes", "dots", "code_path", "path_in_dictionary", "neighbours_in_dictionary", "neighbour_length",
@@ -60,11 +61,20 @@ def _kind(c: str) -> int:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of the candidates of a text, from left to right, without overlaps."""
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span(m.lastgroup if m.lastgroup != "mark" else "value")
-        if any(c.isalnum() for c in text[start:end]):
-            yield start, end
+    """Start and end of the candidates of a text, from left to right, without overlaps. A key block reaches from its first mark to the next end
+    mark, however far; a first mark without one is text like other text."""
+    pattern, at = CANDIDATE, 0
+    while m := pattern.search(text, at):
+        if m.lastgroup == "begin":
+            if (end := _END.search(text, m.end())) is None:
+                pattern, at = WITHOUT_BLOCKS, m.start()
+                continue
+            span = m.start(), end.end()
+        else:
+            span = m.span(m.lastgroup if m.lastgroup != "mark" else "value")
+        at = max(m.end(), span[1])
+        if any(c.isalnum() for c in text[span[0] : span[1]]):
+            yield span
 
 
 def features(text: str, start: int, end: int, path: str, words: frozenset[str]) -> list[float]:

@@ -7,8 +7,9 @@ once at a level are marked; on the next level, of (about) twice the length, only
 candidates, and so on, until the last level or until a level has no repeated window.
 
 A level is one aggregation by hash, combined before its shuffle: a group of one window carries its own place, which is all
-that the next level has to know. So a sequence that occurs a million times costs a row per task, and no join is by hash. Hashes
-have 64 bits, on the last level, which decides, 128.
+that the next level has to know. So a sequence that occurs a million times costs a row per task, and no join is by hash. On the
+levels before the last equal hashes only make candidates; on the last, which decides, words are compared by 128 bits of BLAKE2.
+Texts travel to their marks once for each level after the first and once at the end.
 
 Defined results: a null text has no words; texts shorter than a window keep all words; rows that repeat an id with the same
 text repeat each other's windows, and all get the same result; a null id is an id like others; other columns are not
@@ -115,7 +116,8 @@ def _windows(rows: DataFrame, level: int, sizes: list[int]) -> DataFrame:
                     continue
                 doc = np.searchsorted(p.first, at, side="right") - 1
                 take = pa.array(doc + lo)
-                hashes = [C.grams(w, sizes[level])[at] for w in ((p.w, C.mix(p.w + np.uint64(1))) if level == len(sizes) - 1 else (p.w,))]
+                last = level == len(sizes) - 1
+                hashes = C.digests(*C.spaced(p.data, p.starts, p.ends), at, at + sizes[level]) if last else (C.grams(p.w, sizes[level])[at],)
                 for a in range(0, len(at), 1 << 16):
                     s = slice(a, a + (1 << 16))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(take[s]), batch.column(1).take(take[s]), pa.array((at[s] - p.first[doc[s]]).astype(np.int32)), *[pa.array(h[s].view(np.int64)) for h in hashes]], ["id", "tag", "pos", "h", "g"][: 3 + len(hashes)])
