@@ -77,7 +77,8 @@ def test_bootstraps_equal_brute_force_over_10000_replicates(spark, monkeypatch):
         v = np.array([[cells[d, "b", s, f"x{k}"] - cells[d, "a", s, f"x{k}"] for k in range(5)] for s in range(3)])
         for out, reps in ((image, [v.mean(0)[draws(5, d, r)].mean() for r in range(10_000)]), (nested, [v[np.ix_(draws(3, "seed", d, r), draws(5, "stem", d, r))].mean() for r in range(10_000)])):
             out[d] = (5, *(pytest.approx(x, abs=2e-6) for x in (v.mean(), *np.quantile(reps, (0.025, 0.975)))))
-    for packed in (paired.PACKED, 0):
-        monkeypatch.setattr(paired, "PACKED", packed)
+    for stems, draws, reps in ((paired.STEMS, paired.DRAWS, paired.REPS), (2, 3, 700)):  # one block, and several
+        for constant, value in (("STEMS", stems), ("DRAWS", draws), ("REPS", reps)):
+            monkeypatch.setattr(paired, constant, value)
         for name, want in (("image_bootstrap", image), ("hierarchical_bootstrap", nested)):
             assert {r.dataset: (r.n, r["mean"], r.lo, r.hi) for r in catalog.queries()[name](spark, SF).collect()} == want

@@ -1,6 +1,7 @@
 """Is a tree of images and masks laid out as expected? A table of findings, of counts, and of what explains a wrong count.
 
-Files are rows (split, side, stem, ext, w, h), side being the folder below the split; sizes may be NULL. Nothing is written.
+Files are rows (split, side, stem, ext, w, h), side being the folder below the split; sizes may be NULL, and are -1 for files that
+can't be read. Nothing is written.
 Severities: error (pairs can't be trusted), warn (may be legitimate), note.
 """
 
@@ -64,7 +65,8 @@ def pairs(files: DataFrame) -> DataFrame:
         F.count_if(F.col("role") == "image").alias("images"), F.count_if(F.col("role") == "mask").alias("masks"),
         size("image", "w").alias("wi"), size("image", "h").alias("hi"), size("mask", "w").alias("wm"), size("mask", "h").alias("hm"),
     )
-    return g.withColumn("same_size", (F.col("wi") == F.col("wm")) & (F.col("hi") == F.col("hm"))).drop("wi", "hi", "wm", "hm")
+    known = (F.col("wi") >= 0) & (F.col("wm") >= 0)
+    return g.withColumn("same_size", F.when(known, (F.col("wi") == F.col("wm")) & (F.col("hi") == F.col("hm")))).drop("wi", "hi", "wm", "hm")
 
 
 def counts(files: DataFrame, expected: Expected) -> DataFrame:
@@ -89,7 +91,7 @@ def report(files: DataFrame, expected: Expected) -> DataFrame:
     """severity, split, kind, n, examples: what is wrong, suspicious or worth a note; no error means that pairs can be used.
 
     error: missing_split, renamed (examples has the folder to rename), missing_side, ambiguous_masks, duplicate_stem, no_mask,
-    no_image, size. warn: extension, count, partition, unknown_split. note: mask_folder, re_split.
+    no_image, unreadable, size. warn: extension, count, partition, unknown_split. note: mask_folder, re_split.
     """
     spark = files.sparkSession
     p = pairs(files)
@@ -100,6 +102,7 @@ def report(files: DataFrame, expected: Expected) -> DataFrame:
         _finding(p.where("images > 1 OR masks > 1"), "error", "duplicate_stem"),
         _finding(p.where("images > 0 AND masks = 0"), "error", "no_mask"),
         _finding(p.where("images = 0 AND masks > 0"), "error", "no_image"),
+        _finding(role.where("w < 0"), "error", "unreadable"),
         _finding(p.where(f"{both} AND NOT same_size"), "error", "size"),
         _finding(role.where(~accepted(F.col("side"), F.col("ext"), training)).select("split", F.concat("stem", "ext").alias("stem")), "warn", "extension"),
     ]

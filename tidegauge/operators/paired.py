@@ -5,10 +5,15 @@ Runs are rows (arm, seed, dataset, stem, value); arms are called a and b, differ
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.numeric import draw, t_quantile, t_two_sided_p
+from tidegauge.functions.numeric import t_quantile, t_two_sided_p
 from tidegauge.sources.shared import written
 
 from .order import numbered
@@ -74,14 +79,68 @@ def stem_differences(runs: DataFrame) -> DataFrame:
     return numbered(d, "dataset", ["stem"]).select("dataset", "stem", (F.col("i") - 1).alias("k"), "n", "d")
 
 
-#: Cells (stems times seeds, of all datasets) that are packed in a row for each dataset and broadcast, so that a replicate is one
-#: row and its draws never travel; above, draws are rows that are joined with the cells. Both give the same numbers.
-PACKED = 1_000_000
+#: Stems of a block, and draws and replicates that a task makes together.
+STEMS, DRAWS, REPS = 1024, 4096, 256
+
+
+def _draws(sizes: DataFrame, n_boot: int, key: tuple) -> DataFrame:
+    """dataset, block, reps and places: of the draws of each dataset (dataset, n) those that fall in a block of STEMS places, packed. A task makes
+    the draws of some replicates; see numeric.draw() for what they are."""
+    up = lambda to, step: F.explode(F.sequence(F.lit(0).cast("long"), to, F.lit(step).cast("long")))
+    work = sizes.select("dataset", F.col("dataset").cast("string").alias("name"), "n").withColumn("j", up(F.col("n") - 1, DRAWS)).withColumn("r", up(F.lit(n_boot - 1).cast("long"), REPS))
+    stems, draws, reps = STEMS, DRAWS, REPS
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, (name, n, j, r) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("name", "n", "j", "r")])):
+                js, rs = [b"%d" % x for x in range(j, min(j + draws, n))], range(r, min(r + reps, n_boot))
+                ks = np.empty((len(rs), len(js)), np.int64)
+                for i, rep in enumerate(rs):
+                    before = "|".join(map(str, (*key, name, rep, ""))).encode()
+                    ks[i] = np.frombuffer(b"".join([hashlib.md5(before + x).digest()[:4] for x in js]), ">u4")
+                k, rep = (ks % n).reshape(-1), np.repeat(np.arange(rs.start, rs.stop, dtype=np.int32), len(js))
+                order = np.argsort(k // stems, kind="stable")
+                blocks, first = np.unique(k[order] // stems, return_index=True)
+                offsets = pa.array(np.append(first, len(k)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order].astype(np.int32))) for x in (rep, k % stems)]
+                yield pa.RecordBatch.from_arrays([batch.column("dataset").take(pa.array([at] * len(blocks))), pa.array(blocks), *lists], ["dataset", "block", "reps", "places"])
 
-def _replicates(spark, n_boot: int, packs: DataFrame) -> DataFrame:
-    """rep and a dataset's packed cells, a row for each replicate and dataset."""
-    return spark.range(n_boot).withColumnRenamed("id", "rep").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).join(F.broadcast(packs))
+    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = sizes.schema["dataset"].dataType.simpleString()
+    return work.repartition(tasks, "dataset", "j", "r").mapInArrow(run, f"dataset {kind}, block long, reps array<int>, places array<int>")
+
+
+def _replicates(cells: DataFrame, n_boot: int, key: tuple, seed_key: tuple | None = None) -> DataFrame:
+    """dataset, r: the mean of each replicate of cells (dataset, k, s, n, m, v): k of n stems, s of m seeds.
+
+    A product of matrices: how often each stem was drawn in each replicate, times the values, times how often each seed was drawn. A block of
+    stems meets its draws, about n_boot * STEMS of them however many stems there are, and gives a sum for each replicate; only those are
+    added up over blocks. Without a seed_key there is one seed.
+    """
+    sizes = cells.groupBy("dataset").agg(F.max("n").alias("n"))
+    values = cells.select("dataset", F.floor(F.col("k") / STEMS).cast("long").alias("block"), (F.col("k") % STEMS).cast("int").alias("k"), F.col("s").cast("int").alias("s"), F.col("m").cast("int").alias("m"), "n", "v", F.col("dataset").cast("string").alias("name"))
+    kind = cells.schema["dataset"].dataType.simpleString()
+
+    def run(drawn: pa.Table, block: pa.Table) -> pa.Table:
+        if not drawn.num_rows or not block.num_rows:
+            return pa.table([drawn["dataset"].slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], ["dataset", "rep", "r"])
+        n, m, name = block["n"][0].as_py(), block["m"][0].as_py(), block["name"][0].as_py()
+        v = np.zeros((STEMS, m))
+        v[block["k"].to_numpy(), block["s"].to_numpy()] = block["v"].to_numpy()
+        rep, place = (drawn[c].combine_chunks().flatten().to_numpy() for c in ("reps", "places"))
+        total = np.zeros(n_boot)
+        times = np.ones((n_boot, m), np.int64)
+        if seed_key is not None:
+            for r in range(n_boot):
+                before = "|".join(map(str, (*seed_key, name, r, ""))).encode()
+                times[r] = np.bincount([int.from_bytes(hashlib.md5(before + b"%d" % j).digest()[:4], "big") % m for j in range(m)], minlength=m)
+        for s in range(m):
+            total += times[:, s] * np.bincount(rep, weights=v[place, s], minlength=n_boot)
+        return pa.table([block["dataset"].take(pa.array([0] * n_boot)), pa.array(np.arange(n_boot)), pa.array(total / (n * m))], ["dataset", "rep", "r"])
+
+    draws = _draws(sizes, n_boot, key)
+    both = draws.groupBy("dataset", "block").cogroup(values.groupBy("dataset", "block"))
+    return both.applyInArrow(run, f"dataset {kind}, rep long, r double").groupBy("dataset", "rep").agg(F.sum("r").alias("r"))
 
 
 def _limits(reps: DataFrame, point: DataFrame, confidence: float) -> DataFrame:
@@ -92,61 +151,34 @@ def _limits(reps: DataFrame, point: DataFrame, confidence: float) -> DataFrame:
 
 
 def image_bootstrap(runs: DataFrame, n_boot: int = 10_000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """dataset, n, mean, lo, hi over resamples of stems.
-
-    A replicate is one row over the packed differences of its dataset; above PACKED, draws are counted first: a replicate's mean is
-    the sum of differences times how often each place was drawn.
-    """
+    """dataset, n, mean, lo, hi over resamples of stems."""
     d = written(stem_differences(runs), "differences")
     point = d.groupBy("dataset").agg(F.max("n").alias("n"), F.avg("d").alias("mean"))
-    if d.count() <= PACKED:
-        packs = d.groupBy("dataset").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]).alias("v"))
-        one = lambda j: F.get("v", draw("n", seed, F.col("dataset"), F.col("rep"), j).cast("int"))
-        r = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda s, j: s + one(j)) / F.col("n")
-        return _limits(_replicates(runs.sparkSession, n_boot, packs).select("dataset", r.alias("r")), point, confidence)
-    draws = d.select("dataset", "n", F.col("k").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    draws = draws.select("dataset", "rep", draw("n", seed, F.col("dataset"), F.col("rep"), F.col("j")).alias("k")).groupBy("dataset", "rep", "k").agg(F.count("*").alias("c"))
-    reps = draws.join(d.select("dataset", "k", "n", "d"), ["dataset", "k"]).groupBy("dataset", "rep").agg((F.sum(F.col("c") * F.col("d")) / F.max("n")).alias("r"))
-    return _limits(reps, point, confidence)
+    cells = d.select("dataset", "k", F.lit(0).alias("s"), "n", F.lit(1).alias("m"), F.col("d").alias("v"))
+    return _limits(_replicates(cells, n_boot, (seed,)), point, confidence)
 
 
 def hierarchical_bootstrap(runs: DataFrame, n_boot: int = 10_000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """dataset, n, mean, lo, hi over resamples of seeds and of stems, one draw of stems for all seeds drawn; the mean is that of the data.
-
-    A replicate is one row over the packed cells of its dataset; above PACKED it is seeds' counts times stems' counts.
-    """
+    """dataset, n, mean, lo, hi over resamples of seeds and of stems, one draw of stems for all seeds drawn; the mean is that of the data."""
     d = written(stem_differences(runs), "differences")
     point = d.groupBy("dataset").agg(F.max("n").alias("n"), F.avg("d").alias("mean"))
     cell = matched(runs).groupBy("dataset", "stem", "seed").agg((F.sum(F.when(F.col("arm") == "b", F.col("value")).otherwise(-F.col("value")))).alias("v"))
-    seeds = cell.select("dataset", "seed").distinct()
+    seeds = cell.select("dataset", "seed").distinct()  # a row for each run
     w = Window.partitionBy("dataset")
     seeds = seeds.withColumn("s", (F.row_number().over(w.orderBy("seed")) - 1).cast("long")).withColumn("m", F.count("*").over(w))
-    cell = written(cell.join(d.select("dataset", "stem", "k", "n"), ["dataset", "stem"]).join(seeds, ["dataset", "seed"]), "cells")
-    if cell.count() <= PACKED:
-        packs = cell.groupBy("dataset").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.transform(F.sort_array(F.collect_list(F.struct("k", "s", "v"))), lambda x: x["v"]).alias("v"))
-        places = lambda size: F.sequence(F.lit(0).cast("long"), F.col(size) - 1)
-        some = F.transform(places("m"), lambda j: draw("m", seed, "seed", F.col("dataset"), F.col("rep"), j))
-        x = _replicates(runs.sparkSession, n_boot, packs).withColumn("some", some)
-        at = lambda k, s: F.get("v", (k * F.col("m") + s).cast("int"))
-        row = lambda k: F.aggregate("some", F.lit(0.0), lambda t, s: t + at(k, s))
-        stem = lambda j: draw("n", seed, "stem", F.col("dataset"), F.col("rep"), j)
-        total = F.aggregate(F.transform(places("n"), stem), F.lit(0.0), lambda t, k: t + row(k))
-        return _limits(x.select("dataset", (total / (F.col("n") * F.col("m"))).alias("r")), point, confidence)
-    reps = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
-    ks = d.select("dataset", "n", F.col("k").alias("j"), reps).select("dataset", "rep", draw("n", seed, "stem", F.col("dataset"), F.col("rep"), F.col("j")).alias("k")).groupBy("dataset", "rep", "k").agg(F.count("*").alias("c"))
-    ss = seeds.select("dataset", "m", F.col("s").alias("j"), reps).select("dataset", "rep", draw("m", seed, "seed", F.col("dataset"), F.col("rep"), F.col("j")).alias("s")).groupBy("dataset", "rep", "s").agg(F.count("*").alias("b"))
-    x = ks.join(cell.select("dataset", "k", "s", "n", "m", "v"), ["dataset", "k"]).join(ss, ["dataset", "rep", "s"])
-    r = x.groupBy("dataset", "rep").agg((F.sum(F.col("c") * F.col("b") * F.col("v")) / (F.max("n") * F.max("m"))).alias("r"))
-    return _limits(r, point, confidence)
+    cells = written(cell.join(d.select("dataset", "stem", "k", "n"), ["dataset", "stem"]).join(seeds, ["dataset", "seed"]), "cells")
+    return _limits(_replicates(cells, n_boot, (seed, "stem"), (seed, "seed")), point, confidence)
 
 
 def compare(runs: DataFrame, confidence: float = 0.95, n_boot: int | None = None, seed: int = 0, metric: str | None = None) -> DataFrame:
     """t_intervals with adjusted p-values and what the intervals say; degenerate ones are never significant.
 
-    With n_boot also image_bootstrap_lo, _hi, hierarchical_lo and _hi. metric: of runs with a column metric, which one to compare.
+    With n_boot also image_bootstrap_lo, _hi, hierarchical_lo and _hi. metric: of runs with a column metric, which one to compare. Arms of
+    different seeds, or without a stem in common, are errors; see validate().
     """
     if metric is not None:
         runs = runs.where(F.col("metric") == metric).drop("metric")
+    validate(runs)
     t = holm(t_intervals(seed_means(runs), confidence))
     if n_boot:
         for name, f in (("image_bootstrap", image_bootstrap), ("hierarchical", hierarchical_bootstrap)):

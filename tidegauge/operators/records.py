@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegauge.sources.shared import written
+
 from .order import numbered
 
 
@@ -87,20 +89,49 @@ def standardised(values: Column | str, mean: list[float], std: list[float]) -> C
     return F.transform(values, lambda x, k: (x / 255.0 - F.get(m, k % n)) / F.get(s, k % n))
 
 
-def epoch_flush(calls: DataFrame, warmup_epochs: int = 1, least_active: float = 0.5, most_clamped: float = 0.2, lam: float = 0.3) -> DataFrame:
-    """epoch, n, active, u, shape, shape_raw, scale, level, clamped, degenerate: means of the calls (epoch, active, ...) of each epoch,
-    over calls that have the value; effective_lam = lam * active; rarely_active and often_clamped: whether to warn."""
+def _means() -> list[Column]:
     over = [F.avg(c).alias(c) for c in ("u", "shape", "shape_raw", "scale", "level")] + [F.avg(F.col(c).cast("double")).alias(c) for c in ("clamped", "degenerate")]
-    g = calls.groupBy("epoch").agg(F.count("*").alias("n"), F.avg(F.col("active").cast("double")).alias("active"), *over)
+    return [F.count("*").alias("n"), F.avg(F.col("active").cast("double")).alias("active"), *over]
+
+
+def _warned(g: DataFrame, warmup_epochs: int, least_active: float, most_clamped: float, lam: float) -> DataFrame:
     late = F.col("epoch") > max(1, warmup_epochs)
     return g.withColumns({"effective_lam": F.col("active") * lam, "rarely_active": late & (F.col("active") < least_active), "often_clamped": F.coalesce(F.col("clamped") > most_clamped, F.lit(False))})
 
 
+def epoch_flush(calls: DataFrame, warmup_epochs: int = 1, least_active: float = 0.5, most_clamped: float = 0.2, lam: float = 0.3) -> DataFrame:
+    """epoch, n, active, u, shape, shape_raw, scale, level, clamped, degenerate: means of the calls (epoch, active, ...) of each epoch,
+    over calls that have the value; effective_lam = lam * active; rarely_active and often_clamped: whether to warn."""
+    return _warned(calls.groupBy("epoch").agg(*_means()), warmup_epochs, least_active, most_clamped, lam)
+
+
+def epoch_flush_stream(calls: DataFrame, seconds: int, lateness: str, warmup_epochs: int = 1, least_active: float = 0.5, most_clamped: float = 0.2, lam: float = 0.3) -> DataFrame:
+    """epoch_flush() of a stream of calls (ts, active, ...), an epoch being `seconds` of event time, numbered from 1970 (see epoch_of()). An epoch is
+    flushed once, when the watermark, `lateness` behind the latest call, has passed its end; later calls of it are left out."""
+    g = calls.withWatermark("ts", lateness).groupBy(F.window("ts", f"{seconds} seconds").alias("w")).agg(*_means())
+    return _warned(g.withColumn("epoch", epoch_of("w.start", seconds)).drop("w"), warmup_epochs, least_active, most_clamped, lam)
+
+
+def epoch_of(ts: str, seconds: int) -> Column:
+    """The number of the epoch of so many seconds that a time falls in."""
+    return F.floor(F.unix_seconds(F.col(ts)) / seconds).cast("long")
+
+
 def best_so_far(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    """selected: whether a row's value is above all values before it in its group, so the first of equal ones wins; NULLs never are.
-    The rows of a group are those of one run."""
-    before = F.max(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("selected", F.coalesce(F.col(value) > F.coalesce(before, F.lit(float("-inf"))), F.lit(False)))
+    """selected: whether a row's value is above all values before it in its group, so the first of equal ones wins; NULLs never are. The order must be total.
+
+    Rows are dealt by ranges of (group, order), so a run of any length spans many tasks; what a task has to know of those before it is their
+    largest value, one row for each task and group.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = written(df.repartitionByRange(tasks, by, *order).select("*", F.spark_partition_id().alias("_task")), "ranges")
+    per = x.groupBy(F.col(by).alias("_by"), F.col("_task").alias("_of")).agg(F.max(value).alias("_most"))
+    ahead = Window.partitionBy("_by").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_by", "_of", F.max("_most").over(ahead).alias("_ahead"))
+    x = x.join(per, x[by].eqNullSafe(per["_by"]) & (x["_task"] == per["_of"]))
+    own = F.max(value).over(Window.partitionBy(by, "_task").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.greatest(own, F.col("_ahead"))
+    return x.withColumn("selected", F.coalesce(F.col(value) > F.coalesce(before, F.lit(float("-inf"))), F.lit(False))).select(*df.columns, "selected")
 
 
 def rescored(stored: DataFrame, again: DataFrame, keys: list[str], value: str = "value", tolerance: float = 1e-6) -> DataFrame:

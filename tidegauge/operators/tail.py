@@ -33,14 +33,19 @@ def moments(df: DataFrame, by: str, e: str = "e") -> DataFrame:
     """n, a0 = mean(e), a1 = mean(t * e): probability weighted moments for groups of two or more.
 
     Values are first reduced to their counts. For the j-th distinct value v with c copies and b smaller values, the sum of t
-    over its copies is c * (n - b - (c + 1) / 2) / (n - 1); so ties are summed without ranking rows, and only distinct values
-    are sorted.
+    over its copies is c * (n - b - (c + 1) / 2) / (n - 1); so ties are summed without ranking rows. Distinct values are dealt by ranges of
+    (group, value), so a group spans many tasks: a task sums with the b that it knows of itself, and what lies below it is corrected
+    afterwards from three sums for each task and group.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(by, F.col(e).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by)
-    x = counts.withColumn("b", F.coalesce(F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("c").over(w))
-    share = F.col("c") * (F.col("n") - F.col("b") - (F.col("c") + 1) / 2.0) / F.when(F.col("n") > 1, F.col("n") - 1)
-    out = x.groupBy(by).agg(F.max("n").alias("n"), (F.sum(F.col("c") * F.col("v")) / F.max("n")).alias("a0"), (F.sum(share * F.col("v")) / F.max("n")).alias("a1"))
+    x = counts.repartitionByRange(tasks, by, "v").withColumn("_task", F.spark_partition_id())
+    below = F.coalesce(F.sum("c").over(Window.partitionBy(by, "_task").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("b", below + (F.col("c") + 1) / 2.0).groupBy(by, "_task").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("v")).alias("s"), F.sum(F.col("c") * F.col("v") * F.col("b")).alias("p"))
+    w = Window.partitionBy(by)  # a row for each task
+    ahead = F.coalesce(F.sum("k").over(w.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("n", F.sum("k").over(w)).withColumn("q", (F.col("n") - ahead) * F.col("s") - F.col("p"))
+    out = x.groupBy(by).agg(F.max("n").alias("n"), (F.sum("s") / F.max("n")).alias("a0"), (F.sum("q") / F.max(F.when(F.col("n") > 1, F.col("n") - 1)) / F.max("n")).alias("a1"))
     return out.where("n >= 2")
 
 

@@ -104,6 +104,16 @@ def append_metrics(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def append_once(path: str):
+    """A function for foreachBatch that appends JSON lines so that a batch that is replayed adds nothing: each batch has a folder of its own,
+    named by its id, which is written anew."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").json(f"{path.rstrip('/')}/batch_id={batch}")
+
+    return write
+
+
 def write_deficits(rows: DataFrame, path: str) -> None:
     """CSV: epoch, dataset_index, stem, deficit with six places, by epoch and index."""
     rows.select("epoch", "dataset_index", "stem", F.format_string("%.6f", "deficit").alias("deficit")).orderBy("epoch", "dataset_index").write.csv(path, header=True)
