@@ -13,8 +13,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import bpe, common, decontaminate, line_dedup, near_dedup, toxicity
+from tidegauge.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
 from tidegauge.llm.queries import toxicity_chain
+from tidegauge.sources import shared
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; what a stage itself writes is deleted once its result is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        path = f"{shared.shared_dir(spark)}/{name}"
+        with shared.scope(spark):
+            docs = shared.written_to(stage(spark, docs, sf_dir), path)
     return STAGES[-1][1](spark, docs, sf_dir)
