@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tidegauge.operators import paired
-from tidegauge.plans import catalog, extras
+from tidegauge.plans import catalog, extras, streams
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -26,7 +26,7 @@ def duck():
     return c
 
 
-QUERIES, STATEMENTS = catalog.queries() | extras.queries(), catalog.oracle_sql() | extras.oracle_sql()
+QUERIES, STATEMENTS = catalog.queries() | extras.queries() | streams.queries(), catalog.oracle_sql() | extras.oracle_sql() | streams.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(set(STATEMENTS) - {"image_bootstrap", "hierarchical_bootstrap"}))  # those against brute force below
