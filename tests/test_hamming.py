@@ -125,6 +125,26 @@ def test_closest_looks_at_few_pairs(spark, monkeypatch):
     assert work[1] == 0 and work[0] < 0.1 * (n // 2) ** 2
 
 
+def test_keys_have_as_many_bits_as_there_are_hashes():
+    for n in (1, 100, 10_000, 10**6, 10**8):
+        agree = duplicates.agreeing(n, 8)
+        assert 64 * agree / (8 + agree) >= min(np.log2(n), 27) and (agree == 1 or 64 * (agree - 1) / (7 + agree) < np.log2(n))
+
+
+@pytest.mark.parametrize("few", [4, 512])
+@pytest.mark.parametrize("agree", [None, 1, 3])
+def test_flagged_pairs_of_keys_that_many_share(spark, monkeypatch, few, agree):
+    monkeypatch.setattr(duplicates, "FEW", few)
+    monkeypatch.setattr(hamming, "PART", 16)
+    rng = np.random.default_rng(12)
+    rows = three(rng, 60, 2, 5)
+    tone = [int(x) for x in rng.integers(0, 2**63, 3)]  # many images of one tone: close to each other in some bits
+    rows += [(k % 2, 100 + k, [v ^ sum(1 << int(b) for b in rng.choice(20, rng.integers(0, 7), replace=False)) for v in tone]) for k in range(60)]
+    h = spark.createDataFrame([(s, i, *[x for v in hs for x in halves(v)]) for s, i, hs in rows], "split int, id int, " + ", ".join(f"{n}_{p} long" for n in NAMES for p in ("lo", "hi")))
+    a, b = (sorted(map(tuple, df.collect())) for df in (duplicates.flagged(h, 8, agree), duplicates.flagged_all_pairs(h, 8)))
+    assert a == b and len(a) > 500
+
+
 def test_audit_uses_the_searches(spark):
     assert duplicates.HASHES == NAMES
     h = spark.createDataFrame([], "split int, id int, " + ", ".join(f"{n}_{p} long" for n in NAMES for p in ("lo", "hi")))

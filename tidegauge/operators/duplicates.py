@@ -8,6 +8,8 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,38 +127,85 @@ def bands(most: int, agree: int = AGREE) -> tuple[list[tuple[int, int]], list[li
     return [(a, b - a) for a, b in zip(edges, edges[1:])], [list(c) for c in itertools.combinations(range(n), agree)]
 
 
-def candidates(hashes: DataFrame, most: int, agree: int = AGREE) -> DataFrame:
-    """id_l, id_r (row numbers within `hashes`, with id_l before id_r) of the rows that share a key in the first or the second
-    hash, each pair once. Only row numbers travel with the keys; see bands()."""
+#: Rows that may share a key before they are compared as arrays, and choices of bands at most.
+FEW, MOST_AGREE = 512, 6
+
+
+def agreeing(n: int, most: int) -> int:
+    """How many bands have to agree for a key to have about log2(n) bits, so that it has about one of n hashes."""
+    agree = 1
+    while agree < MOST_AGREE and 64 * agree / (most + agree) < math.log2(max(n, 2)):
+        agree += 1
+    return agree
+
+
+def keyed(hashes: DataFrame, most: int, agree: int) -> DataFrame:
+    """_n, key: the keys of the first and the second hash, see bands(). Only row numbers travel with the keys."""
     cut, chosen = bands(most, agree)
     parts = hashes.select("_n", *[F.array(*[hamming.bits_of(F.col(f"{h}_lo"), F.col(f"{h}_hi"), *band) for band in cut]).alias(h) for h in ("a", "d")])
 
     def keys(h: str) -> Column:
         return F.transform(F.array(*[F.lit(c) for c in chosen]), lambda c, k: F.xxhash64(F.lit(h), k, F.transform(c, lambda x: F.get(F.col(h), x))))
 
-    keyed = parts.select("_n", F.explode(F.concat(keys("a"), keys("d"))).alias("key"))
-    l, r = keyed.select(F.col("_n").alias("id_l"), "key"), keyed.select(F.col("_n").alias("id_r"), "key")
+    return parts.select("_n", F.explode(F.concat(keys("a"), keys("d"))).alias("key"))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    l, r = rows.select(F.col("_n").alias("id_l"), "key"), rows.select(F.col("_n").alias("id_r"), "key")
     return l.join(r, "key").where("id_l < id_r").select("id_l", "id_r").distinct()
 
 
-def flagged(hashes: DataFrame, most: int = 8, agree: int = AGREE) -> DataFrame:
+def candidates(hashes: DataFrame, most: int, agree: int = AGREE) -> DataFrame:
+    """id_l, id_r (row numbers within `hashes`, with id_l before id_r) of the rows that share a key in the first or the second
+    hash, each pair once."""
+    return _met(keyed(hashes, most, agree))
+
+
+def flagged(hashes: DataFrame, most: int = 8, agree: int | None = None) -> DataFrame:
     """Pairs of which at least two of three distances are at most `most`, found exactly by bands.
 
-    Of such a pair the first or the second hash is close, and of most + agree bands of a close hash `agree` are equal. Rows with
-    equal hashes are one node, so copies meet no one: they are paired where pairs are returned.
+    Of such a pair the first or the second hash is close, and of most + agree bands of a close hash `agree` are equal; by default as many as
+    make a key log2(n) bits long. Rows with equal hashes are one node, so copies meet no one: they are paired where pairs are returned. A key
+    that more than FEW nodes share (images of one tone) makes no pairs: its nodes are compared as arrays, in blocks, and only close ones are returned.
     """
     columns = [f"{h}_{part}" for h in HASHES for part in ("lo", "hi")]
     nodes = written(hashes.select(*columns).distinct().withColumn("_n", F.monotonically_increasing_id()), "nodes")
     rows = hashes.join(nodes, columns).select("split", "id", *columns, "_n")
-    near = candidates(nodes, most, agree)
+    if agree is None:
+        agree = agreeing(nodes.count(), most)
+    keys = written(keyed(nodes, most, agree), "keys")
+    many = written(keys.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > FEW).select("key"), "many")
     a, b = nodes.alias("l"), nodes.alias("r")
     close = sum(((distance(h) <= most).cast("int") for h in HASHES[1:]), (distance("a") <= most).cast("int")) >= 2
+    near = _met(keys.join(many, "key", "left_anti"))
     links = near.join(a, F.col("id_l") == F.col("l._n")).join(b, F.col("id_r") == F.col("r._n")).where(close).select("id_l", "id_r")
+    if not many.isEmpty():
+        links = links.unionByName(_close_within(keys.join(many, "key"), nodes, most)).distinct()
     both = links.union(links.select("id_r", "id_l")).union(nodes.select(F.col("_n"), F.col("_n")))
     l, r = rows.alias("l"), rows.alias("r")
     return _named(l.join(both, F.col("l._n") == F.col("id_l")).join(r, (F.col("id_r") == F.col("r._n")) & F.expr(_PAIR)))
 
 
+def _close_within(keys: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """id_l, id_r of the close nodes of each key, compared in blocks."""
+    rows = keys.join(nodes, "_n").withColumn("h", F.xxhash64("_n"))
+
+    def find(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = []
+        if x.num_rows and y.num_rows:
+            i, j = x["_n"].to_numpy(), y["_n"].to_numpy()
+            p, q = [hamming.words(x, h) for h in HASHES], [hamming.words(y, h) for h in HASHES]
+            step = max(1, hamming.WORDS // len(j))
+            for k in range(0, len(i), step):
+                near = sum((np.bitwise_count(u[k : k + step, None] ^ v) <= most).astype(np.int8) for u, v in zip(p, q)) >= 2
+                r, c = np.nonzero(near & (i[k : k + step, None] < j))
+                out.append((i[r + k], j[c]))
+        l, r = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        return pa.table([pa.array(l), pa.array(r)], ["id_l", "id_r"])
+
+    return hamming.grid(rows, rows, "key", find, "id_l long, id_r long")
+
+
 def flagged_all_pairs(hashes: DataFrame, most: int = 8) -> DataFrame:
     """The same by comparing all pairs: the definition, for small audits."""
     l, r = hashes.alias("l"), hashes.alias("r")

@@ -80,11 +80,11 @@ def _banded(layout: Column, layouts: dict[int, list[tuple[int, int]]], words: li
     return out
 
 
-def _grid(left: DataFrame, right: DataFrame, key: str, find, schema: str) -> DataFrame:
+def grid(left: DataFrame, right: DataFrame, key: str, find, schema: str) -> DataFrame:
     """find(left rows, right rows) for each block of both sides that share the key. Both sides come with a column `h` that deals
     their rows."""
-    parts = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / PART).cast("int").alias(name))  # noqa: E731  a row for each key
-    sizes = F.broadcast(parts(left, "_pl").join(parts(right, "_pr"), key))
+    parts = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
+    sizes = parts(left, "_pl").join(parts(right, "_pr"), key)
     own = lambda n: F.pmod(F.col("h"), F.col(n).cast("long")).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     l = left.join(sizes, key).withColumn("_l", own("_pl")).withColumn("_r", all_of("_pr")).drop("_pl", "_pr", "h")
@@ -93,7 +93,7 @@ def _grid(left: DataFrame, right: DataFrame, key: str, find, schema: str) -> Dat
     return l.groupBy(key, "_l", "_r").cogroup(r.groupBy(key, "_l", "_r")).applyInArrow(find, schema)
 
 
-def _word(t: pa.Table, name: str) -> np.ndarray:
+def words(t: pa.Table, name: str) -> np.ndarray:
     """64-bit hashes from columns <name>_lo and <name>_hi."""
     return t[f"{name}_lo"].to_numpy().astype(np.uint64) | (t[f"{name}_hi"].to_numpy().astype(np.uint64) << np.uint64(32))
 
@@ -138,7 +138,7 @@ def nearest(hashes: DataFrame, h: str, work: list[int] | None = None) -> DataFra
         done = best.join(todo.select(*own), own, "left_anti")
 
     def find(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, y = _word(a, "h"), _word(b, "h")
+        x, y = words(a, "h"), words(b, "h")
         alone = a["alone"].to_numpy() if len(x) else np.zeros(0, bool)
         d = np.full(len(x), 255, np.uint8)
         step = max(1, WORDS // max(1, len(y)))
@@ -152,7 +152,7 @@ def nearest(hashes: DataFrame, h: str, work: list[int] | None = None) -> DataFra
     left = todo.select(*own, ((F.col("split_a") == F.col("split_b")) & (F.col("n") == 1)).alias("alone"), F.xxhash64("split_a", "h_lo", "h_hi").alias("h"))
     right = nodes.select(F.col("split").alias("split_b"), "h_lo", "h_hi", F.xxhash64("h_lo", "h_hi").alias("h"))
     kind = nodes.schema["split"].dataType.simpleString()
-    rest = _grid(left, right, "split_b", find, f"split_a {kind}, h_lo long, h_hi long, split_b {kind}, d int").groupBy(*own).agg(F.min("d").alias("d"))
+    rest = grid(left, right, "split_b", find, f"split_a {kind}, h_lo long, h_hi long, split_b {kind}, d int").groupBy(*own).agg(F.min("d").alias("d"))
     if work is not None:
         work += [compared, todo.agg(F.sum("k").alias("c")).first()["c"] or 0]
     rest = rest if done is None else rest.unionByName(done)
@@ -190,8 +190,8 @@ def closest(hashes: DataFrame, names: tuple[str, ...], k: int, work: list[int] |
         return x.select("split_a", "split_b", "ids_a", "ids_b", *[f"d_{n}" for n in names], sum((F.col(f"d_{n}") for n in names[1:]), F.col(f"d_{names[0]}")).alias("d_sum"))
 
     # Some pairs: of each band's value the nodes of the smallest hashes of each split, a few of each.
-    words = [(F.col(f"{n}_lo"), F.col(f"{n}_hi")) for n in names]
-    keyed = nodes.select("*", F.explode(_banded(F.lit(0), {0: bands}, words)).alias("x")).select("split", "h", *columns, "ids", "x.band", "x.bits")
+    pairs_of = [(F.col(f"{n}_lo"), F.col(f"{n}_hi")) for n in names]
+    keyed = nodes.select("*", F.explode(_banded(F.lit(0), {0: bands}, pairs_of)).alias("x")).select("split", "h", *columns, "ids", "x.band", "x.bits")
     low = Window.partitionBy("band", "bits", "split").orderBy("h")
     some = written(keyed.withColumn("_k", F.row_number().over(low)).where("_k <= 3").drop("_k"), "some")
     near = some.select(*side("a"), "band", "bits").drop("h").join(some.select(*side("b"), "band", "bits").drop("h"), ["band", "bits"]).where("split_a < split_b")
@@ -210,7 +210,7 @@ def closest(hashes: DataFrame, names: tuple[str, ...], k: int, work: list[int] |
         plan.append((s, t, int(most), flips if LOOKUP * cost <= splits[t] else -1))
     kind = nodes.schema["split"].dataType.simpleString()
     plan = nodes.sparkSession.createDataFrame(plan, f"split_a {kind}, split_b {kind}, bound int, flips int")
-    compared, found, grid = 0, [], F.broadcast(plan.where("flips < 0").select("split_a", "split_b", "bound"))
+    compared, found, dealt = 0, [], F.broadcast(plan.where("flips < 0").select("split_a", "split_b", "bound"))
     top = max((r["flips"] for r in plan.select("flips").distinct().collect()), default=-1)
     if top >= 0:
         target = written(keyed.select(F.col("split").alias("split_b"), "band", "bits", F.col("h").alias("h_b")), "keys")
@@ -224,7 +224,7 @@ def closest(hashes: DataFrame, names: tuple[str, ...], k: int, work: list[int] |
         each = written(asked.groupBy("split_a", "split_b").agg(F.sum("c").alias("c")), "each")
         dear = [(r["split_a"], r["split_b"]) for r in each.collect() if r["c"] > splits[r["split_a"]] * splits[r["split_b"]]]  # a row for each two splits
         dear = plan.join(nodes.sparkSession.createDataFrame(dear, f"split_a {kind}, split_b {kind}"), ["split_a", "split_b"]).select("split_a", "split_b", "bound")
-        grid = F.broadcast(plan.where("flips < 0").select("split_a", "split_b", "bound").unionByName(dear))
+        dealt = F.broadcast(plan.where("flips < 0").select("split_a", "split_b", "bound").unionByName(dear))
         asked = asked.join(F.broadcast(dear.select("split_a", "split_b")), ["split_a", "split_b"], "left_anti")
         compared = asked.agg(F.sum("c").alias("c")).first()["c"] or 0
         pairs = asked.drop("c").join(target, ["split_b", "band", "bits"]).select("split_a", "split_b", "bound", "h_a", "h_b").distinct()
@@ -233,7 +233,7 @@ def closest(hashes: DataFrame, names: tuple[str, ...], k: int, work: list[int] |
 
     def find(x: pa.Table, y: pa.Table) -> pa.Table:
         names_out = ["split_a", "split_b", "ids_a", "ids_b", *[f"d_{n}" for n in names], "d_sum"]
-        p, q = [_word(x, n) for n in names], [_word(y, n) for n in names]
+        p, q = [words(x, n) for n in names], [words(y, n) for n in names]
         rank = lambda t: np.unique(np.array([v[0] for v in t["ids"].to_pylist()]), return_inverse=True)[1] if t.num_rows else np.zeros(0, np.int64)
         first_x, first_y = rank(x), rank(y)
         most = x["bound"][0].as_py() if x.num_rows else 0
@@ -252,12 +252,12 @@ def closest(hashes: DataFrame, names: tuple[str, ...], k: int, work: list[int] |
         return pa.table([*columns, *[pa.array(e) for e in each], pa.array(d.astype(np.int32))], names_out)
 
     id_kind = nodes.schema["ids"].dataType.simpleString()
-    left = nodes.withColumnRenamed("split", "split_a").join(grid, "split_a").withColumn("pair", F.to_json(F.struct("split_a", "split_b")))
-    right = nodes.withColumnRenamed("split", "split_b").join(grid, "split_b").withColumn("pair", F.to_json(F.struct("split_a", "split_b"))).drop("split_a", "split_b", "bound")
+    left = nodes.withColumnRenamed("split", "split_a").join(dealt, "split_a").withColumn("pair", F.to_json(F.struct("split_a", "split_b")))
+    right = nodes.withColumnRenamed("split", "split_b").join(dealt, "split_b").withColumn("pair", F.to_json(F.struct("split_a", "split_b"))).drop("split_a", "split_b", "bound")
     schema = f"split_a {kind}, split_b {kind}, ids_a {id_kind}, ids_b {id_kind}, {', '.join(f'd_{n} int' for n in names)}, d_sum int"
-    found.append(_grid(left, right, "pair", find, schema))
+    found.append(grid(left, right, "pair", find, schema))
     if work is not None:
-        work += [compared, sum(splits[r["split_a"]] * splits[r["split_b"]] for r in grid.collect())]
+        work += [compared, sum(splits[r["split_a"]] * splits[r["split_b"]] for r in dealt.collect())]
     pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     pairs = _first_pairs(pairs, k).withColumn("id_a", F.explode("ids_a")).withColumn("id_b", F.explode("ids_b"))
     place = Window.partitionBy("split_a", "split_b").orderBy("d_sum", "id_a", "id_b")
