@@ -102,7 +102,8 @@ def loss_texts(formatted: Column, loss: Column) -> Column:
 
 def from_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Messages (tree, node, parent, role, text) of linear conversations: the parent of a turn is the turn before it, by
-    turn, role and text; repeated rows are turns of their own."""
+    turn, role and text; repeated rows are turns of their own. Rows without a conversation belong to no tree and are left out."""
+    rows = rows.where(F.col(conv_col).isNotNull())
     nth = F.row_number().over(Window.partitionBy(conv_col).orderBy(F.col(turn_col).asc_nulls_first(), role_col, text_col))
     x = rows.select(F.col(conv_col).alias("tree"), nth.alias("node"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     return x.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text")

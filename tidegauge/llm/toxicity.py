@@ -151,6 +151,8 @@ def sample(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: st
     known = known.groupBy("id").agg(*[F.max(c).alias(c) for c in categories])
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # the documented bound of the broadcast
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")
+    # One text stands for an id, the smallest, so no more than max_rows come to the driver.
+    d = d.groupBy("id").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in categories])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
