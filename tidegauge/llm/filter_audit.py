@@ -5,7 +5,7 @@ under a smaller id, and the labels, are joined to that. A document's failures ar
 conditional counts of each part: the orders are expanded from those counts, never from documents.
 
 Texts are shuffled once, to the task of their document, and words never are: both counts are made there. Texts are equal if
-their SHA-256 digests are.
+their SHA-256 digests are; texts under one id are told apart by xxhash64.
 
 Defined results: a null text is empty, a null part the empty string; rows are documents of their own, also those that share
 an id (of the same id and text none stands under a smaller id); a null id is no smaller id and has none; labels of a repeated id
@@ -26,24 +26,26 @@ from . import common as C
 FILTERS = "ABCDE"
 #: What is counted of each part: documents, those of good quality, those that are toxic.
 MEASURES = ("docs", "good", "toxic")
-_KEY = ["doc_id", "digest", "part", "style"]
 
 
 def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """doc_id, part, bits (the failures, A is bit 1) and n (how many rows are such), written."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    style = F.when(100 * F.length(F.regexp_replace("text", "[^A-Z]+", "")) > 3 * F.length("text"), 4).otherwise(0) + F.when(F.col("text").rlike("[#$%&*|]"), 8).otherwise(0)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("text"))
-    rows = rows.withColumns({"digest": F.unhex(F.sha2("text", 256)), "style": style}).repartition("doc_id", "digest")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("text")).withColumn("tag", F.xxhash64("text"))
     # A null before the words counts the rows of a document, and keeps those without words.
     words = F.explode(F.concat(F.array(F.lit(None).cast("string")), F.split("text", C.SPACES_RE)))
-    words = rows.select("doc_id", "digest", "part", "style", words.alias("word")).where("word IS NULL OR word <> ''")
-    per_word = words.groupBy(*_KEY, "word").agg(F.count("*").alias("c"))
+    words = rows.select("doc_id", "tag", "text").repartition("doc_id", "tag").select("doc_id", "tag", words.alias("word")).where("word IS NULL OR word <> ''")
+    per_word = words.groupBy("doc_id", "tag", "word").agg(F.count("*").alias("c"))
     total = F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("c"))), F.lit(0))
-    per_doc = per_word.groupBy(*_KEY).agg(F.max(F.when(F.col("word").isNull(), F.col("c"))).alias("n"), total.alias("total"), F.count("word").alias("n_distinct"))
-    n_words = F.expr("total div n")
-    bits = F.when(n_words < 200, 1).otherwise(0) + F.when(100 * F.col("n_distinct") < 50 * n_words, 2).otherwise(0) + F.col("style")
-    per_doc = C.written(per_doc.select("doc_id", "digest", "part", bits.cast("int").alias("bits"), "n"), "failures")
+    per_text = per_word.groupBy("doc_id", "tag").agg(F.max(F.when(F.col("word").isNull(), F.col("c"))).alias("times"), total.alias("total"), F.count("word").alias("n_distinct"))
+    n_words = F.expr("total div times")
+    counted = per_text.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.when(n_words < 200, 1).otherwise(0).alias("few"), F.when(100 * F.col("n_distinct") < 50 * n_words, 2).otherwise(0).alias("alike"))
+
+    capitals = F.when(100 * F.length(F.regexp_replace("text", "[^A-Z]+", "")) > 3 * F.length("text"), 4).otherwise(0)
+    style = (capitals + F.when(F.col("text").rlike("[#$%&*|]"), 8).otherwise(0)).alias("style")
+    flags = rows.groupBy("doc_id", "tag", F.unhex(F.sha2("text", 256)).alias("digest"), "part", style).agg(F.count("*").alias("n"))
+    per_doc = flags.join(counted, flags["doc_id"].eqNullSafe(counted["_id"]) & (flags["tag"] == counted["_tag"]), "left")
+    per_doc = C.written(per_doc.select("doc_id", "digest", "part", (F.col("style") + F.col("few") + F.col("alike")).alias("bits"), "n"), "failures")
 
     texts = C.written(per_doc.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "texts")
     hot = C.hot_keys(texts.select("digest", "n"), "digest")
