@@ -100,6 +100,24 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.vectors(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0))
 
 
+_OP1 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM t)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 5 * c >= 4 * (a.n + b.n - c)
+), r AS (
+  SELECT doc_id, doc_id AS label FROM t UNION SELECT e.x, r.label FROM r JOIN e ON r.doc_id = e.y
+)
+SELECT doc_id, min(label) AS class_id, min(label) = doc_id AS kept FROM r GROUP BY doc_id
+"""
+
+
 _OP9 = r"""
 WITH t AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
@@ -124,6 +142,46 @@ FROM t LEFT JOIN o ON t.doc_id = o.doc_id
 """
 
 
+_OP9_RUNS = r"""
+WITH t AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
+), ln AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS k, l FROM t WHERE text IS NOT NULL
+), w AS (
+  SELECT doc_id, k AS a, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS b, l FROM ln WHERE regexp_matches(l[k], '[^\x20\x09-\x0D]')
+), p AS (
+  SELECT doc_id, a, b, array_to_string(l[a:b], chr(10)) AS x FROM w WHERE b IS NOT NULL
+), n AS (
+  SELECT doc_id, a, b, count(*) OVER (PARTITION BY md5(x), x) AS c, row_number() OVER (PARTITION BY md5(x), x ORDER BY doc_id, a) AS nth FROM p
+), gone AS (
+  SELECT doc_id, k FROM (SELECT doc_id, unnest(range(a, b + 1)) AS k, nth > 1 AS later FROM n WHERE c > 1) GROUP BY doc_id, k HAVING bool_and(later)
+), o AS (
+  SELECT ln.doc_id, string_agg(l[ln.k], chr(10) ORDER BY ln.k) AS kept, count(*) AS n FROM ln ANTI JOIN gone ON ln.doc_id = gone.doc_id AND ln.k = gone.k GROUP BY ln.doc_id
+), z AS (
+  SELECT t.doc_id, coalesce(len(l), 0) - coalesce(n, 0) AS gone, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS kept FROM t LEFT JOIN o ON t.doc_id = o.doc_id
+)
+SELECT doc_id, CAST(gone AS BIGINT) AS n_removed_lines, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM z
+"""
+
+
+_OP10 = r"""
+WITH d AS (
+  SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents)
+), b AS (
+  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark
+), i AS (
+  SELECT item_id, len(w) AS n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM b
+), m AS (
+  SELECT doc_id, item_id, n, p - q AS diagonal, count(*) OVER (PARTITION BY doc_id, item_id, p - q ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS near
+  FROM d JOIN i ON d.x = i.x
+), g AS (
+  SELECT doc_id, item_id, count(*) AS same FROM m GROUP BY doc_id, item_id, n, diagonal
+  HAVING CASE WHEN n >= 13 THEN max(near) >= 11 WHEN n >= 9 THEN count(*) >= n - n // 7 ELSE count(*) = n END
+)
+SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items, CAST(max(same) AS BIGINT) AS n_matched FROM g GROUP BY doc_id
+"""
+
+
 _OP4 = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -268,4 +326,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2, "op4_chat_format": _OP4, "op5_substring_dedup": _OP5, "op9_line_dedup": _OP9, "op11_filter_audit": _OP11, "op12_suffix_dedup": _OP12, "op13_hard_negatives": _OP13}
+    return {"op1_near_dedup": _OP1, "op2_quality_rules": _OP2, "op4_chat_format": _OP4, "op5_substring_dedup": _OP5, "op9_line_dedup": _OP9, "op9_line_runs": _OP9_RUNS, "op10_decontaminate": _OP10, "op11_filter_audit": _OP11, "op12_suffix_dedup": _OP12, "op13_hard_negatives": _OP13}
