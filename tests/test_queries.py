@@ -61,7 +61,15 @@ def test_entry_works_without_the_text_operators(tmp_path):
         for name in gone:
             shutil.rmtree(copy / name) if (copy / name).is_dir() else (copy / name).unlink(missing_ok=True)
         code = "import __spark_entry__ as e; q = e.queries(); assert 'tail_report' in q and 'pipeline' not in q and not [x for x in q if x.startswith('op')] and set(e.oracle_sql()) <= set(q)"
-        subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True, timeout=120)
+        env = os.environ | {"PYTHONPATH": str(copy)}
+        subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True, timeout=120)
+        subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=copy, env=env, check=True, timeout=120, stdout=subprocess.DEVNULL)
+
+
+def test_entry_works_where_a_library_of_the_text_operators_is_missing(tmp_path):
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'tail_report' in q and 'pipeline' not in q and 'op1_near_dedup' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": f"{tmp_path}{os.pathsep}{ROOT}"}, check=True, timeout=120)
 
 
 def test_bootstraps_equal_brute_force_over_10000_replicates(spark, monkeypatch):
