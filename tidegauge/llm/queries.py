@@ -25,6 +25,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.verdict("fail_bits", "v1").alias("kept"), "fail_bits")
 
 
+def op2_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a stored ledger: for each policy and rule the documents that fail it, fail it alone, and pass once it is left out."""
+    led = common.written(quality.ledger(_documents(spark, sf_dir)).select("doc_id", "fail_bits"), "ledger")
+    parts = [quality.ablation(led, policy).select(F.lit(policy).alias("policy"), "*") for policy in quality.POLICIES]
+    return parts[0].unionByName(parts[1])
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.write(_documents(spark, sf_dir), common.shared_dir(spark), public_tokenizers.path("byte_bpe_50k.json"), 2)
     return token_store.checksums(store, spark)
@@ -321,9 +328,17 @@ SELECT anchor_id, positive_id, CAST(place AS INT) AS rank, negative_id, positive
 """
 
 
+_OP2_ABLATION = _OP2[: _OP2.rindex("SELECT doc_id")] + """, x AS (
+  SELECT policy, rule, bit, fail_bits & mask AS f
+  FROM b, (VALUES ('base', 3), ('v1', 31)) p(policy, mask), (VALUES ('min_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16)) r(rule, bit) WHERE mask & bit <> 0
+)
+SELECT policy, rule, count(*) FILTER (f & bit <> 0) AS n_failed, count(*) FILTER (f = bit) AS n_failed_alone, count(*) FILTER (f - (f & bit) = 0) AS n_kept_without FROM x GROUP BY policy, rule
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": _OP1, "op2_quality_rules": _OP2, "op4_chat_format": _OP4, "op5_substring_dedup": _OP5, "op9_line_dedup": _OP9, "op9_line_runs": _OP9_RUNS, "op10_decontaminate": _OP10, "op11_filter_audit": _OP11, "op12_suffix_dedup": _OP12, "op13_hard_negatives": _OP13}
+    return {"op1_near_dedup": _OP1, "op2_quality_rules": _OP2, "op2_rule_ablation": _OP2_ABLATION, "op4_chat_format": _OP4, "op5_substring_dedup": _OP5, "op9_line_dedup": _OP9, "op9_line_runs": _OP9_RUNS, "op10_decontaminate": _OP10, "op11_filter_audit": _OP11, "op12_suffix_dedup": _OP12, "op13_hard_negatives": _OP13}
