@@ -34,8 +34,8 @@ WIDTH = 5
 BANDS, ROWS = 16, 4
 SIZE = BANDS * ROWS
 #: Bits of the sketches that decide which pairs are verified at last, and how many may differ: at a similarity of 0.8 a bit
-#: differs with probability 0.1, so 51 do with a deviation of 7, and more than MOST_BITS in less than one of 10**14 cases.
-BITS, MOST_BITS = 512, 110
+#: differs with probability 0.1, so 102 do with a deviation of 10, and more than MOST_BITS in less than one of 10**8 cases.
+BITS, MOST_BITS = 1024, 160
 #: Nodes of a bucket that one task compares with as many others.
 PART = 256
 _INF = np.inf
