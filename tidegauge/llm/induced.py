@@ -15,6 +15,7 @@ that counts: callers take common prefixes up to the end of a passage only.
 from __future__ import annotations
 
 import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,7 +99,7 @@ def named(t: np.ndarray, small: np.ndarray, at: np.ndarray, single: np.ndarray |
     rank, which, k = np.zeros(len(at), np.int64), np.arange(len(at)), 0
     while len(which):
         w = word(which, k)
-        order = np.lexsort((w, rank[which]))
+        order = np.lexsort((w, rank[which])) if k else np.argsort(w, kind="stable")
         o, r, w = which[order], rank[which[order]], w[order]
         new = np.r_[True, (r[1:] != r[:-1]) | (w[1:] != w[:-1])]
         group = np.r_[True, r[1:] != r[:-1]]
@@ -123,10 +124,12 @@ def _in_order(t: np.ndarray, small: np.ndarray, single: np.ndarray | None) -> np
     if len(at) < 2:
         return at
     rank = named(t, small, at, None if single is None else single[at])
-    values, names = np.unique(rank, return_inverse=True)
-    if len(values) == len(at):
-        return at[np.argsort(rank)]
-    return at[suffixes(names)]
+    used = np.bincount(rank, minlength=len(at)) > 0
+    if used.all():
+        order = np.empty(len(at), np.int64)
+        order[rank] = at
+        return order
+    return at[suffixes((np.cumsum(used) - 1)[rank])]
 
 
 def suffixes(t: np.ndarray) -> np.ndarray:
@@ -137,30 +140,30 @@ def suffixes(t: np.ndarray) -> np.ndarray:
     seeds = _in_order(t, small, None)
     counts = np.bincount(t)
     ends = np.cumsum(counts)
-    starts = (ends - counts).tolist()
-    out = np.full(n, -1, np.int64)
+    out = np.zeros(n, np.int64)  # 0 also where nothing stands yet: nothing comes before the first suffix
     char = t[seeds]
     # Seeds stand at the ends of their lists, in order.
     later = np.bincount(char, minlength=len(counts))
     out[ends[char] - later[char] + np.arange(len(seeds)) - (np.cumsum(later) - later)[char]] = seeds
-    text, is_small, sa = memoryview(np.ascontiguousarray(t, np.int64)), memoryview(small.view(np.uint8)), memoryview(out)
-    c = text[n - 1]
+    flat = lambda x: array("i", x.astype(np.int32).tobytes())
+    large_char, small_char = flat(np.append(np.where(small, -1, t), -1)), flat(np.append(np.where(small, t, -1), -1))  # the last is before the first suffix
+    sa, starts, lasts = flat(out), flat(ends - counts), flat(ends - 1)
+    c = large_char[n - 1]
     sa[starts[c]] = n - 1
     starts[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not is_small[j]:
-            c = text[j]
-            sa[starts[c]] = j
-            starts[c] += 1
-    lasts = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and is_small[j]:
-            c = text[j]
-            lasts[c] -= 1
-            sa[lasts[c]] = j
-    return out
+    for i in sa:  # which fills up ahead
+        c = large_char[i - 1]
+        if c >= 0:
+            k = starts[c]
+            sa[k] = i - 1
+            starts[c] = k + 1
+    for i in reversed(sa):
+        c = small_char[i - 1]
+        if c >= 0:
+            k = lasts[c]
+            sa[k] = i - 1
+            lasts[c] = k - 1
+    return np.frombuffer(sa, np.int32).astype(np.int64)
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:
