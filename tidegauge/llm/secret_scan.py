@@ -40,14 +40,14 @@ TREES, DEPTH, SEED = 30, 6, 11
 #: Names of values that must stay secret.
 NAMES = ("token", "key", "secret", "password", "passwd", "pwd", "apikey", "credential", "auth", "bearer")
 _BEGIN, _END = r"(?P<begin>-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----)", re.compile(r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----")
-#: A value given in quotes to a name that holds one of NAMES, a dotted token, a run of characters of keys. No part is looked at
-#: from more than one start, so time is linear in the text.
-_OTHERS = (
-    r"(?i:(?<![\w.-])(?=[\w.-]*?(?:" + "|".join(NAMES) + r"))[\w.-]++)['\"]?[ \t]*+[:=][ \t]*+(?P<mark>['\"`])(?P<value>[^'\"`\n]{4,}+)(?P=mark)"
-    + r"|(?P<dotted>[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+){2,})"
-    + r"|(?P<run>[A-Za-z0-9+/=_-]{16,}+)"
-)
-CANDIDATE, WITHOUT_BLOCKS = re.compile(_BEGIN + "|" + _OTHERS), re.compile(_OTHERS)
+#: A value given in quotes to a name that holds one of NAMES. No part of this and of the next is looked at from more than one start, so time
+#: is linear in the text. A text without _ASSIGNED has none.
+_VALUE = r"(?i:(?<![\w.-])(?=[\w.-]*?(?:" + "|".join(NAMES) + r"))[\w.-]++)['\"]?[ \t]*+[:=][ \t]*+(?P<mark>['\"`])(?P<value>[^'\"`\n]{4,}+)(?P=mark)"
+_ASSIGNED = re.compile(r"[:=][ \t]*+['\"`]")
+#: A dotted token, a run of characters of keys.
+_RUN = r"(?P<dotted>[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+){2,})|(?P<run>[A-Za-z0-9+/=_-]{16,}+)"
+#: The candidates by whether key blocks and values can occur.
+CANDIDATE = {(block, value): re.compile("|".join([*[_BEGIN] * block, *[_VALUE] * value, _RUN])) for block in (False, True) for value in (False, True)}
 FEATURES = (
     "length", "entropy", "digits", "upper", "lower", "marks", "transitions", "hexadecimal", "letters_only",
     "dictionary", "slashes", "dots", "code_path", "path_in_dictionary", "neighbours_in_dictionary", "neighbour_length",
@@ -63,11 +63,12 @@ def _kind(c: str) -> int:
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Start and end of the candidates of a text, from left to right, without overlaps. A key block reaches from its first mark to the next end
     mark, however far; a first mark without one is text like other text."""
-    pattern, at = CANDIDATE, 0
+    value = _ASSIGNED.search(text) is not None
+    pattern, at = CANDIDATE["-----BEGIN " in text, value], 0
     while m := pattern.search(text, at):
         if m.lastgroup == "begin":
             if (end := _END.search(text, m.end())) is None:
-                pattern, at = WITHOUT_BLOCKS, m.start()
+                pattern, at = CANDIDATE[False, value], m.start()
                 continue
             span = m.start(), end.end()
         else:
