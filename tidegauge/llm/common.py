@@ -143,7 +143,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     """A 64-bit hash of the bytes of each word, the same wherever the word stands; another one for each seed.
 
     Bytes are taken by eight, and each eight are mixed by a bijection, so words of one length of up to eight bytes never share a
-    hash; words above LANES bytes are hashed by BLAKE2.
+    hash; words above LANES bytes are hashed by BLAKE2. With seeds drawn at random no two words can be chosen to share hashes.
     """
     n = ends - starts
     h = mix(n.astype(np.uint64) * np.uint64(_BASE) + np.uint64(seed))
@@ -157,7 +157,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
         over = np.maximum(k + 8 - n[live], 0).astype(np.uint64) * np.uint64(8)
         h[live] = mix(h[live] ^ (eight[starts[live] + k] << over)) + np.uint64(_BASE)
     for k in np.flatnonzero(n > LANES).tolist():
-        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, person=b"%d" % seed).digest(), "little")
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
     return h
 
 

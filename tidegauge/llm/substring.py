@@ -8,7 +8,8 @@ candidates, and so on, until the last level or until a level has no repeated win
 
 A level is one aggregation by hash, combined before its shuffle: a group of one window carries its own place, which is all
 that the next level has to know. So a sequence that occurs a million times costs a row per task, and no join is by hash. On the
-levels before the last equal hashes only make candidates; on the last, which decides, words are compared by 128 bits of BLAKE2.
+levels before the last equal hashes only make candidates; on the last, which decides, windows are equal if two hashes of 64 bits are, whose seeds
+are drawn at random for each run: unlike windows are taken for equal with a probability of 2**-128 a pair, whatever they are.
 Texts travel to their marks once for each level after the first and once at the end.
 
 Defined results: a null text has no words; texts shorter than a window keep all words; rows that repeat an id with the same
@@ -19,6 +20,7 @@ read. A document's text and its marks are held by one task, in proportion to tha
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,7 +104,8 @@ class Piece:
 
 
 def _windows(rows: DataFrame, level: int, sizes: list[int]) -> DataFrame:
-    """id, tag, pos, h of the candidates on a level, from rows (id, tag, text, s0, s1, ...)."""
+    """id, tag, pos, h of the candidates on a level, from rows (id, tag, text, s0, s1, ...); g, a second hash, on the last."""
+    seeds = [secrets.randbits(63), secrets.randbits(63)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,8 +119,8 @@ def _windows(rows: DataFrame, level: int, sizes: list[int]) -> DataFrame:
                     continue
                 doc = np.searchsorted(p.first, at, side="right") - 1
                 take = pa.array(doc + lo)
-                last = level == len(sizes) - 1
-                hashes = C.digests(*C.spaced(p.data, p.starts, p.ends), at, at + sizes[level]) if last else (C.grams(p.w, sizes[level])[at],)
+                words = [C.word_hashes(p.data, p.starts, p.ends, s) for s in seeds] if level == len(sizes) - 1 else [p.w]
+                hashes = [C.grams(w, sizes[level])[at] for w in words]
                 for a in range(0, len(at), 1 << 16):
                     s = slice(a, a + (1 << 16))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(take[s]), batch.column(1).take(take[s]), pa.array((at[s] - p.first[doc[s]]).astype(np.int32)), *[pa.array(h[s].view(np.int64)) for h in hashes]], ["id", "tag", "pos", "h", "g"][: 3 + len(hashes)])
