@@ -36,6 +36,8 @@ SIZE = BANDS * ROWS
 #: Bits of the sketches that decide which pairs are verified at last, and how many may differ: at a similarity of 0.8 a bit
 #: differs with probability 0.1, so 102 do with a deviation of 10, and more than MOST_BITS in less than one of 10**8 cases.
 BITS, MOST_BITS = 1024, 160
+#: Texts whose registers a task holds at once.
+TOGETHER = 256
 #: Nodes of a bucket that one task compares with as many others.
 PART = 256
 _INF = np.inf
@@ -111,8 +113,12 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             for ids, texts in C.pieces(batch.column(0), batch.column(1)):
                 doc, h, _, _ = shingles(texts)
                 offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-                bits = C.mix(registers(doc, h, np.ones(len(h)), len(texts), BITS)) & np.uint64(1)
-                longs = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+                longs = []
+                for k in range(0, len(texts), TOGETHER):
+                    own, n = slice(*np.searchsorted(doc, (k, k + TOGETHER))), min(TOGETHER, len(texts) - k)
+                    bits = C.mix(registers(doc[own] - k, h[own], np.ones(len(h[own])), n, BITS)) & np.uint64(1)
+                    longs.append(np.packbits(bits.astype(np.uint8), axis=1).view(np.int64))
+                longs = np.concatenate(longs) if longs else np.zeros(0, np.int64)
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (BITS // 64)), pa.array(longs.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64))), sketch], ["id", "s", "sketch"])
 
