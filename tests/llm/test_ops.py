@@ -121,6 +121,33 @@ def test_near_dedup_recall_by_similarity_counts_and_large_buckets(spark, monkeyp
     assert {r.doc_id: r.class_id for r in near_dedup.classes(alone, most_bits=None).collect()} == classes
 
 
+@pytest.mark.parametrize("part", [9, 256])
+def test_near_dedup_makes_no_row_for_each_pair_of_a_group(spark, monkeypatch, part):
+    rng, kept = random.Random(21), {}
+    base = prose(rng, 200).split()
+    for i in range(90):  # most pairs are somewhat below 0.8, some above
+        w = base[:]
+        for k in rng.sample(range(40), 3):
+            w[5 * k] = f"own{i}x{k}"
+        kept[i] = " ".join(w)
+    written = near_dedup.C.written
+
+    def counted(df, name="table", *more):
+        out = written(df, name, *more)
+        if name == "more":
+            rows.append(out.count())
+        return out
+
+    rows = []
+    monkeypatch.setattr(near_dedup.C, "written", counted)
+    monkeypatch.setattr(near_dedup, "PART", part)
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(list(kept.items()), "doc_id long, text string")).collect()}
+    assert found == linked_classes(kept)
+    x = pa.table({"s": [[1, 2, 3, 4, 5], [1, 2, 3, 4], [9], []]})
+    assert sorted(zip(*[v.tolist() for v in near_dedup.linked(x, x)]))[:5] == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 2)]
+    assert all(n <= 90 for n in rows)
+
+
 def test_near_dedup_of_repeated_ids(spark):
     rng = random.Random(14)
     a, b = prose(rng, 60), prose(rng, 60)

@@ -8,11 +8,10 @@ occurs in a document, so this is the set Jaccard similarity that links are judge
 candidates, and each link is verified on the documents' whole shingle sets.
 
 Texts with the same words (by 128 bits of BLAKE2) are one node, so copies never meet in a bucket. In each bucket all nodes are first compared with
-the bucket's head; components of verified links follow. In buckets that still hold several components, all pairs of nodes of
-different components are looked at: what both share with the head bounds what they share, sketches of BITS registers estimate
-it, and the pairs that both allow are verified too. So each candidate pair is verified, or refuted by sizes, bound or sketch,
-or already in one component, and the rows made follow the nodes and the links, not the squares of buckets. The time of that
-last look does grow with the square of the unlike nodes of one bucket; it is spread over tasks by parts of the bucket.
+the bucket's head; components of verified links follow. In buckets that still hold several components, all pairs of nodes are
+verified on their whole sets, as products of matrices, and only links that join components are returned. So each candidate pair is verified or
+already in one component, and no row is made for a pair that isn't a link. The time of that
+last look does grow with the square of the nodes of one bucket; it is spread over tasks by parts of the bucket.
 
 Defined results: a null text counts as empty; texts without words have equal (empty) word sequences and form one class;
 rows that share an id are one document, with the text of the smallest hash of them; a row without an id has no class and is kept; columns other than the two named are
@@ -33,13 +32,10 @@ from . import common as C
 WIDTH = 5
 BANDS, ROWS = 16, 4
 SIZE = BANDS * ROWS
-#: Bits of the sketches that decide which pairs are verified at last, and how many may differ: at a similarity of 0.8 a bit
-#: differs with probability 0.1, so 102 do with a deviation of 10, and more than MOST_BITS in less than one of 10**8 cases.
-BITS, MOST_BITS = 1024, 160
-#: Texts whose registers a task holds at once.
-TOGETHER = 256
 #: Nodes of a bucket that one task compares with as many others.
 PART = 256
+#: Shingles of such nodes, and shingles of a matrix of zeros and ones.
+SHINGLES, TOGETHER = 1 << 19, 4096
 _INF = np.inf
 
 
@@ -105,24 +101,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """id, s (array of long: the distinct shingle hashes) and sketch (BITS bits in longs, one for each register of an unweighted
-    ProbMinHash) of each text of (id, text)."""
+    """id, s (array of long: the distinct shingle hashes) of each text of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in C.pieces(batch.column(0), batch.column(1)):
                 doc, h, _, _ = shingles(texts)
                 offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-                longs = []
-                for k in range(0, len(texts), TOGETHER):
-                    own, n = slice(*np.searchsorted(doc, (k, k + TOGETHER))), min(TOGETHER, len(texts) - k)
-                    bits = C.mix(registers(doc[own] - k, h[own], np.ones(len(h[own])), n, BITS)) & np.uint64(1)
-                    longs.append(np.packbits(bits.astype(np.uint8), axis=1).view(np.int64))
-                longs = np.concatenate(longs) if longs else np.zeros(0, np.int64)
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (BITS // 64)), pa.array(longs.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64))), sketch], ["id", "s", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], ["id", "s"])
 
-    return docs.mapInArrow(run, f"id {docs.dtypes[0][1]}, s array<long>, sketch array<long>")
+    return docs.mapInArrow(run, f"id {docs.dtypes[0][1]}, s array<long>")
 
 
 #: A Jaccard similarity of 0.8 or more, from the sizes and what both share.
@@ -166,11 +154,10 @@ def one_text(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     return some.join(ids, "id", "left_anti").unionByName(again)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int | None = MOST_BITS) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int | None = None) -> DataFrame:
     """id, class_id (smallest id of the class) and kept (true for that one document), a row for each row of docs.
 
-    most_bits: how many of BITS sketch bits may differ for a pair to be verified at last; None verifies all pairs that the bounds
-    allow.
+    most_bits: no longer read, since all pairs of a bucket are verified.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     repeated = repeated_ids(docs)
@@ -179,7 +166,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
     nodes = C.written(sig.groupBy("k1", "k2").agg(F.min("id").alias("node")), "nodes")
     own = C.written(sig.join(nodes, ["k1", "k2"]).select("id", "node", "n", F.when(F.col("id") == F.col("node"), F.col("bands")).alias("bands")), "own")
     nodes = own.where("id = node")
-    bands = nodes.select("id", "bands")
     members = nodes.select("id", "n", F.explode("bands").alias("bucket"))
     sizes = C.written(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     hot = C.hot_keys(sizes.select("bucket", F.col("size").alias("n")), "bucket")
@@ -196,24 +182,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
     labels = components(tests.where(_LINKED))
 
     # Buckets that still hold several components: first against the node nearest to the head, which is closer to the middle of
-    # a group, then all pairs across components that both middles and the sketches allow. What two sets share is at most the
-    # smaller share of the middle plus the smaller share of the rest.
+    # a group, then all pairs across components, as arrays.
     named = members.join(labels, "id", "left").select("bucket", "id", "n", "size", "head", F.coalesce("label", "id").alias("label"))
-    mixed = C.written(named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "mixed")
-    shared = tests.select(F.col("a").alias("id"), F.col("b").alias("head"), F.col("both").alias("c1"), (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("j"))
-    named = C.written(C.spread_join(named, mixed, "bucket", hot, "left_semi").join(shared, ["id", "head"], "left").withColumn("c1", F.coalesce("c1", "n")), "named")
+    mixed = C.written(named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.sum("n").alias("shingles")).where("x <> y").select("bucket", "shingles"), "mixed")
+    shared = tests.select(F.col("a").alias("id"), F.col("b").alias("head"), (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("j"))
+    named = C.written(C.spread_join(named, mixed, "bucket", hot).join(shared, ["id", "head"], "left"), "named")
     middle = named.where("id <> head").groupBy("bucket").agg(F.max(F.struct("j", "id")).alias("x")).select("bucket", F.col("x.id").alias("middle"))
-    named = C.written(C.spread_join(named, middle, "bucket", hot), "named")
-    again = C.written(compared(named.where("id <> middle").select(F.col("id").alias("a"), F.col("middle").alias("b")).distinct(), sets), "tests")
+    again = C.spread_join(named, middle, "bucket", hot).where("id <> middle").select(F.col("id").alias("a"), F.col("middle").alias("b")).distinct()
+    again = C.written(compared(again, sets), "tests")
     links = tests.where(_LINKED).unionByName(again.where(_LINKED))
     labels = components(links)
-    named = named.drop("label").join(labels, "id", "left").join(again.select(F.col("a").alias("id"), F.col("b").alias("middle"), F.col("both").alias("c2")), ["id", "middle"], "left")
-    named = named.join(sets.select("id", "sketch"), "id").join(bands, "id")
-    named = C.written(named.select("bucket", "id", "n", "size", F.coalesce("label", "id").alias("label"), "c1", F.coalesce("c2", "n").alias("c2"), "bands", *[F.get("sketch", F.lit(k)).alias(f"b{k}") for k in range(BITS // 64)]), "named")
-    rest = _unlike(named, most_bits)
-    more = C.written(compared(rest, sets).where(_LINKED), "more")
+    named = C.written(named.select("bucket", "id", "size", "shingles").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "named")
+    more = C.written(_unlike(named, sets, hot), "more")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = components(links.select("a", "b").unionByName(more))
 
     found = own.select("id", "node").join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("id", F.coalesce("label", "node").alias("class_id"))
     if not repeated.isEmpty():
@@ -223,21 +205,70 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
     return out.withColumnRenamed("id", id_col)
 
 
-def _unlike(named: DataFrame, most_bits: int | None) -> DataFrame:
-    """a, b: pairs of nodes of one bucket and of different components that sizes, bounds and sketches allow, in the first bucket
-    that they share. A bucket's nodes are dealt to parts of about PART, and each two parts meet by themselves, so the looks at a
-    large bucket are spread over many tasks."""
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    named = named.withColumn("_p", parts).withColumn("_k", F.pmod(F.xxhash64("id"), F.col("_p").cast("long")).cast("int"))
-    columns = [c for c in named.columns if c not in ("bucket", "size", "_p", "_k")]
-    x = named.select("bucket", F.col("_k").alias("i"), F.explode(F.sequence(F.col("_k"), F.col("_p") - 1)).alias("j"), *[F.col(c).alias(f"x_{c}") for c in columns])
-    y = named.select("bucket", F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("i"), F.col("_k").alias("j"), *[F.col(c).alias(f"y_{c}") for c in columns])
-    allowed = [f"9 * (least(x_{c}, y_{c}) + least(x_n - x_{c}, y_n - y_{c})) >= 4 * (x_n + y_n)" for c in ("c1", "c2")]
-    if most_bits is not None:
-        allowed.append(" + ".join(f"bit_count(x_b{k} ^ y_b{k})" for k in range(BITS // 64)) + f" <= {most_bits}")
-    allowed.append("array_intersect(x_bands, y_bands)[0] = bucket")  # a pair counts in the first bucket it shares
-    rest = x.join(y, ["bucket", "i", "j"]).where(f"(i < j OR x_id < y_id) AND x_label <> y_label AND 5 * x_n >= 4 * y_n AND 5 * y_n >= 4 * x_n AND {' AND '.join(allowed)}")
-    return rest.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+def _unlike(named: DataFrame, sets: DataFrame, hot: dict[int, list]) -> DataFrame:
+    """a, b: links that join the components of each bucket. A bucket's nodes are dealt to parts of about PART nodes and SHINGLES shingles, and
+    each two parts meet by themselves, so the looks at a large bucket are spread over many tasks. A block returns at most one link for each
+    component that it holds. Of three nodes all pairs have met the head or the middle."""
+    still = named.where("size > 3").groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    parts = F.ceil(F.greatest(F.col("size") / PART, F.least(F.col("shingles") / SHINGLES, F.col("size").cast("double")))).cast("int")
+    named = C.spread_join(named, still, "bucket", hot, "left_semi").withColumn("_p", parts).withColumn("_k", F.pmod(F.xxhash64("id"), F.col("_p").cast("long")).cast("int"))
+    named = named.join(sets, "id").select("bucket", "_p", "_k", "id", "label", "s")
+    x = named.select("bucket", F.col("_k").alias("i"), F.explode(F.sequence(F.col("_k"), F.col("_p") - 1)).alias("j"), "id", "label", "s")
+    y = named.select("bucket", F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("i"), F.col("_k").alias("j"), "id", "label", "s")
+    x, y = (t.select([F.col(c).alias(c) for c in t.columns]) for t in (x, y))  # both come from one table
+    kind = dict(named.dtypes)["id"]
+
+    def find(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table([x["id"].slice(0, 0), x["id"].slice(0, 0)], ["a", "b"])
+        names = {v: k for k, v in enumerate(dict.fromkeys(x["label"].to_pylist() + y["label"].to_pylist()))}
+        lx, ly = (np.array([names[v] for v in t["label"].to_pylist()]) for t in (x, y))
+        p, q = linked(x, y) if len(names) > 1 else (np.zeros(0, np.int64),) * 2
+        p, q = p[lx[p] != ly[q]], q[lx[p] != ly[q]]
+        up = list(range(len(names)))
+
+        def top(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        chosen = []
+        for k, (i, j) in enumerate(zip(lx[p].tolist(), ly[q].tolist())):
+            r, s = top(i), top(j)
+            if r != s:
+                up[r] = s
+                chosen.append(k)
+        return pa.table([x["id"].take(pa.array(p[np.array(chosen, int)])), y["id"].take(pa.array(q[np.array(chosen, int)]))], ["a", "b"])
+
+    groups = x.groupBy("bucket", "i", "j").cogroup(y.groupBy("bucket", "i", "j"))
+    return groups.applyInArrow(find, f"a {kind}, b {kind}").distinct()
+
+
+def linked(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of rows of both tables that are links, judged on their whole sets: of the shingles that both
+    tables hold some at a time are a matrix of zeros and ones for each, whose product counts what two rows share."""
+    sets = [(np.diff(t["s"].combine_chunks().offsets.to_numpy()), t["s"].combine_chunks().flatten().to_numpy()) for t in (x, y)]
+    (n, h), (m, g) = sets
+    common = np.intersect1d(h, g)
+    both = np.zeros((len(n), len(m)))
+    cells = []
+    for size, v in sets:
+        at = np.searchsorted(common, v)
+        at[at == len(common)] = 0
+        here = np.flatnonzero(common[at] == v) if len(common) else np.zeros(0, np.int64)
+        at, row = at[here], np.repeat(np.arange(len(size)), size)[here]
+        order = np.argsort(at, kind="stable")
+        cells.append((at[order], row[order]))
+    for k in range(0, len(common), TOGETHER):
+        ones = []
+        for (at, row), rows in zip(cells, both.shape):
+            own = slice(*np.searchsorted(at, (k, k + TOGETHER)))
+            ones.append(np.zeros((rows, min(TOGETHER, len(common) - k)), np.float32))
+            ones[-1][row[own], at[own] - k] = 1
+        both += ones[0] @ ones[1].T
+    near = 5 * both >= 4 * (n[:, None] + m - both)
+    return np.nonzero(near)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
