@@ -145,6 +145,20 @@ def test_flagged_pairs_of_keys_that_many_share(spark, monkeypatch, few, agree):
     assert a == b and len(a) > 500
 
 
+def test_flagged_pairs_write_few_keys(spark, monkeypatch):
+    rng, sizes = np.random.default_rng(3), []
+    h = spark.createDataFrame([(0, i, *[int(x) for x in rng.integers(0, 2**32, 6)]) for i in range(300)], "split int, id int, " + ", ".join(f"{n}_{p} long" for n in NAMES for p in ("lo", "hi")))
+    write = duplicates.written
+
+    def counted(*more):
+        sizes.append(write(*more))
+        return sizes[-1]
+
+    monkeypatch.setattr(duplicates, "written", counted)
+    duplicates.flagged(h, 8)
+    assert max(df.count() for df in sizes) <= 20 * 300 and duplicates.agreeing(2 * 10**6 // duplicates.FEW, 8) == 1
+
+
 def test_audit_uses_the_searches(spark):
     assert duplicates.HASHES == NAMES
     h = spark.createDataFrame([], "split int, id int, " + ", ".join(f"{n}_{p} long" for n in NAMES for p in ("lo", "hi")))

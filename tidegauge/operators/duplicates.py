@@ -127,8 +127,10 @@ def bands(most: int, agree: int = AGREE) -> tuple[list[tuple[int, int]], list[li
     return [(a, b - a) for a, b in zip(edges, edges[1:])], [list(c) for c in itertools.combinations(range(n), agree)]
 
 
-#: Rows that may share a key before they are compared as arrays, and choices of bands at most.
-FEW, MOST_AGREE = 512, 6
+#: Nodes that a key has on average at most when pairs are compared as arrays, and choices of bands at most.
+FEW, MOST_AGREE = 1 << 14, 6
+#: The two hashes whose bands are keys: of two rows with two close hashes one of these is close.
+KEYED = ("a", "p")
 
 
 def agreeing(n: int, most: int) -> int:
@@ -164,46 +166,67 @@ def candidates(hashes: DataFrame, most: int, agree: int = AGREE) -> DataFrame:
 def flagged(hashes: DataFrame, most: int = 8, agree: int | None = None) -> DataFrame:
     """Pairs of which at least two of three distances are at most `most`, found exactly by bands.
 
-    Of such a pair the first or the second hash is close, and of most + agree bands of a close hash `agree` are equal; by default as many as
-    make a key log2(n) bits long. Rows with equal hashes are one node, so copies meet no one: they are paired where pairs are returned. A key
-    that more than FEW nodes share (images of one tone) makes no pairs: its nodes are compared as arrays, in blocks, and only close ones are returned.
+    Of such a pair one of two KEYED hashes is close, and of most + agree bands of a close hash `agree` are equal; by default as few as leave
+    FEW nodes for a key, since many choices of bands make many keys and keys are what travels. Rows with equal hashes are one node, so
+    copies meet no one: they are paired where pairs are returned. The nodes of a key are compared as arrays, in blocks, and only close ones are returned.
     """
     columns = [f"{h}_{part}" for h in HASHES for part in ("lo", "hi")]
     nodes = written(hashes.select(*columns).distinct().withColumn("_n", F.monotonically_increasing_id()), "nodes")
     rows = hashes.join(nodes, columns).select("split", "id", *columns, "_n")
     if agree is None:
-        agree = agreeing(nodes.count(), most)
-    keys = written(keyed(nodes, most, agree), "keys")
-    many = written(keys.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > FEW).select("key"), "many")
-    a, b = nodes.alias("l"), nodes.alias("r")
-    close = sum(((distance(h) <= most).cast("int") for h in HASHES[1:]), (distance("a") <= most).cast("int")) >= 2
-    near = _met(keys.join(many, "key", "left_anti"))
-    links = near.join(a, F.col("id_l") == F.col("l._n")).join(b, F.col("id_r") == F.col("r._n")).where(close).select("id_l", "id_r")
-    if not many.isEmpty():
-        links = links.unionByName(_close_within(keys.join(many, "key"), nodes, most)).distinct()
+        agree = agreeing(nodes.count() // FEW, most)
+    links = written(_close(nodes, most, agree), "links")
     both = links.union(links.select("id_r", "id_l")).union(nodes.select(F.col("_n"), F.col("_n")))
     l, r = rows.alias("l"), rows.alias("r")
     return _named(l.join(both, F.col("l._n") == F.col("id_l")).join(r, (F.col("id_r") == F.col("r._n")) & F.expr(_PAIR)))
 
 
-def _close_within(keys: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """id_l, id_r of the close nodes of each key, compared in blocks."""
-    rows = keys.join(nodes, "_n").withColumn("h", F.xxhash64("_n"))
-
-    def find(x: pa.Table, y: pa.Table) -> pa.Table:
-        out = []
-        if x.num_rows and y.num_rows:
-            i, j = x["_n"].to_numpy(), y["_n"].to_numpy()
-            p, q = [hamming.words(x, h) for h in HASHES], [hamming.words(y, h) for h in HASHES]
-            step = max(1, hamming.WORDS // len(j))
-            for k in range(0, len(i), step):
-                near = sum((np.bitwise_count(u[k : k + step, None] ^ v) <= most).astype(np.int8) for u, v in zip(p, q)) >= 2
-                r, c = np.nonzero(near & (i[k : k + step, None] < j))
-                out.append((i[r + k], j[c]))
-        l, r = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-        return pa.table([pa.array(l), pa.array(r)], ["id_l", "id_r"])
-
-    return hamming.grid(rows, rows, "key", find, "id_l long, id_r long")
+#: Bits of a key that its bands take; its choice of bands stands above them.
+_SHIFT = 40
+
+
+def _close(nodes: DataFrame, most: int, agree: int) -> DataFrame:
+    """id_l, id_r of the close nodes, each pair once: by the first key that it shares."""
+    cut, chosen = bands(most, agree)
+    word = lambda h: F.shiftleft(f"{h}_hi", 32).bitwiseOR(F.col(f"{h}_lo"))
+    first = [[0, *itertools.accumulate(cut[b][1] for b in c)] for c in chosen]
+
+    def key(h: str, k: int) -> Column:
+        parts = [F.shiftleft(hamming.bits_of(F.col(f"{h}_lo"), F.col(f"{h}_hi"), *cut[b]), at) for b, at in zip(chosen[k % len(chosen)], first[k % len(chosen)])]
+        return sum(parts, F.lit(k << _SHIFT).cast("long"))
+
+    keys = F.array(*[key(h, k + n * len(chosen)) for n, h in enumerate(KEYED) for k in range(len(chosen))])
+    keyed = nodes.select("_n", *[word(h).alias(h) for h in HASHES], F.explode(keys).alias("key"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1")
+    parts = F.ceil(F.col("_m") / hamming.PART).cast("int")
+    x = keyed.join(counts, "key").withColumn("_p", parts).withColumn("_k", F.pmod(F.xxhash64("_n"), F.col("_p").cast("long")).cast("int"))
+    x = x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
+    x = x.select("key", F.least("_k", "_o").alias("i"), F.greatest("_k", "_o").alias("j"), "_k", "_n", *HASHES)
+
+    def find(t: pa.Table) -> pa.Table:
+        k, same = t["key"][0].as_py() >> _SHIFT, t["i"][0].as_py() == t["j"][0].as_py()
+        h, c = KEYED[k // len(chosen)], chosen[k % len(chosen)]
+        left = t["_k"].to_numpy() == t["i"][0].as_py()
+        u, v = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
+        n, w = t["_n"].to_numpy(), {x: t[x].to_numpy().view(np.uint64) for x in HASHES}
+        near = lambda x, p, q: np.bitwise_count(w[x][p] ^ w[x][q]) <= most
+        out, step = [np.zeros((2, 0), np.int64)], max(1, hamming.WORDS // max(1, len(v)))
+        for at in range(0, len(u) if len(v) else 0, step):
+            r, o = np.nonzero(near(h, u[at : at + step, None], v))
+            p, q = u[r + at], v[o]
+            p, q = (z[n[p] < n[q]] for z in (p, q)) if same else (p, q)
+            good = np.sum([near(x, p, q) for x in HASHES], axis=0) >= 2
+            if h != KEYED[0]:
+                good &= ~near(KEYED[0], p, q)
+            p, q = p[good], q[good]
+            unlike = w[h][p] ^ w[h][q]
+            equal = [(unlike >> np.uint64(b)) & np.uint64((1 << size) - 1) == 0 for b, size in cut[: c[-1] + 1]]
+            once = np.sum(equal, axis=0) == agree  # no choice before this one agrees
+            out.append(np.stack([n[p[once]], n[q[once]]]))
+        found = np.sort(np.concatenate(out, axis=1), axis=0)
+        return pa.table([pa.array(found[0]), pa.array(found[1])], ["id_l", "id_r"])
+
+    return x.groupBy("key", "i", "j").applyInArrow(find, "id_l long, id_r long")
 
 
 def flagged_all_pairs(hashes: DataFrame, most: int = 8) -> DataFrame:

@@ -26,7 +26,7 @@ from tidegauge.sources.shared import written
 
 #: Nodes of a block, and how many comparisons in the grid cost as much as one lookup.
 PART, LOOKUP = 4096, 256
-WORDS = 1 << 22  # comparisons that a task makes at once
+WORDS = 1 << 17  # comparisons that a task makes at once: they stay in a processor's cache
 LEAST_BITS = 4
 
 
