@@ -48,6 +48,16 @@ def test_nearest_equals_brute_force(spark, monkeypatch, lookup):
     assert (work[0] > 0) == (lookup < 1000)
 
 
+def test_nearest_meets_each_two_blocks_once(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "PART", 5)
+    rows = near_copies(np.random.default_rng(15), 90, 12, 3) + [(0, 1000, 0), (0, 1001, 0), (9, 1003, 5)]
+    seen, keep = [], hamming.written
+    monkeypatch.setattr(hamming, "written", lambda df, name: seen.append((name, keep(df, name))) or seen[-1][1])
+    work = []
+    assert found_nearest(spark, rows, work=work) == brute_nearest(rows)
+    assert work[0] == 0 and hamming.rounds(100_000) == 0 and dict(seen)["packs"].count() > 3
+
+
 def test_many_equal_keys_go_to_the_grid(spark, monkeypatch):
     monkeypatch.setattr(hamming, "LOOKUP", 0.1)
     rows = [(k % 2, k, (0xFFFFFFFFFF << 24 | k * 40503 & 0xFFFFFF)) for k in range(200)]  # one value in most bands

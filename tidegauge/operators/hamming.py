@@ -7,6 +7,8 @@ there are. In round k the bands are looked up with k of their bits flipped; afte
 Before pairs are made the nodes of the keys are counted, so a key that many hashes share sends its rows to the grid, and
 no search costs more than the grid.
 
+Where keys pay for no split, nearest rows come from blocks of all nodes, each two blocks compared once for both sides, see _blocks().
+
 Grid: blocks of at most PART nodes of both sides meet in one task each and are compared as arrays; of a block only what can still count is
 returned. Tables with a row for each split, or for each two of them, are broadcast or come to the driver; their size is that of the number of splits.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from tidegauge.sources.shared import written
 
 #: Nodes of a block, and how many comparisons in the grid cost as much as one lookup.
-PART, LOOKUP = 4096, 256
+PART, LOOKUP = 4096, 1 << 18
 WORDS = 1 << 17  # comparisons that a task makes at once: they stay in a processor's cache
 LEAST_BITS = 4
 
@@ -109,6 +111,11 @@ def nearest(hashes: DataFrame, h: str, work: list[int] | None = None) -> DataFra
     splits = {r["split"]: r["k"] for r in nodes.groupBy("split").agg(F.count("*").alias("k")).collect()}  # a row for each split
     sizes = nodes.sparkSession.createDataFrame([(s, k, len(cut(k)), rounds(k)) for s, k in splits.items()], f"split_b {nodes.schema['split'].dataType.simpleString()}, k long, layout int, rounds int")
     own = ["split_a", "h_lo", "h_hi", "split_b"]
+    rows = hashes.select(F.col("split").alias("split_a"), F.col("id").alias("id_a"), F.col(lo).alias("h_lo"), F.col(hi).alias("h_hi"))
+    if not any(rounds(k) for k in splits.values()):
+        if work is not None:
+            work += [0, sum(splits.values()) ** 2]
+        return rows.join(_blocks(nodes, splits), ["split_a", "h_lo", "h_hi"]).select("split_a", "id_a", "split_b", "d")
     todo = nodes.withColumnRenamed("split", "split_a").crossJoin(F.broadcast(sizes))  # a row for each split
     done = None
     layouts = {len(cut(k)): cut(k) for k in splits.values()}
@@ -156,10 +163,71 @@ def nearest(hashes: DataFrame, h: str, work: list[int] | None = None) -> DataFra
     if work is not None:
         work += [compared, todo.agg(F.sum("k").alias("c")).first()["c"] or 0]
     rest = rest if done is None else rest.unionByName(done)
-    rows = hashes.select(F.col("split").alias("split_a"), F.col("id").alias("id_a"), F.col(lo).alias("h_lo"), F.col(hi).alias("h_hi"))
     return rows.join(rest, ["split_a", "h_lo", "h_hi"]).select("split_a", "id_a", "split_b", "d")
 
 
+def _least(x: np.ndarray, s: np.ndarray, y: np.ndarray, t: np.ndarray, n: int, alone: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The least distances of hashes x to those of y of each of n splits, and of y to x. s and t are the splits, in order. alone: x and
+    y are the same, and these hashes don't count themselves."""
+    to_y, to_x = np.full((len(x), n), 255, np.uint8), np.full((n, len(y)), 255, np.uint8)
+    (names, first), (own, starts) = np.unique(t, return_index=True), np.unique(s, return_index=True)
+    step = max(1, WORDS // max(1, len(y)))
+    for k, a, b in zip(own, starts, [*starts[1:], len(x)]):
+        for at in range(a, b, step):
+            c = np.bitwise_count(x[at : min(at + step, b), None] ^ y)
+            if alone is not None:
+                z = np.flatnonzero(alone[at : at + len(c)])
+                c[z, z + at] = 255
+            to_y[at : at + len(c), names] = np.minimum.reduceat(c, first, axis=1)
+            np.minimum(to_x[k], c.min(axis=0), out=to_x[k])
+    return to_y, to_x.T
+
+
+def _blocks(nodes: DataFrame, splits: dict) -> DataFrame:
+    """split_a, h_lo, h_hi, split_b, d of all nodes by looking at all pairs. Nodes are dealt to parts of about 4 * PART, a row of bytes each, and
+    each two parts meet once, in a task of their own, which returns a byte for each node and split."""
+    names = [s for s in splits if s is not None]
+    kind, n = nodes.schema["split"].dataType.simpleString(), len(names)
+    codes = nodes.sparkSession.createDataFrame([(s, k) for k, s in enumerate(names)], f"split {kind}, code int")  # a row for each split
+    parts = max(1, -(-sum(splits[s] for s in names) // (4 * PART)))
+    dealt = nodes.join(F.broadcast(codes), "split").select(F.pmod(F.xxhash64("code", "h_lo", "h_hi"), F.lit(parts).cast("long")).cast("int").alias("part"), "code", "h_lo", "h_hi", (F.col("n") == 1).alias("alone"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        code = t["code"].to_numpy()
+        order = np.argsort(code, kind="stable")
+        row = [code[order].astype(np.int32), words(t, "h")[order], t["alone"].to_numpy()[order]]
+        return pa.table([t["part"].slice(0, 1), *[pa.array([v.tobytes()], pa.binary()) for v in row]], ["part", "code", "word", "alone"])
+
+    packs = written(dealt.groupBy("part").applyInArrow(pack, "part int, code binary, word binary, alone binary"), "packs")
+    read = lambda t, name, kind: np.frombuffer(t[name][0].as_py(), kind)
+
+    def find(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], ["part", "d"])
+        i, j = x["i"][0].as_py(), x["j"][0].as_py()
+        both = _least(read(x, "word", np.uint64), read(x, "code", np.int32), read(y, "word", np.uint64), read(y, "code", np.int32), n, read(x, "alone", bool) if i == j else None)
+        both = both[:1] if i == j else both
+        return pa.table([pa.array([i, j][: len(both)], pa.int32()), pa.array([np.ascontiguousarray(v).tobytes() for v in both], pa.binary())], ["part", "d"])
+
+    def spread(x: pa.Table, y: pa.Table) -> pa.Table:
+        code, word = read(x, "code", np.int32), read(x, "word", np.uint64)
+        d = np.full(len(code) * n, 255, np.uint8)
+        for v in y["d"]:
+            np.minimum(d, np.frombuffer(v.as_buffer(), np.uint8), out=d)
+        each = lambda v: pa.array(np.repeat(v, n))
+        low, high = (word & np.uint64(0xFFFFFFFF)).astype(np.int64), (word >> np.uint64(32)).astype(np.int64)
+        return pa.table([each(code), each(low), each(high), pa.array(np.tile(np.arange(n, dtype=np.int32), len(code))), pa.array(d.astype(np.int32), mask=d == 255)], ["a", "h_lo", "h_hi", "b", "d"])
+
+    x = packs.select(F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.lit(parts - 1))).alias("j"), "code", "word", "alone")
+    y = packs.select(F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), "code", "word", "alone")
+    x, y = (t.select([F.col(c).alias(c) for c in t.columns]) for t in (x, y))  # both come from one table
+    met = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInArrow(find, "part int, d binary")
+    out = packs.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(spread, "a int, h_lo long, h_hi long, b int, d int")
+    for side in ("a", "b"):
+        out = out.join(F.broadcast(codes.select(F.col("code").alias(side), F.col("split").alias(f"split_{side}"))), side)
+    return out.select("split_a", "h_lo", "h_hi", "split_b", "d")
+
+
 def _first_pairs(pairs: DataFrame, k: int) -> DataFrame:
     """The k pairs of nodes of each two splits that can hold the k closest pairs of rows: the least distance, then first ids."""
     w = Window.partitionBy("split_a", "split_b").orderBy("d_sum", F.get("ids_a", F.lit(0)), F.get("ids_b", F.lit(0)))
@@ -207,7 +275,7 @@ def closest(hashes: DataFrame, names: tuple[str, ...], k: int, work: list[int] |
         most = bits if most is None else most
         flips = most // len(bands)  # of the bands of two such hashes one differs in so many bits at most
         cost = sum(lookups(bands, j) for j in range(flips + 1)) if flips <= 8 else math.inf
-        plan.append((s, t, int(most), flips if LOOKUP * cost <= splits[t] else -1))
+        plan.append((s, t, int(most), flips if min(LOOKUP, 256) * cost <= splits[t] else -1))  # a grid of three hashes with rows made is slower
     kind = nodes.schema["split"].dataType.simpleString()
     plan = nodes.sparkSession.createDataFrame(plan, f"split_a {kind}, split_b {kind}, bound int, flips int")
     compared, found, dealt = 0, [], F.broadcast(plan.where("flips < 0").select("split_a", "split_b", "bound"))
