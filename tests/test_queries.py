@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from tidegauge.functions import numeric
 from tidegauge.operators import paired
 from tidegauge.plans import catalog, extras, streams
 
@@ -90,3 +91,19 @@ def test_bootstraps_equal_brute_force_over_10000_replicates(spark, monkeypatch):
             monkeypatch.setattr(paired, constant, value)
         for name, want in (("image_bootstrap", image), ("hierarchical_bootstrap", nested)):
             assert {r.dataset: (r.n, r["mean"], r.lo, r.hi) for r in catalog.queries()[name](spark, SF).collect()} == want
+
+
+def test_md5_of_numbers_equals_the_library():
+    for before in (b"", b"0|a|7|", b"x" * 50, b"y" * 63, b"z" * 120):
+        n = np.array([0, 5, 9, 10, 99, 100, 4095, 123456, 10**12] * 60)
+        assert numeric.md5_first(before, n).tolist() == [int.from_bytes(hashlib.md5(before + b"%d" % k).digest()[:4], "big") for k in n.tolist()]
+
+
+def test_weights_do_not_gather_a_group_in_one_task(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["sensitivity_weights"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [g" in plan and "SortMergeJoin [g" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,3 +141,57 @@ def draw(n: Column | str, *keys) -> Column:
     """A whole number from 0 to n-1 that depends on the keys only: 32 bits of their MD5, modulo n."""
     text = F.concat_ws("|", *[F.lit(k) if not isinstance(k, Column) else k.cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % col(n)
+
+
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [int(abs(math.sin(k + 1)) * 2**32) for k in range(64)]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def md5_first(before: bytes, numbers: np.ndarray) -> np.ndarray:
+    """The first four bytes, as a big-endian number, of the MD5 of `before` followed by each number in decimal, for whole numbers from 0 on."""
+    if len(numbers) < 512:  # array operations cost more than they save
+        return np.frombuffer(b"".join([hashlib.md5(before + b"%d" % k).digest()[:4] for k in numbers.tolist()]), ">u4").astype(np.uint32)
+    out = np.empty(len(numbers), np.uint32)
+    digits = np.ones(len(numbers), np.int64)
+    for k in range(1, 19):
+        digits += numbers >= 10**k
+    for width in np.unique(digits).tolist():
+        own = np.flatnonzero(digits == width)
+        out[own] = _md5_one_width(before, numbers[own], width)
+    return out
+
+
+def _md5_one_width(before: bytes, numbers: np.ndarray, width: int) -> np.ndarray:
+    """Words of a message that all numbers share are single values, the others arrays."""
+    size = len(before) + width
+    blocks = (size + 8) // 64 + 1
+    frame = np.frombuffer((before + bytes(width) + b"\x80").ljust(64 * blocks - 8, b"\0") + (8 * size).to_bytes(8, "little"), "<u4")
+    message: list = [np.uint32(w) for w in frame]
+    for k in range(width):
+        digit = (numbers // 10 ** (width - 1 - k) % 10 + 48).astype(np.uint32)
+        at = len(before) + k
+        message[at // 4] = message[at // 4] | (digit << np.uint32(8 * (at % 4)))
+    state = [np.full(len(numbers), v, np.uint32) for v in _START]
+    for first in range(0, 16 * blocks, 16):
+        a, b, c, d = state
+        for k in range(64):
+            if k < 16:
+                f, g = d ^ (b & (c ^ d)), k
+            elif k < 32:
+                f, g = c ^ (d & (b ^ c)), (5 * k + 1) % 16
+            elif k < 48:
+                f, g = b ^ c ^ d, (3 * k + 5) % 16
+            else:
+                f, g = c ^ (b | ~d), 7 * k % 16
+            f += a
+            f += message[first + g]
+            f += np.uint32(_SINES[k])
+            turn = _TURNS[k // 16][k % 4]
+            high = f >> np.uint32(32 - turn)
+            f <<= np.uint32(turn)
+            f |= high
+            f += b
+            a, b, c, d = d, f, b, c
+        state = [x + y for x, y in zip(state, (a, b, c, d))]
+    return state[0].byteswap()

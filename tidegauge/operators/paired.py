@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.numeric import t_quantile, t_two_sided_p
+from tidegauge.functions.numeric import md5_first, t_quantile, t_two_sided_p
 from tidegauge.sources.shared import written
 
 from .order import numbered
@@ -80,12 +80,12 @@ def stem_differences(runs: DataFrame) -> DataFrame:
 
 
 #: Stems of a block, and draws and replicates that a task makes together.
-STEMS, DRAWS, REPS = 1024, 4096, 256
+STEMS, DRAWS, REPS = 1024, 16384, 64
 
 
 def _draws(sizes: DataFrame, n_boot: int, key: tuple) -> DataFrame:
-    """dataset, block, reps and places: of the draws of each dataset (dataset, n) those that fall in a block of STEMS places, packed. A task makes
-    the draws of some replicates; see numeric.draw() for what they are."""
+    """dataset, block, first, counts and places: of the draws of each dataset (dataset, n) those that fall in a block of STEMS places, packed: how many
+    fall to each replicate from `first` on, then where. A task makes the draws of some replicates; see numeric.draw() for what they are."""
     up = lambda to, step: F.explode(F.sequence(F.lit(0).cast("long"), to, F.lit(step).cast("long")))
     work = sizes.select("dataset", F.col("dataset").cast("string").alias("name"), "n").withColumn("j", up(F.col("n") - 1, DRAWS)).withColumn("r", up(F.lit(n_boot - 1).cast("long"), REPS))
     stems, draws, reps = STEMS, DRAWS, REPS
@@ -93,21 +93,23 @@ def _draws(sizes: DataFrame, n_boot: int, key: tuple) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, (name, n, j, r) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("name", "n", "j", "r")])):
-                js, rs = [b"%d" % x for x in range(j, min(j + draws, n))], range(r, min(r + reps, n_boot))
+                js, rs = np.arange(j, min(j + draws, n)), range(r, min(r + reps, n_boot))
                 ks = np.empty((len(rs), len(js)), np.int64)
                 for i, rep in enumerate(rs):
                     before = "|".join(map(str, (*key, name, rep, ""))).encode()
-                    ks[i] = np.frombuffer(b"".join([hashlib.md5(before + x).digest()[:4] for x in js]), ">u4")
-                k, rep = (ks % n).reshape(-1), np.repeat(np.arange(rs.start, rs.stop, dtype=np.int32), len(js))
-                order = np.argsort(k // stems, kind="stable")
-                blocks, first = np.unique(k[order] // stems, return_index=True)
-                offsets = pa.array(np.append(first, len(k)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order].astype(np.int32))) for x in (rep, k % stems)]
-                yield pa.RecordBatch.from_arrays([batch.column("dataset").take(pa.array([at] * len(blocks))), pa.array(blocks), *lists], ["dataset", "block", "reps", "places"])
+                    ks[i] = md5_first(before, js)
+                ks %= n
+                k, rep = ks.reshape(-1), np.repeat(np.arange(len(rs)), len(js))
+                order = np.argsort(k // stems, kind="stable")  # so replicates are in order within a block
+                blocks, first, own = np.unique(k[order] // stems, return_index=True, return_inverse=True)
+                counts = np.bincount(own * len(rs) + rep[order], minlength=len(blocks) * len(rs))
+                lists = [(np.arange(len(blocks) + 1) * len(rs), counts), (np.append(first, len(k)), (k % stems)[order])]
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int16))) for at, x in lists]
+                yield pa.RecordBatch.from_arrays([batch.column("dataset").take(pa.array([at] * len(blocks))), pa.array(blocks), pa.array(np.full(len(blocks), r)), *lists], ["dataset", "block", "first", "counts", "places"])
 
     tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = sizes.schema["dataset"].dataType.simpleString()
-    return work.repartition(tasks, "dataset", "j", "r").mapInArrow(run, f"dataset {kind}, block long, reps array<int>, places array<int>")
+    return work.repartition(tasks, "dataset", "j", "r").mapInArrow(run, f"dataset {kind}, block long, first long, counts array<smallint>, places array<smallint>")
 
 
 def _replicates(cells: DataFrame, n_boot: int, key: tuple, seed_key: tuple | None = None) -> DataFrame:
@@ -127,7 +129,10 @@ def _replicates(cells: DataFrame, n_boot: int, key: tuple, seed_key: tuple | Non
         n, m, name = block["n"][0].as_py(), block["m"][0].as_py(), block["name"][0].as_py()
         v = np.zeros((STEMS, m))
         v[block["k"].to_numpy(), block["s"].to_numpy()] = block["v"].to_numpy()
-        rep, place = (drawn[c].combine_chunks().flatten().to_numpy() for c in ("reps", "places"))
+        counts, place = (drawn[c].combine_chunks() for c in ("counts", "places"))
+        each = np.diff(counts.offsets.to_numpy())
+        rep = np.repeat(drawn["first"].to_numpy() - np.cumsum(each) + each, each) + np.arange(each.sum())  # of each count
+        rep, place = np.repeat(rep, counts.flatten().to_numpy()), place.flatten().to_numpy()
         total = np.zeros(n_boot)
         times = np.ones((n_boot, m), np.int64)
         if seed_key is not None:
