@@ -254,7 +254,7 @@ _WEIGHTS = "SELECT g, i, round({w} * 1000, 6) AS w FROM (SELECT tt.g, tt.i, tt.t
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sample(spark, sf_dir)
-    return tail.ranked(s, "g", ties=("l_orderkey", "l_linenumber")).select("g", "i", "n", "t", "e").join(tail.fit(tail.moments(s, "g")).drop("n"), "g")
+    return tail.ranked(s, "g", ties=("l_orderkey", "l_linenumber")).select("g", "i", "n", "t", "e").join(F.broadcast(tail.fit(tail.moments(s, "g")).drop("n")), "g")  # a row for each group
 
 
 @query(_LINE + _WEIGHTS.format(w=f"greatest(0, {_SENS})"))
