@@ -107,3 +107,12 @@ def test_weights_do_not_gather_a_group_in_one_task(spark):
         assert "BroadcastHashJoin [g" in plan and "SortMergeJoin [g" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stream_of_several_spans_gives_the_same_rows(spark, monkeypatch):
+    whole = sorted(map(str, QUERIES["tail_stream"](spark, SF).collect()))
+    monkeypatch.setattr(catalog, "TRIGGER", 400)
+    df = QUERIES["tail_stream"](spark, SF)
+    assert sorted(map(str, df.collect())) == whole and len(whole) > 20
+    base = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    assert len([n for n in os.listdir(os.path.join(base, "_spark_metadata")) if n.isdigit()]) == 3

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.operators import aggregate, duplicates, grid, manifest, paired, pool, tail
-from tidegauge.sources.shared import shared_dir, written
+from tidegauge.sources.shared import shared_dir, written, written_to
 from tidegauge.streaming import tail_state
 
 P, ALPHA = 0.15, 0.02
@@ -693,22 +693,35 @@ SELECT fl.event_type AS key, fl.batch, pv.u, coalesce(n_live, 0) AS n_live, coal
 FROM fl LEFT JOIN pv ON pv.event_type = fl.event_type AND pv.batch = fl.batch"""
 
 
+#: Events of a trigger.
+TRIGGER = 1_000_000
+
+
 @query(_POOL[: (_cut := _POOL.rindex("SELECT event_type, batch, round(u, 6)"))] + _STREAM.format(pool=_POOL[_cut:]))
 def tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tail estimator over events as a stream, run to its end; results and checkpoint go to the shared folder."""
+    """The tail estimator over events as a stream, run to its end; results and checkpoint go to the shared folder.
+
+    Events arrive in spans of time of about TRIGGER rows, each of which is a trigger, since a task sorts the rows that a trigger has of its group.
+    """
     base = shared_dir(spark)
     path = f"{sf_dir}/events.parquet"
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        # A pattern, since a stream takes no plain file.
-        rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
         # Sorted by text: time to the microsecond, then the id.
-        place = F.concat(F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
-        rows = rows.select("event_type", place.alias("place"), F.least(F.lit(1.0), F.col("value") / 500.0).alias("d"))
-        out = tail_state.tail_stream(rows, "event_type", "place", "d")
-        out.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        time = F.date_format("ts", "yyyyMMddHHmmssSSSSSS")
+        place = F.concat(time, F.lpad(F.col("event_id").cast("string"), 20, "0"))
+        rows = spark.read.parquet(path).select("event_type", place.alias("place"), F.least(F.lit(1.0), F.col("value") / 500.0).alias("d"), time.cast("double").alias("time"))
+        n = max(1, math.ceil(rows.count() / TRIGGER))
+        bounds = rows.agg(F.percentile_approx("time", [k / n for k in range(1, n)], 100 * n).alias("b")).first()["b"] if n > 1 else []
+        above = sum(((F.col("time") > b).cast("int") for b in bounds or []), F.lit(0))
+        spans = written_to(rows.select("event_type", "place", "d", F.when(F.col("time").isNull(), n - 1).otherwise(above).alias("span")), f"{base}/spans", ["span"])
+        for k in range(n):
+            spans.where(F.col("span") == k).drop("span").write.mode("append").parquet(f"{base}/in")
+            events = spark.readStream.schema(spans.drop("span").schema).parquet(f"{base}/in")
+            out = tail_state.tail_stream(events, "event_type", "place", "d")
+            out.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
     return rounded(spark.read.parquet(f"{base}/rows"), ("deficit_mean",))  # six places would be a tie for many
